@@ -80,7 +80,7 @@ def _winogrande(rows: DataFrame, _: int) -> DataFrame:
     at = F.instr("sentence", "_")
     head, tail = F.rtrim(F.substring("sentence", F.lit(1), at - F.lit(1))), F.ltrim(F.substring(F.col("sentence"), at + F.lit(1), F.length("sentence")))
     option = lambda c: F.when((at > 0) & (tail != ""), F.concat(F.col(c), F.lit(" "), tail)).otherwise(F.col(c))
-    context = F.when(at == 0, F.concat("sentence", F.lit(" "))).when(head != "", F.concat(head, F.lit(" "))).otherwise("")
+    context = F.when(at == 0, F.concat("sentence", F.lit(" "))).when(head != "", F.concat(head, F.lit(" "))).when(at > 0, "")
     both = F.when(F.col("option1").isNotNull() & F.col("option2").isNotNull(), F.array(option("option1"), option("option2")))
     return _cases(rows, context, both, F.when(F.col("answer").cast("string") == "1", 0).otherwise(1))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.expr import cleaned_reasoning, nonblank, stripped
 
-MESSAGES = "array<struct<role:string,content:string,name:string,tool_calls:array<struct<type:string,function:struct<name:string,arguments:string>>>>>>"
+MESSAGES = "array<struct<role:string,content:string,name:string,tool_calls:array<struct<type:string,function:struct<name:string,arguments:string>>>>>"
 TOOL_BLOCK = "Available tools:\n"
 
 
@@ -43,7 +43,7 @@ def rule_breaks(messages: Column, tools: Column) -> Column:
     calls = lambda x: F.coalesce(F.size(x["tool_calls"]), F.lit(-1))
     call = lambda x: F.get(x["tool_calls"], F.lit(0))["function"]["name"]
     names = F.transform(t, lambda x: x["function"]["name"])
-    before = F.concat(F.array(F.lit(None).cast(MESSAGES[6:-1])), F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))))
+    before = F.slice(F.concat(F.array(F.lit(None).cast(MESSAGES[6:-1])), m), F.lit(1), F.size(m))
     follows = F.zip_with(m, before, lambda x, p: (x["role"] != "tool") | F.coalesce((p["role"] == "assistant") & (call(p) == x["name"]), F.lit(False)))
     any_ = lambda f: F.coalesce(F.exists(m, f), F.lit(False))
     speaks = lambda x: x["role"] == "assistant"
