@@ -32,7 +32,7 @@ SINGLE_FLIPS, PAIR_FLIPS = 7, 4
 RARE, MAX_FREQUENT = 1000, 50_000
 #: How much of its weight a frequent word keeps: the logarithm of its rarity, relative to that of a rare word, to this power.
 DAMPING = 0.5
-_CHUNK = 16_384
+_CHUNK = 4096
 _CACHE: dict[str, int] = {}
 
 PREPARED = "table_name string, row_key bigint, held_out boolean, text_id bigint, words array<int>"
@@ -135,10 +135,11 @@ def votes(offsets: np.ndarray, codes: np.ndarray, keys: np.ndarray, weights: np.
             plain = part.astype(np.int64)
             at = np.minimum(np.searchsorted(keys, plain), len(keys) - 1)
             weight = np.where(keys[at] == plain, weights[at], weight).astype(np.float32)
-        signs = np.unpackbits(_bit_words(np.ascontiguousarray(part), -(-bits // 64)).view(np.uint8), axis=1, bitorder="little")[:, :bits]
-        weighted = signs * (2 * weight)[:, None] - weight[:, None]
-        heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total[rows[heads]] += np.add.reduceat(weighted, heads, axis=0)
+        bit = np.unpackbits(_bit_words(np.ascontiguousarray(part), -(-bits // 64)).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+        heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])).tolist()
+        for head, end in zip(heads, [*heads[1:], len(part)], strict=True):
+            own = weight[head:end]
+            total[rows[head]] += 2 * (own @ bit[head:end])[:bits] - own.sum()
     return total
 
 
@@ -218,18 +219,31 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def _shared(sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each pair the words both have, in whatever order: no common subsequence is longer."""
+    n = len(sides[0][0]) - 1
+    if not n:
+        return np.zeros(0, np.int64)
+    keys = [np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets)) << 33 | codes.view(np.uint32).astype(np.int64) << 1 | side for side, (offsets, codes) in enumerate(sides)]
+    both = np.sort(np.concatenate(keys))
+    word = both >> 1
+    heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    ones = np.add.reduceat(both & 1, heads)
+    return np.bincount(both[heads] >> 33, np.minimum(ones, np.diff(np.append(heads, len(both))) - ones), n)
+
+
 def verified(pairs: DataFrame, share: float) -> DataFrame:
     """Candidate pairs with their words: those that agree, with their similarity."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            sides = [_flat(b.column(i)) for i in (3, 4)]
+            sizes = np.stack([np.diff(offsets) for offsets, _ in sides])
+            longer = sizes.max(axis=0, initial=0)
             keep, sims = [], []
-            for i in range(b.num_rows):
-                x, y = b.column(3)[i].values.to_numpy(), b.column(4)[i].values.to_numpy()
-                longer = max(len(x), len(y))
-                if min(len(x), len(y)) < share * longer:
-                    continue
-                sim = 1.0 if len(x) == len(y) and (x == y).all() else common_words(x.tolist(), y.tolist()) / longer
+            for i in np.flatnonzero(_shared(sides) >= share * longer - 1e-9).tolist():
+                x, y = (codes[offsets[i] : offsets[i + 1]] for offsets, codes in sides)
+                sim = 1.0 if len(x) == len(y) and (x == y).all() else common_words(x.tolist(), y.tolist()) / int(longer[i])
                 if sim >= share - 1e-12:
                     keep.append(i)
                     sims.append(sim)
