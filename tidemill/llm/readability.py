@@ -36,8 +36,8 @@ _VOWELS = {
     "es": re.compile(r"[iu]?[aeoáéó][iuy]?(?![íú])|[íú]|[iuü]+|y$"),
     "fr": re.compile(r"eau|[aeiouyàâäéèêëîïôöùûüÿœæ]+"),
 }
-_EN_SILENT = re.compile(r"(?:[^aeiouyl]e|[aeiouy]le|[^aeiouytd]ed|[^aeiouysxzhcg]es)$")
-_EN_HIATUS = re.compile(r"i[ao](?!us)|eo|ua(?!l?it)|[iu]um|[^aeiouy]le[sd]?$|ier$|ying")
+_EN_SILENT = re.compile(r"(?:[^aeiouyl]e|[aeiouy]le[sd]?|[^aeiouytdl]ed|[^aeiouysxzhcgl]es)$")
+_EN_HIATUS = re.compile(r"i[ao](?!us)|eo|ua(?!l?it)|[iu]um|[aeiouy][^aeiouy]+ea$|ier$|ying")
 _FR_SILENT = re.compile(r"[^aeiouyàâäéèêëîïôöùûüÿœæ](?:e|es|ent)$")
 _CACHE: dict[str, dict[str, int]] = {lang: {} for lang in _VOWELS}
 
