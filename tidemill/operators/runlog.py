@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.prefix import id_slot, positions
+
 POINT = "step bigint, train_loss double, lr double, val_loss double"
 
 
@@ -28,15 +30,19 @@ def latest(points: DataFrame) -> DataFrame:
 
 
 def downsampled(points: DataFrame, most: int) -> DataFrame:
-    """At most about most points a run: every so-manieth by step, and the last."""
-    w = Window.partitionBy("run")
-    ranked = points.withColumn("_rn", F.row_number().over(w.orderBy("step"))).withColumn("_n", F.count(F.lit(1)).over(w))
+    """At most about most points a run: every so-manieth by step, and the last. A long run is no single task's work."""
+    sizes = points.groupBy("run").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = positions(points, id_slot("step"), ["step"], ["run"], "_at").join(sizes, "run")
     stride = F.greatest(F.ceil(F.col("_n") / most), F.lit(1))
-    return ranked.where(((F.col("_rn") - 1) % stride == 0) | (F.col("_rn") == F.col("_n"))).drop("_rn", "_n")
+    return ranked.where((F.col("_at") % stride == 0) | (F.col("_at") == F.col("_n") - 1)).drop("_at", "_n")
 
 
 def running_best(points: DataFrame, value: str = "val_loss") -> DataFrame:
-    """Points that are strictly better than all before."""
-    before = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min(value).over(before)
-    return points.where(F.col(value).isNotNull()).withColumn("_best", best).where(F.col("_best").isNull() | (F.col(value) < F.col("_best"))).drop("_best")
+    """Points that are strictly better than all before: least values of earlier slots of steps, then inside the slot."""
+    rows = points.where(F.col(value).isNotNull()).withColumn("_slot", id_slot("step"))
+    least = rows.groupBy("run", "_slot").agg(F.min(value).alias("_least"))
+    earlier = Window.partitionBy("run").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = least.select("run", "_slot", F.min("_least").over(earlier).alias("_base"))
+    within = Window.partitionBy("run", "_slot").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.least(F.min(value).over(within), F.col("_base"))
+    return rows.join(base, ["run", "_slot"]).withColumn("_best", best).where(F.col("_best").isNull() | (F.col(value) < F.col("_best"))).select(*points.columns)

@@ -50,7 +50,7 @@ def ratio_subset(rows: DataFrame, key: str, source: str, total: int, seed: int)
     """total rows that keep the sources' ratios, by hash order in each source."""
     share = largest_remainder(rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")), total, source)
     ranked = positions(rows.withColumn("_h", hash_order(key, seed)), hash_slot("_h"), ["_h", key], [source], "_pos")
-    return ranked.join(F.broadcast(share.select(source, "allocated")), source).where(F.col("_pos") < F.col("allocated")).drop("_h", "_pos", "allocated")
+    return ranked.join(share.select(source, "allocated"), source).where(F.col("_pos") < F.col("allocated")).drop("_h", "_pos", "allocated")
 
 
 def mixture_plan(available: DataFrame, recipe: Mapping[str, int], order: Sequence[str], policy: str = "redistribute") -> DataFrame:
@@ -83,6 +83,6 @@ def check_total(plan: DataFrame) -> DataFrame:
 def mixture(rows: DataFrame, plan: DataFrame, key: str, source: str, seed: int) -> DataFrame:
     """The selected rows of every source, with their place in the shuffled mixture."""
     ranked = positions(rows.withColumn("_h", hash_order(key, seed)), hash_slot("_h"), ["_h", key], [source], "_pos")
-    chosen = ranked.join(F.broadcast(plan.select(F.col("source").alias(source), "selected")), source).where(F.col("_pos") < F.col("selected")).drop("_h", "_pos", "selected")
+    chosen = ranked.join(plan.select(F.col("source").alias(source), "selected"), source).where(F.col("_pos") < F.col("selected")).drop("_h", "_pos", "selected")
     mixed = chosen.withColumn("_m", hash_order(key, seed + 10_000))
     return positions(mixed, hash_slot("_m"), ["_m", key], [], "place").drop("_m")

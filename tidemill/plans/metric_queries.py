@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import expr as E
 from tidemill.operators import benchmarks, chat, metrics, runlog
+from tidemill.operators.prefix import id_slot, positions
 from tidemill.streaming import runlog_stream
 
 RUNS, STEP_SECONDS = 20, 21_600
@@ -115,7 +116,7 @@ def checkpoint_left_join(spark: SparkSession, sf: str) -> DataFrame:
     """Configured suppliers' nations against those that have customers, as checkpoints against weights."""
     configured = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name")
     there = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("there", F.lit(True))
-    return configured.join(F.broadcast(there), "n_nationkey", "left").select("n_name", F.when(F.col("there"), "ok").otherwise("missing").alias("status"))
+    return configured.join(there, "n_nationkey", "left").select("n_name", F.when(F.col("there"), "ok").otherwise("missing").alias("status"))
 
 
 def _points(events: DataFrame) -> DataFrame:
@@ -141,14 +142,8 @@ def runlog_running_best(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    steps = runlog.last_wins(_points(_events(spark, sf))).select("run", F.dense_rank().over(_by_step()).alias("n"))
-    return steps.select("run", (F.col("n") - 1).cast("bigint").alias("n"), F.round(E.learning_rate(F.col("n") - 1, 3e-4, 20, 100), 12).alias("lr"))
-
-
-def _by_step():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("run").orderBy("step")
+    steps = positions(runlog.last_wins(_points(_events(spark, sf))), id_slot("step"), ["step"], ["run"], "n")
+    return steps.select("run", "n", F.round(E.learning_rate("n", 3e-4, 20, 100), 12).alias("lr"))
 
 
 def runlog_stream_result(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators.nested import KINDS, nested_nodes, node_tables
+from tidemill.operators.nested import KINDS, nested_nodes
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,12 +16,8 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Size and depth of each node table."""
-    tables = node_tables(nested_nodes(spark.read.parquet(f"{sf}/sft_row.parquet")))
-    out = None
-    for kind, table in tables.items():
-        part = table.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("nodes"), F.count("value").alias("with_value"), F.max("depth").alias("deepest"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    nodes = nested_nodes(spark.read.parquet(f"{sf}/sft_row.parquet")).where(F.col("kind").isin(*KINDS))
+    return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"), F.count("value").alias("with_value"), F.max("depth").alias("deepest"))
 
 
 def p4_top_nodes(spark: SparkSession, sf: str) -> DataFrame:
