@@ -2,7 +2,7 @@
 
 A text's fingerprint is a SimHash of its words: every word votes on each bit with a weight, frequent words with less. The
 fingerprint is cut into TABLES segments ("blocks") of about log2(number of texts) bits, so that a block holds a handful of
-unrelated texts at any scale, and a check code of 64 further bits. Texts of the held-out splits look up their own
+unrelated texts at any scale, and a check code of CHECK_BITS further bits. Texts of the held-out splits look up their own
 block and those that differ in its least certain bits (multi-probe), which finds what one changed bit would hide. Pairs that
 share a block and lie within the Hamming radius of the check code are candidates; a longest common subsequence of their
 words decides. Exact copies are one class from the start: only one of each class and side is fingerprinted, and classes are
@@ -24,8 +24,8 @@ from tidemill.runtime import written
 
 SHARE = 0.85
 TABLES = 16
-CHECK_BITS = 64
-RADIUS = 19
+CHECK_BITS = 128
+RADIUS = 34
 #: Single bits and pairs of bits, among a block's least certain ones, that a lookup also tries the other way.
 SINGLE_FLIPS, PAIR_FLIPS = 7, 4
 #: A word in more than 1/RARE of the texts counts as frequent; at most MAX_FREQUENT words can, as they hold so small a share of all.
@@ -54,12 +54,15 @@ def word_code(word: str) -> int:
 
 
 def prepare(texts: DataFrame) -> DataFrame:
-    """Rows (table_name, row_key, split, text) as word codes. Rows without words or with a null key or split are in no pair."""
+    """Rows (table_name, row_key, split, text) as word codes; text_id is the same for equal texts of a table.
+
+    Rows without words or with a null key or split are in no pair.
+    """
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             codes = [np.fromiter(map(word_code, words(t)), np.int32) for t in b.column(3).to_pylist()]
-            ids = [_hash64(c.tobytes()) for c in codes]
+            ids = [_hash64(c.tobytes() + (name or "").encode()) for c, name in zip(codes, b.column(0).to_pylist(), strict=True)]
             offsets = np.cumsum([0, *map(len, codes)], dtype=np.int32)
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
@@ -145,7 +148,7 @@ def votes(offsets: np.ndarray, codes: np.ndarray, keys: np.ndarray, weights: np.
 
 def _blocks(total: np.ndarray, width: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Check codes, block codes, and each block's bits from the least certain on."""
-    check = np.packbits(total[:, :CHECK_BITS] > 0, axis=1, bitorder="little").view(np.int64)[:, 0]
+    check = np.packbits(total[:, :CHECK_BITS] > 0, axis=1, bitorder="little").view(np.int64)
     blocks = total[:, CHECK_BITS:].reshape(len(total), tables, width)
     codes = (blocks > 0) @ (1 << np.arange(width, dtype=np.int64))
     unsure = np.argsort(np.abs(blocks), axis=2, kind="stable")[:, :, :SINGLE_FLIPS].astype(np.uint8)
@@ -177,32 +180,35 @@ def _flip_masks(unsure: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros_like(one[..., 0]), *(one[..., i] for i in range(one.shape[-1])), *pairs], axis=-1)
 
 
+LOOKUPS = "text_id bigint, held_out boolean, check_0 bigint, check_1 bigint, block bigint"
+
+
 def lookups(classes: DataFrame, width: int, tables: int) -> DataFrame:
-    """(table_name, rep, check, block): every block a class stands in or, if it is held out, looks up."""
+    """Every block a class stands in or, if it is held out, looks up. Blocks carry 16 bits of their table's name."""
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4000):
                 b = whole.slice(start, 4000)
                 raw, held = b.column(3).to_pylist(), np.array(b.column(2).to_pylist(), bool)
-                check = np.array([np.frombuffer(x, np.int64, 1)[0] for x in raw], np.int64)
-                codes = np.array([np.frombuffer(x, "<i4", tables, 8) for x in raw], np.int64).reshape(-1, tables)
-                table = np.arange(tables, dtype=np.int64) << 40
+                check = np.array([np.frombuffer(x, np.int64, 2) for x in raw], np.int64).reshape(-1, 2)
+                codes = np.array([np.frombuffer(x, "<i4", tables, CHECK_BITS // 8) for x in raw], np.int64).reshape(-1, tables)
+                names = np.array([_hash64((x or "").encode()) & 0x7FFF for x in b.column(0).to_pylist()], np.int64)
+                place = names[:, None] << 48 | np.arange(tables, dtype=np.int64) << 32
                 rows, blocks = [], []
                 if (~held).any():
-                    own = codes[~held] | table
                     rows.append(np.repeat(np.flatnonzero(~held), tables))
-                    blocks.append(own.ravel())
+                    blocks.append((codes | place)[~held].ravel())
                 if held.any():
-                    unsure = np.array([np.frombuffer(x, np.uint8, -1, 8 + 4 * tables) for x, h in zip(raw, held, strict=True) if h]).reshape(held.sum(), tables, -1)
-                    tried = (codes[held][:, :, None] ^ _flip_masks(unsure)) | table[:, None]
+                    unsure = np.array([np.frombuffer(x, np.uint8, -1, CHECK_BITS // 8 + 4 * tables) for x, h in zip(raw, held, strict=True) if h]).reshape(held.sum(), tables, -1)
+                    tried = (codes[held][:, :, None] ^ _flip_masks(unsure)) | place[held][:, :, None]
                     rows.append(np.repeat(np.flatnonzero(held), tables * tried.shape[-1]))
                     blocks.append(tried.ravel())
                 at = np.concatenate(rows) if rows else np.zeros(0, int)
                 taken = pa.array(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), b.column(2).take(taken), pa.array(check[at]), pa.array(np.concatenate(blocks) if blocks else at, pa.int64())], names=["table_name", "rep", "held_out", "check", "block"])
+                yield pa.RecordBatch.from_arrays([b.column(1).take(taken), b.column(2).take(taken), pa.array(check[at, 0]), pa.array(check[at, 1]), pa.array(np.concatenate(blocks) if blocks else at, pa.int64())], names=["text_id", "held_out", "check_0", "check_1", "block"])
 
-    return classes.select("table_name", "rep", "held_out", "print").mapInArrow(expanded, "table_name string, rep bigint, held_out boolean, check bigint, block bigint")
+    return classes.select("table_name", "text_id", "held_out", "print").mapInArrow(expanded, LOOKUPS)
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -237,7 +243,7 @@ def verified(pairs: DataFrame, share: float) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sides = [_flat(b.column(i)) for i in (3, 4)]
+            sides = [_flat(b.column(i)) for i in (2, 3)]
             sizes = np.stack([np.diff(offsets) for offsets, _ in sides])
             longer = sizes.max(axis=0, initial=0)
             keep, sims = [], []
@@ -248,9 +254,9 @@ def verified(pairs: DataFrame, share: float) -> DataFrame:
                     keep.append(i)
                     sims.append(sim)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(sims, pa.float64())], names=["table_name", "train_rep", "held_rep", "similarity"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sims, pa.float64())], names=["train_id", "held_id", "similarity"])
 
-    return pairs.select("table_name", "train_rep", "held_rep", "train_words", "held_words").mapInArrow(checked, "table_name string, train_rep bigint, held_rep bigint, similarity double")
+    return pairs.select("train_id", "held_id", "train_words", "held_words").mapInArrow(checked, "train_id bigint, held_id bigint, similarity double")
 
 
 def cross_split_pairs(texts: DataFrame, share: float = SHARE, tables: int | None = None, width: int | None = None) -> DataFrame:
@@ -266,19 +272,16 @@ def cross_split_pairs(texts: DataFrame, share: float = SHARE, tables: int | None
     width = width or min(30, max(12, int(largest - 1).bit_length()))
     tables = tables or TABLES + 2 * max(0, width - 18)
     prints = fingerprints(prepared, weights, width, tables)
-    classes = written(prints.groupBy("table_name", "held_out", "text_id").agg(F.min("row_key").alias("rep"), F.first("print").alias("print")), "classes")
+    classes = written(prints.groupBy("table_name", "held_out", "text_id").agg(F.first("print").alias("print")), "classes")
     tried = lookups(classes, width, tables)
-    train = tried.where("not held_out").select("table_name", "block", F.col("rep").alias("train_rep"), F.col("check").alias("c"))
-    held = tried.where("held_out").select("table_name", "block", F.col("rep").alias("held_rep"), F.col("check").alias("d"))
-    near = F.bit_count(F.col("c").bitwiseXOR(F.col("d"))) <= RADIUS
-    candidates = train.join(held, ["table_name", "block"]).where(near).select("table_name", "train_rep", "held_rep").distinct()
-    side = lambda held_out, name: prepared.where(F.col("held_out") == held_out).dropDuplicates(["table_name", "row_key"]).select("table_name", F.col("row_key").alias(f"{name}_rep"), F.col("words").alias(f"{name}_words"))
-    with_words = candidates.join(side(False, "train"), ["table_name", "train_rep"]).join(side(True, "held"), ["table_name", "held_rep"])
-    links = written(verified(with_words, share), "links")
-    narrow = prepared.select("table_name", "row_key", "held_out", "text_id").distinct()
-    members = narrow.join(classes.select("table_name", "held_out", "text_id", "rep"), ["table_name", "held_out", "text_id"])
-    of = lambda held_out, name: members.where(F.col("held_out") == held_out).select("table_name", F.col("rep").alias(f"{name}_rep"), F.col("row_key").alias(f"{name}_key"))
-    return links.join(of(False, "train"), ["table_name", "train_rep"]).join(of(True, "held"), ["table_name", "held_rep"]).select("table_name", "train_key", "held_key", "similarity").distinct()
+    side = lambda held_out, name: tried.where(F.col("held_out") == held_out).select("block", F.col("text_id").alias(f"{name}_id"), F.col("check_0").alias(f"{name}_0"), F.col("check_1").alias(f"{name}_1"))
+    apart = lambda i: F.bit_count(F.col(f"train_{i}").bitwiseXOR(F.col(f"held_{i}")))
+    candidates = side(False, "train").join(side(True, "held"), "block").where(apart(0) + apart(1) <= RADIUS).select("train_id", "held_id").distinct()
+    text = lambda held_out, name: prepared.where(F.col("held_out") == held_out).groupBy(F.col("text_id").alias(f"{name}_id")).agg(F.first("words").alias(f"{name}_words"))
+    links = written(verified(candidates.join(text(False, "train"), "train_id").join(text(True, "held"), "held_id"), share), "links")
+    of = lambda held_out, name: prepared.where(F.col("held_out") == held_out).select("table_name", F.col("text_id").alias(f"{name}_id"), F.col("row_key").alias(f"{name}_key")).distinct()
+    rows = links.join(of(False, "train"), "train_id").join(of(True, "held").withColumnRenamed("table_name", "_table"), "held_id")
+    return rows.where("table_name = _table").select("table_name", "train_key", "held_key", "similarity")
 
 
 def dialogue_text(messages: str = "messages"):
