@@ -17,7 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.runtime import written
+
 SHARD_ITEMS = 20_000
+#: Specs are settings that tasks get whole; more are an error.
+MAX_SPECS = 10_000
 #: Cost of a container besides its length, in the same unit: what each further container costs to handle.
 CONTAINER_COST = 1.0
 PACKED = "spec_name string, shard int, bin_no int, bin_size bigint, item_key bigint, piece_no int, pieces int, piece_length bigint"
@@ -98,6 +102,9 @@ def pack(items: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
         .withColumn("length", F.least(cap.cast("bigint"), F.col("length") - F.col("piece_no") * cap))
     )
     counts = items.groupBy("spec_name").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / F.lit(shard_items)).cast("int"))
+    counts = written(counts, "counts")
+    if counts.limit(MAX_SPECS + 1).count() > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
     sharded = pieces.join(F.broadcast(counts.select("spec_name", "shards")), "spec_name").withColumn("shard", F.pmod(F.xxhash64("item_key", "piece_no"), F.col("shards")).cast("int"))
     return sharded.select("spec_name", "shard", "item_key", "piece_no", "pieces", "length", "sizes").groupBy("spec_name", "shard").applyInPandas(_pack_shard, PACKED)
 
@@ -126,7 +133,6 @@ def split_items(packed: DataFrame) -> DataFrame:
 
 #: Key columns of tables that can be packed; fixed values.
 KEY_OF = {"rendered_sft": "row_id", "documents": "doc_id"}
-MAX_SPECS = 10_000
 
 
 def spec_items(spark: SparkSession, sf: str, joint: bool = False) -> DataFrame:
