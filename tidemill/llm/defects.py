@@ -163,6 +163,8 @@ def stops_short(text: str) -> bool:
         return False
     if text[0] in "[{" and (stops := json_stops(text)) is not None:
         return stops
+    if text[0] in "[{" and text[-1] in "]}":
+        return False  # broken in another way, but at its end
     left_open = _open_at_end(text)
     if left_open in ("```", "~~~"):
         return True
