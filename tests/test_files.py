@@ -45,6 +45,19 @@ def test_lines_keep_their_numbers(spark, tmp_path):
         files.chat_rows(spark, str(path), "source string", bad).collect()
 
 
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    path = tmp_path / "big.txt"
+    path.write_text("".join(f"line {i}\n" if i % 5 else "\n" for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = files.numbered_lines(spark, str(path))
+        assert lines.where("value <> ''").where("value <> concat('line ', line_no)").count() == 0
+        assert lines.agg(F.max("line_no"), F.count("*")).first()[:] == (19_999, 20_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_benchmark_rows(spark, tmp_path):
     with gzip.open(tmp_path / "a.jsonl.gz", "wt") as out:
         out.write('{"x": 1}\n{"x": 2, "y": "z"}\n')

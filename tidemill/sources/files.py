@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.expr import nonblank
+from tidemill.operators.prefix import positions
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Lines (file, line_no, value) in the order of the files' bytes; blank lines keep their number.
+    """Lines (file, line_no, value), numbered from 0 in each file; blank lines have their number.
 
-    Line numbers are those of whole files, so files aren't split; give large data as many files."""
+    Files may be split among tasks: lines are counted per split, and splits are put in order of where they begin."""
     paths = [path] if isinstance(path, str) else list(path)
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n")
-    return whole.select("file", F.posexplode(lines).alias("line_no", "value"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"), "value")
+    return positions(lines, F.col("_from"), ["_from", "_id"], ["file"], "line_no").select("file", "line_no", "value")
 
 
 def json_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
