@@ -19,16 +19,16 @@ from pyspark.sql import functions as F
 from tidemill.functions.normalize import INVISIBLE, squashed, words
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
-#: Tiles are at least so many words; a copy is a reply that tiles of the prompt cover to COPY_SHARE, and half of the prompt.
-TILE, COPY_SHARE, PROMPT_SHARE = 3, 0.85, 0.5
+#: Tiles are at least so many words; a copy is a reply that tiles of the prompt cover to COPY_SHARE, and PROMPT_SHARE of the prompt.
+TILE, COPY_SHARE, PROMPT_SHARE = 3, 0.85, 0.7
 
 # What stands for nothing, frequent words per language, names of the languages.
 PLACEHOLDERS = frozenset("na none null nil nan tbd todo undefined empty noanswer noresponse placeholder".split())
 _FREQUENT = {
     "en": "the of and to in is that it was for on are with as this be by at from have or an they which you we not can but if more a i my your our their his her its do does did has had will would should could there here who what when where why how than then so no yes most every each after before over one two people first look some any all only also use look about into them he she him says said say".split(),
     "de": "der die das und ist nicht mit den von zu ein eine im auf für sich dem wird als auch es an wenn wer nach noch bevor wir sie er des einen einem einer war sind hat haben kann soll sollte wissen jeden tag zuerst sehr schon etwa steht dass nur selten oder aber bei aus am zum zur über unter wie was wo hier ihn ihm ihr mein dein sein kein keine nutzt heute".split(),
-    "es": "el la los las de que y en un una por con para se del al es no lo su más como cuando muy cada también hay está son fue era este esta ese esa dónde qué quien debe saber casi nunca tarde equipo primero después otra vez antes tiene unas dice nadie notas todo sobre sin pero si ya me te le les nos".split(),
-    "fr": "le la les de des et un une du que qui dans est pour pas sur au avec il elle ce se ne plus par on quand chaque très ceux utilisent savent rarement soir encore fois aussi après avant lit personne trop alors jour nouveau où sont été être son sa ses leur mais ou donc tout nous vous je tu y en aux cette".split(),
+    "es": "a el la los las de que y en un una por con para se del al es no lo su más como cuando muy cada también hay está son fue era este esta ese esa dónde qué quien debe saber casi nunca tarde equipo primero después otra vez antes tiene unas dice nadie notas todo sobre sin pero si ya me te le les nos".split(),
+    "fr": "a le la les de des et un une du que qui dans est pour pas sur au avec il elle ce se ne plus par on quand chaque très ceux utilisent savent rarement soir encore fois aussi après avant lit personne trop alors jour nouveau où sont été être son sa ses leur mais ou donc tout nous vous je tu y en aux cette".split(),
 }
 _NAMED = {
     "en": re.compile(r"\b(?:english|englisch|inglés|ingles|anglais)\b"),
