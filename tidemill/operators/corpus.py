@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.expr import encoded_bytes, nonblank, split_label
 from tidemill.operators.prefix import id_slot, running_total
+from tidemill.runtime import bounded
 
 BYTES_PER_TOKEN = 4
 
@@ -20,10 +21,15 @@ def encoded(documents: DataFrame, domain: str, text: str = "text", pos: str = "d
 def budget_cut(docs: DataFrame, targets: DataFrame, size: str = "n_bytes") -> DataFrame:
     """Each domain's documents in order until their sizes reach the domain's target; the one that crosses it is kept.
 
-    targets has domain and target; a domain keeps at least one document, even for a target of 0.
+    targets has domain and target, one row a configured component; a domain keeps at least one document, even for a target
+    of 0. What is kept is a prefix, so only (domain, pos, size) is shuffled to find each domain's last position, and the
+    documents themselves are filtered where they lie. pos must be unique in its domain.
     """
-    run = running_total(docs, id_slot("pos"), ["pos"], {"before": F.col(size), "rank": F.lit(1).cast("bigint")}, ["domain"])
-    return run.join(F.broadcast(targets.select("domain", "target")), "domain").where((F.col("before") < F.col("target")) | (F.col("rank") == 0))
+    narrow = docs.select("domain", "pos", F.col(size).alias("_size"))
+    run = running_total(narrow, id_slot("pos"), ["pos"], {"before": F.col("_size"), "rank": F.lit(1).cast("bigint")}, ["domain"])
+    kept = run.join(bounded(targets.select("domain", "target"), "components"), "domain").where((F.col("before") < F.col("target")) | (F.col("rank") == 0))
+    last = kept.groupBy("domain").agg(F.max("pos").alias("_last"))
+    return docs.join(F.broadcast(last), "domain").where(F.col("pos") <= F.col("_last")).drop("_last")
 
 
 def domain_targets(fractions: DataFrame, total_bytes: int) -> DataFrame:

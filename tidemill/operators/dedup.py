@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.runtime import written
 
 
+def key_digest(*keys: str) -> Column:
+    """128 bits that stand for the values of keys, nulls included, so that long texts are never shuffled as keys."""
+    return F.md5(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))), {"ignoreNullFields": "false"}))
+
+
 def first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The first row of each key. Only the first places are aggregated, partly before the shuffle, and joined back."""
-    first = rows.groupBy(*keys).agg(F.min(order).alias(order))
-    same = None
-    for k in [*keys, order]:
-        eq = rows[k].eqNullSafe(first[k])
-        same = eq if same is None else same & eq
-    return rows.join(first, same, "left_semi")
+    """The first row of each key, nulls being a value of their own. order must be unique.
+
+    Digests of the keys are aggregated, partly before the shuffle; the rows follow in one semi-join on order."""
+    first = rows.select(key_digest(*keys).alias("_key"), order).groupBy("_key").agg(F.min(order).alias(order))
+    return rows.join(first.select(order), order, "left_semi")
 
 
 def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str, most_rounds: int = 200) -> DataFrame:
@@ -25,9 +28,9 @@ def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str, most_rou
 
     Keys are those of accepted rows only, so this isn't a chain of distinct. In rounds: the rows that are first in all their
     groups are accepted, rows that share a key with an accepted one are dropped, and the rest goes on. Null keys group with
-    nothing. Only (order, keys) take part; the last join brings the rows back. order must be unique.
+    nothing. Only order and digests of the keys take part; the last join brings the rows back. order must be unique.
     """
-    open_ = written(rows.select(order, *keys), "open")
+    open_ = written(rows.select(order, *(F.md5(F.col(k).cast("string")).alias(k) for k in keys)), "open")
     accepted = None
     for _ in range(most_rounds):
         if open_.isEmpty():

@@ -12,10 +12,16 @@ from tidemill.operators.prefix import hash_slot, id_slot, positions, running_tot
 
 
 def take_until_valid(rows: DataFrame, order: str, valid: str, target: int, most_candidates: int | None = None) -> DataFrame:
-    """The valid rows read until target of them are found or most_candidates rows are read, with the rows read before each."""
-    run = running_total(rows, id_slot(order), [order], {"candidates_before": F.lit(1).cast("bigint"), "valid_before": F.col(valid).cast("bigint")})
-    kept = run.where((F.col("valid_before") < target))
-    return kept.where(F.col("candidates_before") < most_candidates) if most_candidates is not None else kept
+    """The rows read until target of them are valid or most_candidates are read: a prefix, found on (order, valid) alone.
+
+    order must be unique. A null valid counts as not valid."""
+    narrow = rows.select(order, F.coalesce(F.col(valid), F.lit(False)).cast("bigint").alias("_ok"))
+    run = running_total(narrow, id_slot(order), [order], {"_read": F.lit(1).cast("bigint"), "_found": F.col("_ok")})
+    kept = run.where(F.col("_found") < target)
+    if most_candidates is not None:
+        kept = kept.where(F.col("_read") < most_candidates)
+    last = kept.agg(F.max(order).alias("_last"))
+    return rows.join(F.broadcast(last)).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
 def source_manifest(read: DataFrame, valid: str, requested: int, group: str) -> DataFrame:
@@ -46,11 +52,17 @@ def largest_remainder(sizes: DataFrame, total: int, group: str = "source", size:
     return out.withColumn("allocated", F.col("_low") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).select(group, size, "allocated")
 
 
+def _ranked(rows: DataFrame, key: str, source: str, seed: int) -> DataFrame:
+    """(key, source, _pos): each row's place in its source's hash order, without the row's other columns."""
+    narrow = rows.select(key, source).withColumn("_h", hash_order(key, seed))
+    return positions(narrow, hash_slot("_h"), ["_h", key], [source], "_pos").select(key, source, "_pos")
+
+
 def ratio_subset(rows: DataFrame, key: str, source: str, total: int, seed: int) -> DataFrame:
-    """total rows that keep the sources' ratios, by hash order in each source."""
+    """total rows that keep the sources' ratios, by hash order in each source. key must be unique."""
     share = largest_remainder(rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")), total, source)
-    ranked = positions(rows.withColumn("_h", hash_order(key, seed)), hash_slot("_h"), ["_h", key], [source], "_pos")
-    return ranked.join(share.select(source, "allocated"), source).where(F.col("_pos") < F.col("allocated")).drop("_h", "_pos", "allocated")
+    chosen = _ranked(rows, key, source, seed).join(share.select(source, "allocated"), source).where(F.col("_pos") < F.col("allocated"))
+    return rows.join(chosen.select(key), key, "left_semi")
 
 
 def mixture_plan(available: DataFrame, recipe: Mapping[str, int], order: Sequence[str], policy: str = "redistribute") -> DataFrame:
@@ -81,8 +93,8 @@ def check_total(plan: DataFrame) -> DataFrame:
 
 
 def mixture(rows: DataFrame, plan: DataFrame, key: str, source: str, seed: int) -> DataFrame:
-    """The selected rows of every source, with their place in the shuffled mixture."""
-    ranked = positions(rows.withColumn("_h", hash_order(key, seed)), hash_slot("_h"), ["_h", key], [source], "_pos")
-    chosen = ranked.join(plan.select(F.col("source").alias(source), "selected"), source).where(F.col("_pos") < F.col("selected")).drop("_h", "_pos", "selected")
-    mixed = chosen.withColumn("_m", hash_order(key, seed + 10_000))
-    return positions(mixed, hash_slot("_m"), ["_m", key], [], "place").drop("_m")
+    """The selected rows of every source, with their place in the shuffled mixture. key must be unique."""
+    asked = plan.select(F.col("source").alias(source), "selected")
+    chosen = _ranked(rows, key, source, seed).join(asked, source).where(F.col("_pos") < F.col("selected")).select(key)
+    placed = positions(chosen.withColumn("_m", hash_order(key, seed + 10_000)), hash_slot("_m"), ["_m", key], [], "place").select(key, "place")
+    return rows.join(placed, key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import expr as E
 from tidemill.operators import dedup, sampling, windows
+from tidemill.operators.prefix import id_slot, positions
 
 SEED, CONTEXT, BATCH = 42, 256, 8
 ORDER = ("web", "code", "synthetic", "papers", "faq", "wiki_dump")
@@ -118,7 +119,8 @@ def _flagged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def take_until_valid(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.take_until_valid(_flagged(spark, sf), "doc_id", "valid", 40, 200).where("valid").select("doc_id", "candidates_before")
+    read = sampling.take_until_valid(_flagged(spark, sf), "doc_id", "valid", 40, 200).select("doc_id", "valid")
+    return positions(read, id_slot("doc_id"), ["doc_id"], [], "candidates_before").where("valid").select("doc_id", "candidates_before")
 
 
 def source_manifest(spark: SparkSession, sf: str) -> DataFrame:

@@ -64,3 +64,14 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+#: Settings (components, sources, specs) may be this many where tasks get all of them.
+MAX_SETTINGS = 10_000
+
+
+def bounded(settings: DataFrame, what: str, most: int = MAX_SETTINGS) -> DataFrame:
+    """settings, to be sent to every task, after a count has shown that they are few; else an error."""
+    if settings.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(settings)
