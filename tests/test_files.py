@@ -143,6 +143,7 @@ def test_tokenizer(spark, tmp_path):
     got = {r["k"]: r for r in tokenizer.encoded(df, ["k"], "t").collect()}
     assert got[1]["round_trip"] and got[2]["token_ids"] is None and got[3]["token_ids"] == []
     own = tokenizer.train(["the cat sat on the mat"] * 50, 300)
+    assert tokenizer.missing_bytes(own) == tokenizer.missing_bytes(tokenizer.load(tokenizer.TOKENIZER)) == []
     assert own.encode("a tool_calling im_end").ids.count(own.token_to_id("im_end")) == 1
     assert own.decode(own.encode("é😀").ids) == "é😀"
     own.save(str(tmp_path / "t.json"))
@@ -155,6 +156,11 @@ def test_tokenizer(spark, tmp_path):
     assert sum(out[2]["loss_mask"]) > 3
 
 
+def test_reports():
+    assert sinks.report_lines([{"name": "x", "acc": 0.51239, "n": 3}, {"name": "y", "acc": None, "n": 4}]) == ["name\tacc\tn", "x\t0.5124\t3", "y\t-\t4"]
+    assert sinks.report_lines([]) == []
+
+
 def test_padded(spark):
     df = spark.createDataFrame([([5, 6, 7], [0, 1, 1])], "ids array<int>, m array<int>")
     assert [list(x) for x in df.select(*tokenizer.padded("ids", "m", 5)).first()] == [[5, 6, 7, 0, 0], [6, 7, 0, 0, 0], [1, 1, 0, 0, 0]]

@@ -124,3 +124,8 @@ def test_flat_and_matched():
 def test_bound_is_evaluated_once(spark):
     df = spark.range(3).select(E.bound(F.rand(1), lambda x: x - x).alias("zero"))
     assert {r["zero"] for r in df.collect()} == {0.0}
+
+
+@pytest.mark.parametrize(("text", "want"), [('{"a": 1}', True), ("{}", True), ('{"a": 1}, {"b": 2}', False), ('{"a": 1} x', False), ("[1]", False), ("{", False), ("", False), (None, False), ('"a"', False)])
+def test_one_json_object(spark, text, want):
+    assert _one(spark, text, E.is_json_object) == want

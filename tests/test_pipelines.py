@@ -77,6 +77,22 @@ def test_completions(spark, tmp_path):
     assert {r["reason"]: r["responses"] for r in reasons.collect()} == {"ok": 9, "invalid_json": 3}
 
 
+def test_scorecards(spark, tmp_path):
+    tools = '[{"name": "f", "parameters": {"type": "object", "properties": {"a": {"type": "integer"}}}}]'
+    cases = [("assistant", 1, "x", None, None, None), ("math", 1, "Final answer: 4", None, None, None), ("tool_seen", 1, None, "f", '{"a": 1}', tools), ("tool_no_call", 1, "x", None, None, None)]
+    outputs = [("c", "assistant", 1, "Hello."), ("c", "math", 1, "It is 4."), ("c", "tool_seen", 1, 'tool_call {"name": "f", "arguments": {"a": 1}} tool_call_end'), ("c", "tool_no_call", 1, "tool_call {")]
+    frames = [spark.createDataFrame([("c",), ("gone",)], "checkpoint string"), spark.createDataFrame(cases, "category string, case_id bigint, expected string, expected_tool string, expected_arguments string, tools_json string")]
+    card = pipelines.sft_scorecard(*frames, spark.createDataFrame(outputs, "checkpoint string, category string, case_id bigint, text string"), str(tmp_path / "s.json"))
+    assert card["gone"] == {"status": "missing"} and card["c"]["status"] == "ok"
+    assert card["c"]["math"]["exact_match_rate"] == 1.0 and card["c"]["tool_seen"]["argument_exact_rate"] == 1.0 and card["c"]["tool_no_call"]["correct_rate"] == 0.0 and card["c"]["assistant"]["non_empty_rate"] == 1.0
+    with pytest.raises(Exception, match="no output"):
+        pipelines.sft_scorecard(*frames, spark.createDataFrame(outputs[:2], "checkpoint string, category string, case_id bigint, text string"), str(tmp_path / "s.json"))
+    lm = spark.createDataFrame([("lambada", 2.0, 3, 4)], "name string, nats double, tokens bigint, bytes bigint")
+    mcq = spark.createDataFrame([("piqa", 1, 0, -1.0, 2, 0), ("piqa", 1, 1, -2.0, 2, 0)], "name string, case_id bigint, choice int, logprob double, tokens bigint, label int")
+    card = pipelines.benchmark_scorecard(spark, lm, mcq, str(tmp_path / "b.json"), only=["piqa", "lambada", "mmlu"])
+    assert card["piqa"]["acc"] == 100.0 and card["lambada"]["bpb"] == pytest.approx(2 / (0.6931471805599453 * 4)) and card["mmlu"]["status"] == "missing"
+
+
 def test_windows_resume(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     all_ = pipelines.pretrain_windows(docs, "doc_id", "text", C.BatchConfig(64, 4))

@@ -30,6 +30,12 @@ def stripped(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
+def is_json_object(c: Column | str) -> Column:
+    """Whether a text is one JSON object and nothing after it, which the parser alone would let pass."""
+    alone = F.json_array_length(F.concat(F.lit("["), col(c), F.lit("]"))) == 1
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(col(c))).startswith("OBJECT") & alone, F.lit(False))
+
+
 def extracted_text(row: DataFrame, field: str | None) -> Column:
     """A field's text if it isn't blank, else null; without a field the whole row as JSON with its nulls."""
     if field is None:

@@ -36,6 +36,17 @@ def train(texts: Iterable[str], vocab_size: int, least: int = 2):
     return tokenizer
 
 
+def missing_bytes(tokenizer) -> list[int]:  # noqa: ANN001 - a Tokenizer
+    """Byte values that a byte-level tokenizer has no token of its own for; a complete one has none."""
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    known = tokenizer.get_vocab()
+    signs = {b: split.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+    rest = sorted(set(pre_tokenizers.ByteLevel.alphabet()) - set(signs.values()))
+    return [b for b, sign in signs.items() if sign not in known] + [128 + i for i, sign in enumerate(rest) if sign not in known]
+
+
 def encoded(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER) -> DataFrame:
     """rows' columns keep with token_ids, offset_bytes (sum of the tokens' character spans) and whether decoding gives the text back.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.expr import cleaned_reasoning, nonblank, stripped
+from tidemill.functions.expr import cleaned_reasoning, is_json_object, nonblank, stripped
 
 MESSAGES = "array<struct<role:string,content:string,name:string,tool_calls:array<struct<type:string,function:struct<name:string,arguments:string>>>>>"
 TOOL_BLOCK = "Available tools:\n"
@@ -125,7 +125,7 @@ def parsed_response(text: Column) -> Column:
     t = F.when(t.startswith("```"), stripped(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\n\s*```\s*$", ""))).otherwise(t)
     start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + F.lit(1)
     body = F.when((start > 0) & (F.instr(t, "}") > 0) & (end > start), F.substring(t, start, end - start + F.lit(1)))
-    return F.when(F.try_parse_json(body).isNotNull(), body)
+    return F.when(is_json_object(body), body)
 
 
 def normalized_answer(value: Column) -> Column:

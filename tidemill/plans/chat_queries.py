@@ -168,6 +168,8 @@ QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]"
 _NB = r"coalesce(regexp_matches({c}, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]'), false)"
+_STRIP = rf"regexp_replace({{c}}, '^{_WS}+|{_WS}+$', '', 'g')"
+_CLEAN = r"""array_to_string(list_filter(list_transform(string_split_regex(regexp_replace({c}, '<<[^>]*>>', '', 'g'), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10))"""
 _HAS = lambda cond: f"coalesce(len(list_filter(m, lambda x: coalesce({cond}, false))), 0) > 0"
 _N = "coalesce(len(x.tool_calls), -1)"
 _CHECK = f"""b AS (SELECT row_id, messages, tools, coalesce(messages, []) AS m, list_transform(coalesce(tools, []), lambda t: t."function".name) AS names FROM sft_row),
@@ -196,6 +198,9 @@ ORACLES = {
     "chat_convert": f"""SELECT row_id, len(messages)::BIGINT AS turns, list_sum(list_transform(messages, lambda x: length(x.content)))::BIGINT AS chars FROM sft_row
         WHERE len(messages) > 0 AND len(list_filter(messages, lambda x: NOT (coalesce(x.role IN ('system', 'user', 'assistant'), false) AND {_NB.replace('{c}', 'x.content')}))) = 0
           AND len(list_filter(messages, lambda x: x.role = 'assistant')) > 0 AND messages[1].role IN ('system', 'user')""",
+    "math_convert": f"""WITH r AS (SELECT row_id, messages[1].content AS q, replace(messages[2].content, 'Final answer:', '####') AS a FROM sft_row WHERE source IN ('gsm8k_math', 'gsm8k_eval')),
+        p AS (SELECT row_id, {_STRIP.replace('{c}', 'q')} AS question, {_STRIP.replace('{c}', "substr(a, instr(a, '####') + 4)")} AS final, {_CLEAN.replace('{c}', "substr(a, 1, instr(a, '####') - 1)")} AS why FROM r WHERE instr(a, '####') > 0)
+        SELECT row_id, question, CASE WHEN why <> '' THEN why || chr(10) || chr(10) ELSE '' END || 'Final answer: ' || final AS reply FROM p WHERE question <> '' AND final <> ''""",
     "chat_schema_check": f"WITH {_CHECK} SELECT row_id, array_to_string(breaks, ',') AS breaks FROM c",
     "chat_render_text": f"WITH {_CHECK}, t AS (SELECT row_id, {_TEXT('messages')} AS t FROM c WHERE len(breaks) = 0) SELECT row_id, length(t)::BIGINT AS chars, md5(t) AS digest FROM t",
     "chat_prompt": f"WITH {_CHECK}, k AS (SELECT *, {_SPOKEN}[-1] - 1 AS target_index FROM c WHERE len(breaks) = 0) SELECT row_id, target_index, md5({_TEXT('messages[1:target_index]')} || 'im_start' || chr(10) || 'im_assistant' || chr(10)) AS digest FROM k WHERE target_index IS NOT NULL",
@@ -206,6 +211,8 @@ ORACLES = {
     "pad_shift_mask": f"SELECT row_id, list_sum(token_ids)::BIGINT AS input_sum, (list_sum(token_ids) - token_ids[1])::BIGINT AS target_sum, coalesce(list_sum(loss_mask[2:]), 0)::BIGINT AS mask_sum, {CONTEXT}::BIGINT AS width FROM rendered_sft WHERE len(token_ids) BETWEEN 2 AND {CONTEXT}",
     "tool_name_set": "SELECT DISTINCT name FROM (SELECT unnest(list_transform(tools, lambda t: t.\"function\".name)) AS name FROM sft_row) WHERE name IS NOT NULL",
     "excluded_tools_antijoin": "SELECT row_no, func_name FROM sft_public_tool_fixture WHERE func_name IS NOT NULL AND func_name NOT IN (SELECT name FROM (SELECT unnest(list_transform(tools, lambda t: t.\"function\".name)) AS name FROM sft_row WHERE split = 'test') WHERE name IS NOT NULL)",
+    "response_parse": r"""WITH b AS (SELECT row_no, regexp_replace(answers, '^\[|\]$', '', 'g') AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL), c AS (SELECT row_no, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) END AS j FROM b)
+        SELECT row_no, coalesce(json_valid(j) AND j <> '', false) AS is_object FROM c""",
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
     "tokenizer_roundtrip": "SELECT count(*) AS docs, 0::BIGINT AS broken, sum(strlen(text))::BIGINT AS text_bytes FROM documents",
 }

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tidemill.config import BatchConfig, CorpusConfig, MixtureConfig, as_dict
 from tidemill.functions import tokenizer
-from tidemill.functions.expr import nonblank
-from tidemill.operators import chat, corpus, generate, sampling, toolrows, windows
-from tidemill.runtime import written
+from tidemill.functions.expr import nonblank, normalized_key, stripped
+from tidemill.operators import benchmarks, chat, corpus, generate, metrics, sampling, toolrows, windows
+from tidemill.operators.dedup import first_wins
+from tidemill.runtime import bounded, written
 from tidemill.sources import files, sinks
 
 
@@ -116,9 +117,6 @@ def prepare_completions(spark: SparkSession, category: str, fields: tuple[str, s
     answered = written(toolrows.complete(generate.prompts(spark, category, target * attempts), client_factory), "answers")
     done = answered.withColumn("o", chat.response_row(F.col("response"), *fields, limits)).select("attempt", "o.*")
     reasons = done.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("responses"))
-    from tidemill.functions.expr import normalized_key
-    from tidemill.operators.dedup import first_wins
-
     unique = first_wins(done.where("reason is null").withColumn("key", normalized_key(F.get("messages", F.lit(0))["content"])), ["key"], "attempt")
     source = f"internal_{category}"
     return prepare_rows(unique, "attempt", F.col("messages"), source, target, output_dir), reasons
@@ -163,3 +161,45 @@ def pretrain_windows(docs: DataFrame, order: str, text: str, config: BatchConfig
 def resumed(batches: DataFrame, after_batch: int) -> DataFrame:
     """What is left of batches after one was done: order and numbers never change, so a position is all the state."""
     return batches.where(F.col("batch_id") > after_batch)
+
+
+def sft_scorecard(configured: DataFrame, cases: DataFrame, outputs: DataFrame, path: str) -> dict:
+    """Metrics of every configured checkpoint by category, as nested JSON; a checkpoint without outputs is there as missing.
+
+    cases: category, case_id, expected, expected_tool, expected_arguments, tools_json. outputs: checkpoint, category, case_id,
+    text. Every checkpoint that has outputs must have one for each case."""
+    there = outputs.select("checkpoint").distinct()
+    paired = metrics.paired(cases.join(bounded(there, "checkpoints")), outputs, ["checkpoint", "category", "case_id"])
+    read = written(paired.withColumn("attempted", F.contains("text", F.lit("tool_call"))).withColumn("content", F.when(~F.col("attempted"), stripped("text"))), "outputs")
+    by = ["checkpoint", "category"]
+    calls = read.where("category like 'tool_seen%' or category like 'tool_unseen%'").withColumn("c", toolrows.read_call(F.col("text"), F.col("tools_json")))
+    calls = calls.withColumn("m", toolrows.argument_match(F.col("expected_arguments"), F.col("c.arguments"))).select(*by, "c.valid_json", "c.schema_valid", F.coalesce(F.col("c.name") == F.col("expected_tool"), F.lit(False)).alias("selected"), "m.*")
+    parts = [
+        metrics.assistant_metrics(read.where("category = 'assistant'"), "content", "attempted", by),
+        metrics.math_metrics(read.where("category = 'math'"), "expected", "content", by),
+        metrics.tool_set_metrics(calls, by),
+        metrics.no_call_metrics(read.where("category in ('tool_no_call', 'tool_missing_info')"), "content", "attempted", by),
+    ]
+    card: dict = {r["checkpoint"]: {"status": "missing"} for r in configured.select("checkpoint").collect()}  # configured by hand
+    for part in parts:
+        for r in part.collect():  # one row for each checkpoint and category
+            entry = card.setdefault(r["checkpoint"], {})
+            entry["status"] = "ok"
+            entry[r["category"]] = {k: v for k, v in r.asDict().items() if k not in by}
+    sinks.replace_json(path, card)
+    return card
+
+
+def benchmark_scorecard(spark: SparkSession, scored_lm: DataFrame, scored_mcq: DataFrame, path: str, only: list[str] | None = None, skip_large: bool = False) -> dict:
+    """Bits per byte of language-modelling benchmarks and accuracy of multiple-choice ones; those without scores are missing.
+
+    scored_lm: name, nats, tokens, bytes. scored_mcq: name, case_id, choice, logprob, tokens, label."""
+    specs = benchmarks.selected(benchmarks.catalogue(spark), only, skip_large)
+    lm = metrics.bits_per_byte(scored_lm.join(F.broadcast(specs.select("name")), "name", "left_semi"), "name")
+    mcq = metrics.choice_accuracy(scored_mcq.join(F.broadcast(specs.select("name")), "name", "left_semi"), ["case_id"], "name")
+    card = {r["name"]: {"kind": r["kind"], "status": "missing"} for r in specs.collect()}  # the catalogue
+    for part in (lm, mcq):
+        for r in part.collect():  # one row for each benchmark
+            card[r["name"]] |= {"status": "ok"} | {k: v for k, v in r.asDict().items() if k != "name"}
+    sinks.replace_json(path, card)
+    return card

@@ -101,3 +101,12 @@ def scorecard(rows: DataFrame, by: str, path: str) -> dict:
     card = {r[by]: {k: v for k, v in r.asDict().items() if k != by} for r in rows.collect()}  # one row for each entry
     replace_json(path, card)
     return card
+
+
+def report_lines(entries: list[dict]) -> list[str]:
+    """Entries as tab-separated lines under their names: floats with four digits, nothing as a dash."""
+    if not entries:
+        return []
+    shown = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    names = list(entries[0])
+    return ["\t".join(names), *("\t".join(shown(e.get(n)) for n in names) for e in entries)]
