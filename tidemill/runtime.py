@@ -75,3 +75,13 @@ def bounded(settings: DataFrame, what: str, most: int = MAX_SETTINGS) -> DataFra
     if settings.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} {what}")
     return F.broadcast(settings)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many parts as there are cores, where it is a plain scan of less than half as many.
+
+    For work that takes far longer than moving the rows. Tables of many files or splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):  # it has shuffles already
+        return df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
