@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.normalize import folded, squashed
-from tidemill.runtime import join_counted, new_path, written
+from tidemill.runtime import join_counted, new_path, spread, written
 
 BUCKETS = 32
 _NAMES: dict[str, str] = {}
@@ -70,7 +70,7 @@ def canonical_keys(rows: DataFrame, id_col: str, plain: list[str], as_json: list
             yield pa.RecordBatch.from_arrays([b.column(0), *halves], names=["id", "key_hi", "key_lo"])
 
     narrow = rows.select(F.col(id_col).cast("bigint").alias("id"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate([*plain, *as_json])))
-    return narrow.mapInArrow(keys, "id bigint, key_hi bigint, key_lo bigint")
+    return spread(narrow, "id").mapInArrow(keys, "id bigint, key_hi bigint, key_lo bigint")
 
 
 class Ledger:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE splits a text before merging; a fixed value that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,4 +37,4 @@ def count_tokens(rows: DataFrame, keep: list[str], text_col: str, vocabulary: st
 
     narrow = rows.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
-    return narrow.mapInArrow(counts, f"{schema}, n_tokens bigint")
+    return spread(narrow, keep[0]).mapInArrow(counts, f"{schema}, n_tokens bigint")
