@@ -225,11 +225,10 @@ def tiled(reply: list[str], prompt: list[str]) -> tuple[int, int]:
 def copies_prompt(reply: list[str], prompt: list[str]) -> bool:
     if len(reply) < TILE or len(prompt) < TILE:
         return reply == prompt and len(reply) > 1
-    known = set(prompt)
-    if sum(w in known for w in reply) < COPY_SHARE * len(reply):
+    known, slack = set(prompt), 2  # words beside a changed one may be too few for a tile
+    if sum(w in known for w in reply) + slack < COPY_SHARE * len(reply):
         return False
     covered, used = tiled(reply, prompt)
-    slack = 2  # words beside a changed one may be too few for a tile
     return covered + slack >= COPY_SHARE * len(reply) and used + slack >= PROMPT_SHARE * len(prompt)
 
 
