@@ -27,6 +27,27 @@ def test_kinds(reply, kind):
     assert defect(ASK, reply) == kind
 
 
+@pytest.mark.parametrize(
+    "reply",
+    [
+        "I'm sorry, but I can't say.", "We are afraid that we cannot say.", "I won't answer.", "We could not answer this.", "I couldn't help.", "I can not comply.", "I must reject your request.", "We will have to decline.", "I need to refuse.", "I decline to answer.", "We refuse this.",
+        "I am unable to say.", "We're not able to say.", "I'm not allowed to say.", "I am not permitted to say.", "We are not authorised to say.", "I'm not authorized to say.", "I am not in a position to say.", "I'd rather not say.", "That's not something I can do.", "This isn't something we're allowed to say.", "It is something I cannot do.", "Anything I'm unable to read stays unread.",
+        "My guidelines forbid it.", "My policy does not let me.", "My rules prevent that.", "My instructions prohibit this.", "It is not possible for me to say.", "It's impossible for us to say.", "This question cannot be answered.", "The task can't be completed.", "Your prompt could not be processed.", "The query cannot be served.", "That request can not be handled.", "This request cannot be fulfilled.",
+        "None of my tools fit.", "None of the functions apply.", "I have no answer.", "We don't have the means.", "I do not have the right.", "I don't have the authorization.", "I don't have the ability.", "I do not have the permission.", "It falls outside what I know.", "That lies beyond our field.", "Please ask someone else.", "Please contact somebody else.", "Please turn to another person.", "We regret to stop here.", "I regret that I'm unable.",
+        "Das kann ich nicht.", "Dazu darf ich kein Wort sagen.", "Das werde ich nicht tun.", "Ich kann dir dabei nicht helfen.", "Wir dürfen dazu keine Auskunft geben.", "Das möchte ich ablehnen.", "Wir müssen das ablehnen.", "Ich lehne das ab.", "Tut mir leid, das geht nicht.",
+        "No me es posible responder a eso.", "No puedo ayudar.", "No podemos responder.", "No podré contestar.", "No podría atender eso.", "Debo declinar.", "Tengo que negarme.", "He de rechazar eso.", "No tengo permiso.", "No cuento con autorización.", "No estoy autorizada.", "No se me permite.", "Me es imposible.", "Me niego a eso.",
+        "Je ne peux pas.", "Je ne pourrai pas répondre.", "Je ne puis rien dire.", "Je ne saurais pas répondre.", "Je ne vais pas répondre.", "Je dois décliner.", "Je préfère refuser.", "Je refuse.", "Je ne suis pas autorisée.", "Je ne suis pas en mesure.", "Je ne suis pas habilité.", "Il m'est impossible.", "Il m'est interdit.", "Je n'ai pas le droit.", "Je n'ai pas l'autorisation.", "Je suis au regret.",
+    ],
+)
+def test_each_sentence_of_the_refusal_grammar_is_found(reply):
+    assert defect(None, reply) == "refusal"
+
+
+@pytest.mark.parametrize("reply", ["Please try another browser.", "Is there anything I can do for you?", "It is something we like.", "Here is something that I'm proud of."])
+def test_weak_hints_are_no_refusals(reply):
+    assert defect(None, reply) is None
+
+
 def test_a_language_that_was_asked_for_is_right():
     reply = "Wenn der Speicher zu groß wird, prüft das Team zuerst den Ordner."
     assert defect(ASK + " Answer in German, please.", reply) is None

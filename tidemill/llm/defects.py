@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,9 +47,6 @@ for _w in {w for ws in _FREQUENT.values() for w in ws}:
     _WEIGHT[_w] = tuple(o / sum(_owners) ** 2 for o in _owners)
 _MARKS = {"de": re.compile("[äöüß]"), "es": re.compile("[ñ¿¡áíóú]"), "fr": re.compile("[èêëàâçîïôûùœ]")}
 
-_TRIGGER = re.compile(
-    r"can['’]?t\b|can ?not\b|won['’]t|will not|unable|not able|sorry|afraid|declin|refus|rather not|permitted|allow|guideline|polic|possible|none of my|no answer|ability|permission|outside|beyond|regret|ablehn|leid|nicht|keine|darf|bedau|puedo|rechaz|permiso|siento|imposible|autoriz|peux|désol|regrett|mesure|autoris"
-)
 _NOT_REFUSED = r"(?! (?:stress|emphasi[sz]e|overstate|help but|wait|say enough|thank|recommend .{0,20}enough|\w+ this enough))"
 REFUSALS = [
     re.compile(p)
@@ -60,7 +58,7 @@ REFUSALS = [
         r"\b(?:i|we) (?:\w+ )?(?:decline|refuse) (?:to|this|that|your)",
         r"\b(?:i|we)(?:'m| am|'re| are) (?:\w+ )?(?:unable|not able|not allowed|not permitted|not authori[sz]ed|not in a position) to",
         r"\bi(?:'d| would) rather not\b",
-        r"\b(?:something|anything) (?:that )?(?:i|we)(?:'m| am| can| are|'re) ?(?:not|unable|permitted|allowed|able|willing|cannot|can't)?",
+        r"(?:\bnot|n't|\bnever) (?:\w+ )?(?:something|anything) (?:that )?(?:i|we)(?:'m| am| can| are|'re)\b|\b(?:something|anything) (?:that )?(?:i|we)(?:'m| am| can| are|'re)? ?(?:not|unable|cannot|can't)\b",
         r"\bmy (?:guidelines?|polic(?:y|ies)|rules?|instructions?) (?:\w+ )?(?:do|does|don't|doesn't|prevent|prohibit|forbid)",
         r"\b(?:not possible|impossible) for (?:me|us) to",
         r"\b(?:query|question|request|task|prompt) (?:cannot|can't|can not|could not) (?:\w+ )?be (?:answered|fulfill?ed|completed|handled|processed|served)",
@@ -68,7 +66,7 @@ REFUSALS = [
         r"\b(?:i|we) have no answer\b",
         r"\b(?:i|we) (?:don't|do not) have the (?:ability|permission|authori[sz]ation|means|right)\b",
         r"\b(?:falls?|is|lies|goes) (?:outside|beyond) (?:of )?(?:what (?:i|we)|my|our)\b",
-        r"\bplease (?:ask|contact|try|turn to|consult) (?:someone|somebody|another)\b",
+        r"\bplease (?:ask|contact|try|turn to|consult) (?:someone|somebody|another (?:person|assistant|expert|specialist|professional|colleague|model|service|source))\b",
         r"\b(?:i|we) regret (?:that|to)\b.{0,40}\b(?:not|unable|decline|stop)",
         # German
         r"\b(?:kann|darf|werde|möchte|könnte) (?:ich|wir)\b.{0,60}\b(?:nicht|keine?[nrms]?)\b",
@@ -83,6 +81,32 @@ REFUSALS = [
         r"\bje ne (?:peux|pourrai|puis|saurais|vais)(?: \w+)? (?:pas|rien)|\bje (?:dois|préfère) (?:\w+ )?(?:refuser|décliner)|\bje refuse\b|\bje ne suis pas (?:autorisée?|en mesure|habilitée?)|\bil m'est (?:impossible|interdit)|\bje n'ai pas (?:le droit|l'autorisation)|\bje suis au regret",
     )
 ]
+
+
+def _needed(parsed) -> frozenset[str]:
+    """Literals of which each match of a parsed rule has at least one: those whose shortest is longest. None are known if empty."""
+    found, run = [], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        inner = []
+        if op is _parser.SUBPATTERN:
+            inner = [_needed(value[3])]
+        elif op is _parser.BRANCH:
+            inner = [_needed(v) for v in value[1]]
+        elif op is _parser.MAX_REPEAT and value[0] > 0:
+            inner = [_needed(value[2])]
+        if inner and all(inner):
+            found.append(frozenset().union(*inner))
+    return max(found, key=lambda words: (min(map(len, words)), -len(words)), default=frozenset())
+
+
+#: Each rule with its needed literals, so that a text without them is spared the rule and no sentence of the grammar is lost.
+_RULES = [(tuple(sorted(_needed(_parser.parse(p.pattern)))), p) for p in REFUSALS]
 _POLITE = re.compile(r"(?:no|sorry|sorry again|apologies|désolée?|lo siento|es tut mir leid|leider|unfortunately|nein|non)[ ,]*", re.I)
 _SENTENCE = re.compile(r"[^.!?…\n]+[.!?…]*")
 
@@ -235,14 +259,15 @@ def copies_prompt(reply: list[str], prompt: list[str]) -> bool:
 def refuses(text: str) -> bool:
     """Whether a reply declines to help and gives nothing else."""
     low = text.lower().replace("’", "'")
-    if not _TRIGGER.search(low):
+    rules = [p for needed, p in _RULES if not needed or any(w in low for w in needed)]
+    if not rules:
         return False
     refused = other = 0
     for s in _SENTENCE.findall(low):
         s = s.strip()
         if not s or not any(c.isalnum() for c in s) or _POLITE.fullmatch(s.rstrip(".!?… ")):
             continue
-        if any(p.search(s) for p in REFUSALS):
+        if any(p.search(s) for p in rules):
             refused += 1
         else:
             other += 1
