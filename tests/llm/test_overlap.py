@@ -59,6 +59,37 @@ def test_against_brute_force(spark):
     assert len(got) >= 0.98 * len(want)
 
 
+def _rarest_changed(n, seed=3):
+    """Texts of 20 words of which the three rarest, names and numbers, differ in the held-out copy; and unrelated ones."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        base = [rng.choice(vocabulary) for _ in range(17)]
+        at = sorted(rng.sample(range(18), 3))
+        for side, split in enumerate(("train", "test")):
+            copy = list(base)
+            for j in at:
+                copy.insert(j, f"name{i}x{j}x{side}")
+            rows.append(("t", 2 * i + side, split, " ".join(copy), ""))
+    return rows
+
+
+def test_pairs_with_their_rarest_words_changed(spark):
+    rows = _rarest_changed(150)
+    assert _found(spark, rows) == _brute(rows) >= {("t", 2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_split_postings_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_PAIRS", 1)
+    rng = random.Random(4)
+    rows = _rarest_changed(60) + [("t", 1000 + i, rng.choice(("train", "val")), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))), "") for i in range(120)]
+    assert _found(spark, rows) == _brute(rows)
+    rows = [r for r in rows if r[1] >= 1000]
+    got = {(t, k, k2) for t, k, k2 in _brute(rows, 0.5)}
+    assert _found(spark, rows, share=0.5) == got
+
+
 def test_real_rows_against_brute_force(spark, sf):
     from tidemill.llm.queries import _texts
 
