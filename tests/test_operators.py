@@ -98,6 +98,15 @@ def test_greedy_equals_a_loop(spark):
         assert sorted(r["o"] for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_greedy_of_a_chain_longer_than_the_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(dedup, "FEW", few)
+    monkeypatch.setattr(dedup, "ROUNDS", 3)
+    rows = [(i, (i + 1) // 2, str(i // 2)) for i in range(450)]
+    got = dedup.greedy_first_wins(spark.createDataFrame(rows, "o bigint, a int, b string"), ["a", "b"], "o")
+    assert sorted(r["o"] for r in got.collect()) == list(range(0, 450, 2))
+
+
 def test_greedy_of_nothing(spark):
     assert dedup.greedy_first_wins(spark.createDataFrame([], "o bigint, a int"), ["a"], "o").count() == 0
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +24,46 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.join(first.select(order), order, "left_semi")
 
 
-def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str, most_rounds: int = 200) -> DataFrame:
+#: The rest is decided row by row once it has so few rows, or after so many rounds.
+FEW, ROUNDS = 100_000, 30
+
+
+def _one_by_one(open_: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The accepted rows of open_, decided in order by one task, which holds the keys of accepted rows."""
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: list[set[str]] = [set() for _ in keys]
+        for b in batches:
+            kept = []
+            for i, values in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                if not any(v in t for v, t in zip(values, taken, strict=True)):
+                    kept.append(i)
+                    for v, t in zip(values, taken, strict=True):
+                        if v is not None:
+                            t.add(v)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64()))], names=[order])
+
+    narrow = open_.select(order, *keys).repartition(1).sortWithinPartitions(order)
+    return narrow.mapInArrow(decided, narrow.select(order).schema)
+
+
+def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows accepted one after the other: one that shares a key with a row accepted before is dropped.
 
     Keys are those of accepted rows only, so this isn't a chain of distinct. In rounds: the rows that are first in all their
-    groups are accepted, rows that share a key with an accepted one are dropped, and the rest goes on. Null keys group with
-    nothing. Only order and digests of the keys take part; the last join brings the rows back. order must be unique.
+    groups are accepted, rows that share a key with an accepted one are dropped, and the rest goes on, at the end row by row.
+    Null keys group with nothing. Only order and digests of the keys take part; the last join brings the rows back. order must
+    be unique.
     """
     open_ = written(rows.select(order, *(F.md5(F.col(k).cast("string")).alias(k) for k in keys)), "open")
     accepted = None
-    for _ in range(most_rounds):
-        if open_.isEmpty():
+    rounds = 0
+    while left := open_.count():
+        if rounds and left <= FEW or rounds >= ROUNDS:
+            last = written(_one_by_one(open_, keys, order), "won")
+            accepted = last if accepted is None else accepted.unionByName(last)
             break
+        rounds += 1
         ok = F.lit(True)
         tried = open_
         for k in keys:
@@ -48,6 +77,4 @@ def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str, most_rou
             taken = won.where(F.col(k).isNotNull()).select(F.col(k).alias("_taken")).distinct()
             rest = rest.join(taken, F.col(k) == F.col("_taken"), "left_anti")
         open_ = written(rest.select(order, *keys), "open")
-    else:
-        raise RuntimeError(f"rows still undecided after {most_rounds} rounds")
     return rows.join(accepted, order, "left_semi") if accepted is not None else rows.limit(0)
