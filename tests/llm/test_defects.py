@@ -1,5 +1,8 @@
 """Broken pairs: the kinds, hard look-alikes of them, and odd rows."""
 
+import random
+import time
+
 import pytest
 
 from tidemill.llm.defects import defect, dialogue_defects, pair_defects, stops_short, tiled
@@ -94,3 +97,59 @@ def test_pairs_with_nulls(spark):
     rows = [(1, None, None, "a"), (2, "Hello there, how are you?", None, "b"), (3, None, "Fine.", "c"), (3, None, "Fine.", "c")]
     got = pair_defects(spark.createDataFrame(rows, "row_no bigint, query string, answers string, p string"), "row_no", "query", "answers", "t").collect()
     assert sorted(map(tuple, got)) == [("t", 1, 0, "empty"), ("t", 2, 0, "empty")]
+
+
+@pytest.mark.parametrize(
+    ("reply", "kind"),
+    [
+        ("<ul><li>one</li><li>two", "truncated"), ("<ul><li>one</li><li>two</li></ul>", None), ("It is done. (for instance when it walks a tree.", "truncated"), ("It is done (for instance when it walks a tree).", None), ("She said “it is done.", "truncated"),
+        ("Use `load(", "truncated"), ("Use `load()`.", None), ("See <a href=\"x\">this</a>.", None), ("See <a href=\"x", "truncated"), ("A list[int] holds numbers.", None), ("If a < b, it holds.", None), ("- first it (loads\n- then it runs\n- then it ends", None),
+        ("```\nx = 1\n```\n```\ny = 2", "truncated"), ("One.\n\nTwo (see\n\nThree.", None), ("| a | b |\n| 1 | 2 |", None), ("Ответ готов, и он", "wrong_language"),
+        ("Это очень хороший ответ на вопрос.", "wrong_language"), ("这是一个很好的回答。", "wrong_language"), ("هذا جواب جيد على السؤال.", "wrong_language"), ("Questo è un file molto grande e non si può leggere ogni giorno.", "wrong_language"), ("これはとても良い答えです。", "wrong_language"),
+        ("К сожалению, я не могу помочь с этим.", "refusal"), ("I'm not comfortable writing that.", "refusal"), ("Mi dispiace, non posso aiutarti.", "refusal"), ("Não posso responder.", "refusal"), ("Dat kan, maar ik kan je daar niet mee helpen.", "refusal"), ("抱歉，我不能帮你。", "refusal"), ("I am not going to the shop today.", None),
+    ],
+)
+def test_markup_brackets_scripts_and_other_languages(reply, kind):
+    assert defect(ASK, reply) == kind
+
+
+def test_a_script_that_was_asked_for_is_right():
+    assert defect("Please answer in Russian: what is a cache?", "Это память для данных.") is None
+    assert defect("Please answer in Chinese: what is a cache?", "Это память для данных.") == "wrong_language"
+    assert defect("Что такое кэш?", "It is the memory that is used for data.") == "wrong_language"
+    assert defect("日本語の質問です。", "これは答えです。") is None
+
+
+def test_quotations_of_other_languages_close():
+    assert not any(map(stops_short, ("„Es ist fertig.“", "«C'est fini.»", "»Es ist fertig.«", "“It is.”")))
+    assert all(map(stops_short, ("„Es ist fertig.", "«C'est fini.", "“It is.")))
+
+
+def test_the_parser_decides(monkeypatch):
+    replies = ["It is good (see the", "It breaks off because", "<ul><li>one", "1. We load the file first.\n2. We load the", "```\nx = 1"]
+    assert [defect(ASK, r) for r in replies] == ["truncated"] * 5
+    monkeypatch.setattr("tidemill.llm.defects.left_open", lambda text: [])
+    assert [defect(ASK, r) for r in replies] == [None] * 5
+
+
+def test_tiling_takes_the_longest_first():
+    # from the left, "a b c" would be taken first and break the longer "b c d e f"
+    assert tiled("a b c d e f".split(), "x a b c x b c d e f".split()) == (5, 5)
+    rng = random.Random(9)
+    for _ in range(300):
+        reply, prompt = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        covered, used = tiled(reply, prompt)
+        inside = {tuple(prompt[i : i + 3]) for i in range(len(prompt))}
+        possible = set()
+        for i in range(len(reply) - 2):
+            if tuple(reply[i : i + 3]) in inside:
+                possible |= {i, i + 1, i + 2}
+        assert covered <= len(possible) and used <= len(prompt) and bool(covered) == bool(possible)
+
+
+def test_tiling_is_fast_on_long_repetitive_texts():
+    words = ("one two three four five " * 20_000).split()
+    start = time.perf_counter()
+    assert tiled(words, words) == (100_000, 100_000)
+    assert tiled(words, words[:7] + ["x"] + words[:40_000])[0] > 99_000
+    assert time.perf_counter() - start < 20
