@@ -65,7 +65,7 @@ def encoded(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER)
 
     narrow = rows.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
-    return spread(narrow, keep[0]).mapInArrow(run, f"{schema}, token_ids array<int>, offset_bytes bigint, round_trip boolean")
+    return spread(narrow).mapInArrow(run, f"{schema}, token_ids array<int>, offset_bytes bigint, round_trip boolean")
 
 
 @udtf(returnType="position int, token string, id int, kind string, bytes int, start int, stop int")

@@ -24,18 +24,43 @@ def first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.join(first.select(order), order, "left_semi")
 
 
-#: The rest is decided row by row once it has so few rows, or after so many rounds.
+#: The rest is decided row by row once it has so few rows; after so many rounds it is split into groups that don't touch.
 FEW, ROUNDS = 100_000, 30
 
 
-def _one_by_one(open_: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The accepted rows of open_, decided in order by one task, which holds the keys of accepted rows."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of the connected component of each node of edges (u, v).
+
+    Alternating stars: every node links its larger neighbours to its least one, then its smaller neighbours and itself; the
+    number of rounds grows with the logarithm of the number of nodes, whatever the shape."""
+    both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    seen = None
+    while True:
+        sym = both(now)
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = sym.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "stars")
+        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        seen = mark
+
+
+def _in_order(open_: DataFrame, keys: Sequence[str], order: str, group: str) -> DataFrame:
+    """The accepted rows of open_, decided in order group by group, by tasks that hold the keys of a group's accepted rows."""
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken: list[set[str]] = [set() for _ in keys]
+        last = None
         for b in batches:
             kept = []
-            for i, values in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+            for i, (at, *values) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)):
+                if at != last:
+                    taken, last = [set() for _ in keys], at
                 if not any(v in t for v, t in zip(values, taken, strict=True)):
                     kept.append(i)
                     for v, t in zip(values, taken, strict=True):
@@ -43,15 +68,29 @@ def _one_by_one(open_: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
                             t.add(v)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64()))], names=[order])
 
-    narrow = open_.select(order, *keys).repartition(1).sortWithinPartitions(order)
+    narrow = open_.select(order, F.col(group).alias("_g"), *keys).repartition("_g").sortWithinPartitions("_g", order)
     return narrow.mapInArrow(decided, narrow.select(order).schema)
 
 
+def _in_groups(open_: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """open_ with the first row of its group: of the rows that share keys with one another, directly or by others."""
+    number = open_.select(order, *keys)
+    edges = None
+    for k in keys:
+        first = number.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias("v"))
+        linked = number.join(first, k).select(F.col(order).alias("u"), "v")
+        edges = linked if edges is None else edges.unionByName(linked)
+    roots = components(edges).select(F.col("node").alias(order), "root")
+    return number.join(roots, order, "left").withColumn("_root", F.coalesce("root", order)).drop("root")
+
+
 def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows accepted one after the other: one that shares a key with a row accepted before is dropped.
 
     Keys are those of accepted rows only, so this isn't a chain of distinct. In rounds: the rows that are first in all their
-    groups are accepted, rows that share a key with an accepted one are dropped, and the rest goes on, at the end row by row.
+    groups are accepted, rows that share a key with an accepted one are dropped, and the rest goes on. What is still open after
+    ROUNDS, long chains of rows that share one key here and another there, falls into groups that share nothing with each
+    other, and each group is decided in order by one task; FEW rows or fewer are one group from the start.
     Null keys group with nothing. Only order and digests of the keys take part; the last join brings the rows back. order must
     be unique.
     """
@@ -60,7 +99,8 @@ def greedy_first_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataF
     rounds = 0
     while left := open_.count():
         if rounds and left <= FEW or rounds >= ROUNDS:
-            last = written(_one_by_one(open_, keys, order), "won")
+            grouped = open_.withColumn("_root", F.lit(0)) if left <= FEW else _in_groups(open_, keys, order)
+            last = written(_in_order(grouped, keys, order, "_root"), "won")
             accepted = last if accepted is None else accepted.unionByName(last)
             break
         rounds += 1

@@ -19,8 +19,16 @@ def id_slot(c: str, ids: int = SLOT_IDS) -> Column:
     return F.floor(F.col(c) / ids).cast("bigint")
 
 
+def slot_digits(rows: int) -> int:
+    """Hexadecimal digits of a hash that make slots of about SLOT_IDS rows, or fewer."""
+    digits = 1
+    while rows > SLOT_IDS * 16**digits and digits < 12:
+        digits += 1
+    return digits
+
+
 def hash_slot(order: str, digits: int = 3) -> Column:
-    """Slots of an order by hexadecimal hash."""
+    """Slots of an order by hexadecimal hash: 16**digits of them, see slot_digits."""
     return F.conv(F.substring(order, 1, digits), 16, 10).cast("bigint")
 
 

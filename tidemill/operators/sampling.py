@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.expr import hash_order
-from tidemill.operators.prefix import hash_slot, id_slot, positions, running_total
+from tidemill.operators.prefix import hash_slot, id_slot, positions, running_total, slot_digits
 
 
 def take_until_valid(rows: DataFrame, order: str, valid: str, target: int, most_candidates: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def largest_remainder(sizes: DataFrame, total: int, group: str = "source", size:
 def _ranked(rows: DataFrame, key: str, source: str, seed: int) -> DataFrame:
     """(key, source, _pos): each row's place in its source's hash order, without the row's other columns."""
     narrow = rows.select(key, source).withColumn("_h", hash_order(key, seed))
-    return positions(narrow, hash_slot("_h"), ["_h", key], [source], "_pos").select(key, source, "_pos")
+    return positions(narrow, hash_slot("_h", slot_digits(narrow.count())), ["_h", key], [source], "_pos").select(key, source, "_pos")
 
 
 def ratio_subset(rows: DataFrame, key: str, source: str, total: int, seed: int) -> DataFrame:
@@ -96,5 +96,6 @@ def mixture(rows: DataFrame, plan: DataFrame, key: str, source: str, seed: int)
     """The selected rows of every source, with their place in the shuffled mixture. key must be unique."""
     asked = plan.select(F.col("source").alias(source), "selected")
     chosen = _ranked(rows, key, source, seed).join(asked, source).where(F.col("_pos") < F.col("selected")).select(key)
-    placed = positions(chosen.withColumn("_m", hash_order(key, seed + 10_000)), hash_slot("_m"), ["_m", key], [], "place").select(key, "place")
+    size = plan.agg(F.sum("selected")).first()[0] or 0
+    placed = positions(chosen.withColumn("_m", hash_order(key, seed + 10_000)), hash_slot("_m", slot_digits(size)), ["_m", key], [], "place").select(key, "place")
     return rows.join(placed, key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import expr as E
 from tidemill.operators import corpus as C
-from tidemill.operators.prefix import hash_slot, positions
+from tidemill.operators.prefix import hash_slot, positions, slot_digits
 
 SEED, VAL, TEST, BUDGET = 42, 0.05, 0.02, 400_000
 FRACTIONS = {"en": 0.7, "de": 0.1, "fr": 0.1, "es": 0.05, "none": 0.03, "it": 0.02}
@@ -99,7 +99,7 @@ def corpus_existing_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def source_shuffle_order(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).withColumn("domain", F.coalesce("source", F.lit("none"))).withColumn("h", E.hash_order(F.concat_ws(":", "domain", "doc_id"), SEED))
-    return positions(d, hash_slot("h"), ["h", "doc_id"], ["domain"]).select("domain", "doc_id", "pos")
+    return positions(d, hash_slot("h", slot_digits(d.count())), ["h", "doc_id"], ["domain"]).select("domain", "doc_id", "pos")
 
 
 def corpus_fractions(spark: SparkSession, sf: str) -> DataFrame:

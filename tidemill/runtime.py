@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 _SHIPPED: set[str] = set()
 #: A key is hot if it holds at least this share of the rows; so there are at most HOT_SHARE of them.
 HOT_SHARE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or, where that is unset (tests), one of this machine."""
+    """The folder all executors see: spark.checkpoint.dir, or, where that is unset on one machine (tests), a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set: executors of a cluster need a folder they share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
@@ -29,17 +32,96 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemill-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, and safe when executors are lost."""
+    """df as a table in the shared folder: computed once, its lineage cut, and safe when executors are lost.
+
+    Such tables stay until forget, as results may still be read from them."""
     path = new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes every table that this application has written to the shared folder; for when their results are stored. How many."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+# Files, on whatever file system Spark reads from.
+
+
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202 - Java objects
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def is_dir(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at) and fs.getFileStatus(at).isDirectory()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    fs, at = _file_system(spark, old)
+    if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"can't rename {old} to {new}")
+
+
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int, bool, int]]:
+    """(name, bytes, directory, time of change) of what is in a directory, by name."""
+    fs, at = _file_system(spark, path)
+    return sorted((s.getPath().getName(), s.getLen(), s.isDirectory(), s.getModificationTime()) for s in fs.listStatus(at))
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a directory."""
+    fs, at = _file_system(spark, path)
+    return fs.getContentSummary(at).getLength()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file so that it is never half there: a draft first, then a rename over what there was."""
+    draft = f"{path.rsplit('/', 1)[0]}/.{path.rsplit('/', 1)[-1]}.{uuid.uuid4().hex}.tmp"
+    fs, at = _file_system(spark, draft)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()) if at.toUri().getScheme() else jvm.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(at, jvm.Path(path), options)
+
+
 def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has one row per key and, in count, how many rows have it.
 
@@ -77,11 +159,14 @@ def bounded(settings: DataFrame, what: str, most: int = MAX_SETTINGS) -> DataFra
     return F.broadcast(settings)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df in as many parts as there are cores, where it is a plain scan of less than half as many.
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is a plain scan of less than half as many parts.
 
-    For work that takes far longer than moving the rows. Tables of many files or splits stay as they are."""
+    For work that takes far longer than moving the rows. A part is at most spark.sql.files.maxPartitionBytes, so what is moved is
+    at most half of that for each core, whatever the cluster; scans of more parts stay as they are. Rows are dealt by their
+    number, so that no value of a column, null or repeated, can fill one part, and a repeated task deals them alike."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):  # it has shuffles already
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.toString().startswith("AdaptiveSparkPlan"):  # it has shuffles already
         return df
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+    return df.repartition(cores, F.monotonically_increasing_id()) if plan.execute().getNumPartitions() * 2 <= cores else df
