@@ -518,7 +518,7 @@ def dialogue_defects(rows: DataFrame, table_name: str = "sft_row") -> DataFrame:
             yield _result(table_name, out)
 
     brief = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0).alias("calls")))
-    return spread(rows.select(F.col("row_id").cast("bigint").alias("row_id"), brief.alias("messages")), "row_id").mapInArrow(found, FOUND)
+    return spread(rows.select(F.col("row_id").cast("bigint").alias("row_id"), brief.alias("messages"))).mapInArrow(found, FOUND)
 
 
 def pair_defects(rows: DataFrame, key: str, prompt: str, reply: str, table_name: str) -> DataFrame:
@@ -530,4 +530,4 @@ def pair_defects(rows: DataFrame, key: str, prompt: str, reply: str, table_name:
             yield _result(table_name, [(k, 0, kind) for k, kind in zip(b.column(0).to_pylist(), kinds, strict=True) if kind])
 
     narrow = rows.select(F.col(key).cast("bigint").alias("k"), F.col(prompt).cast("string").alias("p"), F.col(reply).cast("string").alias("r"))
-    return spread(narrow, "k").mapInArrow(found, FOUND)
+    return spread(narrow).mapInArrow(found, FOUND)

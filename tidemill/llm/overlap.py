@@ -64,7 +64,7 @@ def prepare(texts: DataFrame) -> DataFrame:
 
     narrow = texts.where(F.col("row_key").isNotNull() & F.col("split").isin("train", "val", "test") & F.col("text").isNotNull())
     narrow = narrow.select("table_name", F.col("row_key").cast("bigint").alias("row_key"), (F.col("split") != "train").alias("held_out"), "text")
-    return spread(narrow, "row_key").mapInArrow(coded, PREPARED).where(F.size("words") > 0)
+    return spread(narrow).mapInArrow(coded, PREPARED).where(F.size("words") > 0)
 
 
 def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

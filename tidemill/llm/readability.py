@@ -177,7 +177,7 @@ def reading_profiles(documents: DataFrame) -> DataFrame:
             types = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "words_by_grade", "n_words", "n_sentences", "n_syllables", "grade"])
 
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), "doc_id").mapInArrow(profiles, PROFILE)
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")).mapInArrow(profiles, PROFILE)
 
 
 def fit_bounds(profiles: DataFrame, ratings: DataFrame, sample: int = RATED_SAMPLE) -> tuple[int, int]:

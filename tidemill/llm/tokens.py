@@ -37,4 +37,4 @@ def count_tokens(rows: DataFrame, keep: list[str], text_col: str, vocabulary: st
 
     narrow = rows.select(*keep, F.col(text_col).cast("string").alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
-    return spread(narrow, keep[0]).mapInArrow(counts, f"{schema}, n_tokens bigint")
+    return spread(narrow).mapInArrow(counts, f"{schema}, n_tokens bigint")
