@@ -66,3 +66,46 @@ def test_ledger_grows_without_old_rows(spark):
     second = first.add(canonical_keys(spark.createDataFrame([_row(2, "A"), _row(7, "c")], ROWS), *FIELDS))
     assert sorted((r["copies"], r["first_id"]) for r in second.table().collect()) == [(1, 6), (1, 7), (2, 2)]
     assert sorted((r["copies"], r["first_id"]) for r in first.table().collect()) == [(1, 5), (1, 6)]
+
+
+def test_structure_is_part_of_the_key():
+    for a, b in (('{"a":"b","c":"d"}', '{"a":"bc","d":""}'), ('["ab","c"]', '["a","bc"]'), ("[[1,2],[3]]", "[[1],[2,3]]"), ('{"a":{"b":1}}', '{"a":1,"b":1}'), ("[1, 23]", "[12, 3]")):
+        assert canonical_json(a) != canonical_json(b)
+    assert canonical_json('{"x": 1.5}') == canonical_json('{"x": "15"}')  # signs are left aside
+    assert canonical_json('{"x": [true, null, "A b!"]}') == canonical_json('{"X":[true,null,"ab"]}')
+
+
+def _bucket_files(spark, ledger):
+    from tidemill import runtime
+
+    return {b: [(n, t) for n, _, _, t in runtime.listing(spark, ledger._files(b))] for b in ledger.versions}
+
+
+def test_only_touched_buckets_are_written_and_old_ones_removed(spark):
+    from tidemill import runtime
+
+    keyed = lambda rows: spark.createDataFrame(rows, "id bigint, key_hi bigint, key_lo bigint")
+    first = Ledger(spark, buckets=4).add(keyed([(i, i, 0) for i in range(8)]))
+    before = _bucket_files(spark, first)
+    second = first.add(keyed([(100, 1, 0), (101, 5, 7)]))
+    after = _bucket_files(spark, second)
+    assert {b for b in after if after[b] != before[b]} == {1} and second.versions == {0: 1, 1: 2, 2: 1, 3: 1}
+    assert second.keys == 9 and sorted((r["key_hi"], r["copies"], r["first_id"]) for r in second.table([1]).collect()) == [(1, 2, 1), (5, 1, 5), (5, 1, 101)]
+    second.forget_old()
+    assert not runtime.exists(spark, first._files(1)) and _bucket_files(spark, second) == after
+    again = Ledger.opened(spark, second.path)
+    assert again.versions == second.versions and again.table().count() == 9
+
+
+def test_buckets_split_when_they_are_full(spark, monkeypatch):
+    from tidemill.llm import ledger as module
+
+    monkeypatch.setattr(module, "KEYS_A_BUCKET", 10)
+    monkeypatch.setattr(module, "LEAST_BUCKETS", 1)
+    keyed = lambda ids: spark.createDataFrame([(i, i, 0) for i in ids], "id bigint, key_hi bigint, key_lo bigint")
+    now = Ledger(spark).add(keyed(range(5)))
+    assert now.buckets == 1
+    now = now.add(keyed(range(30)))
+    now = now.add(keyed([1]))
+    assert now.buckets == 2 and now.keys == 30 and len(now.versions) == 2
+    assert {r["key_hi"]: r["copies"] for r in now.table().collect()} == {i: 3 if i == 1 else 2 if i < 5 else 1 for i in range(30)}
