@@ -2,17 +2,21 @@
 
 Texts are sets of words, a word's n-th occurrence being a word of its own. Words are ordered from rare to frequent. Two texts
 with so many words in common that they can be a pair share one among their first few, the prefix; so each text is posted under
-the words of its prefix, and texts of different splits under the same word are candidates. A word with very many of them is
-split by the next word both must share, as often as needed. Size, position in the order and parity bitmaps bound what
-candidates can have in common; a longest common subsequence of their words decides. Each bound is one that no pair fails, so
-all pairs are found. Exact copies are one class from the start: only one of each class and side is posted, and classes are
-expanded to rows at the end, so a text that holds a third of all rows fills no posting.
+the words of its prefix, and texts of different splits under the same word are candidates. A Bloom filter of the words that
+both sides post keeps back all other postings before they are shuffled. A word with very many candidates is split by the next
+word both must share, as often as needed. Size, position in the order and a fingerprint bound what candidates can have in
+common: 128 bits, each the parity of the words that fall on it, so that two texts' fingerprints differ in no more bits than
+the texts do in words, and the Hamming radius follows from the sizes. A longest common subsequence of their words decides.
+Each bound is one that no pair fails, so all pairs are found. Exact copies are one class from the start: only one of each
+class and side is posted. The result is links between classes, with the number of rows of each, and the classes' members; it
+is expanded to pairs of rows only where pairs are asked for, so a text that holds a third of all rows fills no posting.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.normalize import words
+from tidemill.llm import bloom
+from tidemill.llm.bloom import Bloom
 from tidemill.runtime import spread, written
 
 SHARE = 0.85
@@ -129,10 +135,11 @@ def least_common(n: np.ndarray, share: float) -> np.ndarray:
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, share: float, hot: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, words left from the last shared one on, and keys, for each number of words in a key. hot has the keys to split, sorted.
 
-    A text of n words that needs t in common with another has the d-th word they share among its first n - t + d.
+    A text of n words that needs t in common with another has the d-th word they share among its first n - t + d. Keys of one
+    word that both doesn't know are left out.
     """
     n = np.diff(offsets)
     need = np.maximum(least_common(n, share), 1)
@@ -143,6 +150,9 @@ def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, shar
         row, first, key = np.repeat(row, more), np.repeat(last + 1, more), np.repeat(key, more)
         last = first + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
         key = _mixed(key ^ ordered[offsets[row] + last].astype(np.uint64))
+        if both is not None and depth == 1:
+            known = both.known(key)
+            row, last, key = row[known], last[known], key[known]
         split = np.zeros(len(key), bool)
         if depth <= len(hot) and len(hot[depth - 1]):
             signed = key.view(np.int64)
@@ -161,40 +171,72 @@ def _parities(offsets: np.ndarray, ordered: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) & np.uint64(1) == side, one, np.uint64(0)), offsets[:-1]).view(np.int64) for side in (0, 1)]
 
 
-def postings(classes: DataFrame, frequent, share: float, hot: list[np.ndarray], last_only: bool = False) -> DataFrame:
-    """Every key a class (table_name, text_id, held_out, words) is posted under, or those of most words only."""
+def _keyed(b: pa.RecordBatch, frequent: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None, from_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, words in order, and rows, words left and keys of the postings of classes (table_name, text_id, held_out, words)."""
+    offsets, codes = _flat(b.column(3))
+    ordered = ordered_words(offsets, codes, frequent)
+    tables = np.array([_hash64((x or "").encode()) for x in b.column(0).to_pylist()], np.int64)
+    return offsets, ordered, *(np.concatenate(x) for x in zip(*_postings(offsets, ordered, tables, share, hot, both)[from_depth:], strict=True))
+
+
+def postings(classes: DataFrame, frequent, share: float, hot: list[np.ndarray], both) -> DataFrame:
+    """Every key a class (table_name, text_id, held_out, words) is posted under, if both sides may have it."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
-                offsets, codes = _flat(b.column(3))
-                ordered = ordered_words(offsets, codes, frequent.value)
-                tables = np.array([_hash64((x or "").encode()) for x in b.column(0).to_pylist()], np.int64)
-                found = _postings(offsets, ordered, tables, share, hot)[-1 if last_only else 0 :]
-                row, rest, key = (np.concatenate(x) for x in zip(*found, strict=True))
+                offsets, ordered, row, rest, key = _keyed(b, frequent.value, share, hot, both.value, 0)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.diff(offsets)[row], pa.int32()), pa.array(rest, pa.int32()), *(pa.array(x[row]) for x in _parities(offsets, ordered)), pa.array(key)], names=["text_id", "held_out", "n_words", "rest", "parity_0", "parity_1", "key"])
 
     return classes.select("table_name", "text_id", "held_out", "words").mapInArrow(posted, POSTED)
 
 
-def hot_keys(classes: DataFrame, frequent, share: float) -> list[np.ndarray]:
-    """The keys to split, for each number of words in a key."""
+def posted_keys(classes: DataFrame, frequent, share: float, hot: list[np.ndarray], both=None) -> DataFrame:
+    """(key, held, train): how many classes of each side are posted under the keys of most words."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 8000):
+                b = whole.slice(start, 8000)
+                row, key = (_keyed(b, frequent.value, share, hot, both.value if both else None, len(hot))[i] for i in (2, 4))
+                held = b.column(2).to_numpy(zero_copy_only=False)[row]
+                every, at = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64()), pa.array(np.bincount(at, held, len(every)).astype(np.int64)), pa.array(np.bincount(at, ~held, len(every)).astype(np.int64))], names=["key", "held", "train"])
+
+    own = classes.select("table_name", "text_id", "held_out", "words").mapInArrow(counted, "key bigint, held bigint, train bigint")
+    return own.groupBy("key").agg(F.sum("held").alias("held"), F.sum("train").alias("train"))
+
+
+def _hottest(keys: DataFrame) -> np.ndarray | None:
+    most = keys.select("key", (F.col("held") * F.col("train")).alias("pairs")).where(F.col("pairs") > HOT_PAIRS).orderBy(F.desc("pairs"), "key").limit(MAX_HOT).collect()
+    return np.array(sorted(r["key"] for r in most), np.int64) if most else None
+
+
+def shared_keys(classes: DataFrame, frequent, share: float):
+    """A filter, sent to the tasks, of the one-word keys that both sides post, and the keys to split for each number of words.
+
+    The held-out side's keys are a filter for the train side's, so that keys of one side only are hardly ever shuffled."""
+    context = classes.sparkSession.sparkContext
+    held = written(posted_keys(classes.where("held_out"), frequent, share, []).select("key"), "held-keys")
+    asked = context.broadcast(bloom.build(held, held.count()))
+    keys = written(posted_keys(classes, frequent, share, [], asked).where("held > 0 and train > 0"), "keys")
+    both = context.broadcast(bloom.build(keys.select("key"), keys.count()))
+    asked.unpersist()
     hot: list[np.ndarray] = []
-    for _ in range(MAX_SPLITS):
-        sides = postings(classes, frequent, share, hot, last_only=True).groupBy("key").agg(F.count_if("held_out").alias("held"), F.count_if(~F.col("held_out")).alias("train"))
-        most = sides.select("key", (F.col("held") * F.col("train")).alias("pairs")).where(F.col("pairs") > HOT_PAIRS).orderBy(F.desc("pairs"), "key").limit(MAX_HOT).collect()
-        if not most:
-            break
-        hot.append(np.array(sorted(r["key"] for r in most), np.int64))
-    return hot
+    while len(hot) < MAX_SPLITS and (most := _hottest(keys)) is not None:
+        hot.append(most)
+        if len(hot) < MAX_SPLITS:
+            keys = posted_keys(classes, frequent, share, hot, both)
+    return both, hot
 
 
 def candidate_pairs(classes: DataFrame, frequent: np.ndarray, share: float) -> DataFrame:
     """Different texts (train_id, held_id) that can have enough words in common."""
     sent = classes.sparkSession.sparkContext.broadcast(frequent)
-    posted = postings(classes, sent, share, hot_keys(classes, sent, share))
+    both, hot = shared_keys(classes, sent, share)
+    posted = postings(classes, sent, share, hot, both)
     side = lambda held_out, name: posted.where(F.col("held_out") == held_out).select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("text_id", "n_words", "rest", "parity_0", "parity_1")))
     need = F.ceil(F.greatest("train_n_words", "held_n_words") * F.lit(share) - F.lit(1e-9))
     apart = lambda i: F.bit_count(F.col(f"train_parity_{i}").bitwiseXOR(F.col(f"held_parity_{i}")))
@@ -251,23 +293,50 @@ def verified(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.select("train_id", "held_id", "train_words", "held_words").mapInArrow(checked, "train_id bigint, held_id bigint, similarity double")
 
 
-def cross_split_pairs(texts: DataFrame, share: float = SHARE) -> DataFrame:
-    """(table_name, train_key, held_key, similarity): every train row and val or test row of a table with nearly the same text.
+@dataclass(frozen=True)
+class Overlap:
+    """links (train_id, held_id, similarity): pairs of classes of equal texts. members (table_name, row_key, held_out, text_id): the
+    rows of each class, a key once for each class and side. sizes (text_id, held_out, n): how many rows each class has there."""
+
+    links: DataFrame
+    members: DataFrame
+    sizes: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(table_name, train_key, held_key, similarity): all pairs of rows that the links stand for."""
+        of = lambda held_out, name: self.members.where(F.col("held_out") == held_out).select("table_name", F.col("text_id").alias(f"{name}_id"), F.col("row_key").alias(f"{name}_key"))
+        rows = self.links.join(of(False, "train"), "train_id").join(of(True, "held").withColumnRenamed("table_name", "_table"), "held_id")
+        return rows.where("table_name = _table").select("table_name", "train_key", "held_key", "similarity")
+
+    def held_rows(self) -> DataFrame:
+        """(table_name, held_key, n, best): held-out rows with an overlap, the number of train rows and the greatest similarity."""
+        train = self.sizes.where("not held_out").select(F.col("text_id").alias("train_id"), "n")
+        of_class = self.links.join(train, "train_id").groupBy("held_id").agg(F.sum("n").alias("n"), F.max("similarity").alias("best"))
+        held = self.members.where("held_out").select("table_name", F.col("row_key").alias("held_key"), F.col("text_id").alias("held_id"))
+        return held.join(of_class, "held_id").groupBy("table_name", "held_key").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
+def cross_split_overlap(texts: DataFrame, share: float = SHARE) -> Overlap:
+    """Which classes of equal texts in val or test are nearly the same as ones in train, of the same table.
 
     texts has table_name, row_key, split and text; other columns are left out. Null or wordless texts, null keys and other
     splits are in no pair; repeated keys within a table count as one row of each side; equal texts always pair. Empty tables
-    give no pairs.
+    give no links.
     """
     prepared = written(prepare(texts), "prepared")
     classes = written(prepared.groupBy("table_name", "held_out", "text_id").agg(F.first("words").alias("words")), "classes")
     text = lambda held_out, name: classes.where(F.col("held_out") == held_out).select(F.col("text_id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
-    candidates = candidate_pairs(classes, frequent_words(prepared), share)
+    candidates = written(candidate_pairs(classes, frequent_words(prepared), share), "candidates")
     near = verified(candidates.join(text(False, "train"), "train_id").join(text(True, "held"), "held_id"), share)
     equal = text(False, "train").select("train_id").join(text(True, "held").select("held_id"), F.col("train_id") == F.col("held_id")).select("train_id", "held_id", F.lit(1.0).alias("similarity"))
-    links = written(near.unionByName(equal), "links")
-    of = lambda held_out, name: prepared.where(F.col("held_out") == held_out).select("table_name", F.col("text_id").alias(f"{name}_id"), F.col("row_key").alias(f"{name}_key")).distinct()
-    rows = links.join(of(False, "train"), "train_id").join(of(True, "held").withColumnRenamed("table_name", "_table"), "held_id")
-    return rows.where("table_name = _table").select("table_name", "train_key", "held_key", "similarity")
+    members = prepared.select("table_name", "row_key", "held_out", "text_id").distinct()
+    return Overlap(written(near.unionByName(equal), "links"), members, members.groupBy("text_id", "held_out").agg(F.count(F.lit(1)).alias("n")))
+
+
+def cross_split_pairs(texts: DataFrame, share: float = SHARE) -> DataFrame:
+    """(table_name, train_key, held_key, similarity): every train row and val or test row of a table with nearly the same text; see
+    cross_split_overlap."""
+    return cross_split_overlap(texts, share).pairs()
 
 
 def dialogue_text(messages: str = "messages"):

@@ -31,10 +31,9 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out rows with an overlap, and pairs, per table, split and source."""
-    pairs = overlap.cross_split_pairs(_texts(spark, sf))
+    per_row = overlap.cross_split_overlap(_texts(spark, sf)).held_rows()
     dialogues = _read(spark, sf, "sft_row").select(F.lit("sft_row").alias("table_name"), F.col("row_id").alias("held_key"), "split", "source")
     requests = _read(spark, sf, FIXTURE).select(F.lit(FIXTURE).alias("table_name"), F.col("row_no").alias("held_key"), "split", F.col("origin").alias("source"))
-    per_row = pairs.groupBy("table_name", "held_key").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best"))
     rows = dialogues.unionByName(requests).join(per_row, ["table_name", "held_key"])
     return rows.groupBy("table_name", "split", "source").agg(F.count(F.lit(1)).alias("held_out_rows"), F.sum("n").alias("pairs"), F.sum((F.col("best") >= 1).cast("bigint")).alias("exact_rows"))
 
