@@ -124,3 +124,28 @@ def test_result_does_not_depend_on_partitioning(spark, sf):
 
     one, many = (sorted(map(tuple, overlap.cross_split_pairs(_texts(spark, sf).repartition(n)).collect())) for n in (1, 7))
     assert one == many
+
+
+def test_fingerprints_differ_no_more_than_texts():
+    import numpy as np
+
+    rng = random.Random(11)
+    for _ in range(100):
+        a = [rng.randrange(1 << 20) for _ in range(rng.randrange(1, 400))]
+        b = [x for x in a if rng.random() < 0.9] + [rng.randrange(1 << 20) for _ in range(rng.randrange(20))]
+        b = b or [1]
+        apart = len(set(a) ^ set(b))
+        a, b = sorted(set(a)), sorted(set(b))
+        wide, narrow = (overlap.fingerprints(np.array([0, len(x)]), np.array(x, np.int64), bits).tobytes() for x, bits in ((a, 2048), (b, 512)))
+        assert overlap.within_radius(wide, narrow, apart)
+        assert overlap.within_radius(narrow, overlap.fingerprints(np.array([0, len(b)]), np.array(b, np.int64), 2048).tobytes(), 0)
+
+
+def test_report_counts_are_those_of_the_pairs(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tidemill.llm.queries import _texts
+
+    found = overlap.cross_split_overlap(_texts(spark, sf))
+    by_pairs = found.pairs().groupBy("table_name", "held_key").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best"))
+    assert sorted(map(tuple, found.held_rows().collect())) == sorted(map(tuple, by_pairs.collect()))

@@ -5,8 +5,9 @@ with so many words in common that they can be a pair share one among their first
 the words of its prefix, and texts of different splits under the same word are candidates. A Bloom filter of the words that
 both sides post keeps back all other postings before they are shuffled. A word with very many candidates is split by the next
 word both must share, as often as needed. Size, position in the order and a fingerprint bound what candidates can have in
-common: 128 bits, each the parity of the words that fall on it, so that two texts' fingerprints differ in no more bits than
-the texts do in words, and the Hamming radius follows from the sizes. A longest common subsequence of their words decides.
+common: bits that are each the parity of the words that fall on them, so that two texts' fingerprints differ in no more bits
+than the texts do in words, and the Hamming radius follows from the sizes; PRINT_BITS of them are checked where postings meet,
+and as many as the text is long before words are compared. A longest common subsequence of their words decides.
 Each bound is one that no pair fails, so all pairs are found. Exact copies are one class from the start: only one of each
 class and side is posted. The result is links between classes, with the number of rows of each, and the classes' members; it
 is expanded to pairs of rows only where pairs are asked for, so a text that holds a third of all rows fills no posting.
@@ -14,7 +15,9 @@ is expanded to pairs of rows only where pairs are asked for, so a text that hold
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +39,10 @@ HOT_PAIRS, MAX_HOT, MAX_SPLITS = 10_000, 50_000, 2
 _CACHE: dict[str, int] = {}
 
 PREPARED = "table_name string, row_key bigint, held_out boolean, text_id bigint, words array<int>"
-POSTED = "text_id bigint, held_out boolean, n_words int, rest int, parity_0 bigint, parity_1 bigint, key bigint"
+#: Bits of the fingerprint that postings carry, and bits a word of the one that candidates are checked by.
+PRINT_BITS, BITS_A_WORD = 512, 4
+_PARITIES = [f"parity_{i}" for i in range(PRINT_BITS // 64)]
+POSTED = f"text_id bigint, held_out boolean, n_words int, rest int, {', '.join(f'{p} bigint' for p in _PARITIES)}, key bigint"
 
 
 def _hash64(data: bytes) -> int:
@@ -164,11 +170,14 @@ def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, shar
     return out
 
 
-def _parities(offsets: np.ndarray, ordered: np.ndarray) -> list[np.ndarray]:
-    """128 bits a text, each the parity of the number of words that fall on it: as many differ as words do, at most."""
-    bit = _mixed(ordered)
-    one = np.uint64(1) << (bit & np.uint64(63))
-    return [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) & np.uint64(1) == side, one, np.uint64(0)), offsets[:-1]).view(np.int64) for side in (0, 1)]
+def fingerprints(offsets: np.ndarray, ordered: np.ndarray, bits: int) -> np.ndarray:
+    """For each text a row of 64-bit words, each bit the parity of the number of words that fall on it: as many bits differ as words do, at most.
+
+    bits is a power of two; half the fingerprint is both halves of the whole, one upon the other."""
+    n = len(offsets) - 1
+    at = (_mixed(ordered) & np.uint64(bits - 1)).astype(np.int64) + np.repeat(np.arange(n, dtype=np.int64) * bits, np.diff(offsets))
+    odd = np.bincount(at, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n, bits // 64)
 
 
 def _keyed(b: pa.RecordBatch, frequent: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None, from_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +197,7 @@ def postings(classes: DataFrame, frequent, share: float, hot: list[np.ndarray],
                 b = whole.slice(start, 2000)
                 offsets, ordered, row, rest, key = _keyed(b, frequent.value, share, hot, both.value, 0)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.diff(offsets)[row], pa.int32()), pa.array(rest, pa.int32()), *(pa.array(x[row]) for x in _parities(offsets, ordered)), pa.array(key)], names=["text_id", "held_out", "n_words", "rest", "parity_0", "parity_1", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.diff(offsets)[row], pa.int32()), pa.array(rest, pa.int32()), *(pa.array(x[row]) for x in fingerprints(offsets, ordered, PRINT_BITS).view(np.int64).T), pa.array(key)], names=["text_id", "held_out", "n_words", "rest", *_PARITIES, "key"])
 
     return classes.select("table_name", "text_id", "held_out", "words").mapInArrow(posted, POSTED)
 
@@ -232,17 +241,55 @@ def shared_keys(classes: DataFrame, frequent, share: float):
     return both, hot
 
 
+def own_prints(classes: DataFrame, frequent) -> DataFrame:
+    """(text_id, held_out, n_words, print): each class's fingerprint of about BITS_A_WORD bits a word, PRINT_BITS at least."""
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, codes = _flat(b.column(2))
+            ordered, n = ordered_words(offsets, codes, frequent.value), np.diff(offsets)
+            bits = [max(PRINT_BITS, 1 << int(BITS_A_WORD * x - 1).bit_length()) for x in n.tolist()]
+            prints = [fingerprints(offsets[i : i + 2] - offsets[i], ordered[offsets[i] : offsets[i + 1]], w).tobytes() for i, w in enumerate(bits)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(prints, pa.binary())], names=["text_id", "held_out", "n_words", "print"])
+
+    return classes.select("text_id", "held_out", "words").mapInArrow(printed, "text_id bigint, held_out boolean, n_words int, print binary")
+
+
+def within_radius(a: bytes, b: bytes, radius: int) -> bool:
+    """Whether two fingerprints differ in at most so many bits; the longer one is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= radius
+
+
+def _near_prints(pairs: DataFrame, share: float) -> DataFrame:
+    """Pairs (train_id, held_id) with sizes and fingerprints: those that differ no more than the sizes allow."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.stack([b.column(i).to_numpy().astype(np.int64) for i in (2, 3)])
+            radius = (n.sum(axis=0) - 2 * least_common(n.max(axis=0, initial=0), share)).tolist()
+            keep = [i for i, (x, y, r) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), radius, strict=True)) if within_radius(x, y, r)]
+            yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["train_id", "held_id"])
+
+    return pairs.select("train_id", "held_id", "train_n_words", "held_n_words", "train_print", "held_print").mapInArrow(near, "train_id bigint, held_id bigint")
+
+
 def candidate_pairs(classes: DataFrame, frequent: np.ndarray, share: float) -> DataFrame:
     """Different texts (train_id, held_id) that can have enough words in common."""
     sent = classes.sparkSession.sparkContext.broadcast(frequent)
     both, hot = shared_keys(classes, sent, share)
     posted = postings(classes, sent, share, hot, both)
-    side = lambda held_out, name: posted.where(F.col("held_out") == held_out).select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("text_id", "n_words", "rest", "parity_0", "parity_1")))
+    side = lambda held_out, name: posted.where(F.col("held_out") == held_out).select("key", *(F.col(c).alias(f"{name}_{c}") for c in ("text_id", "n_words", "rest", *_PARITIES)))
     need = F.ceil(F.greatest("train_n_words", "held_n_words") * F.lit(share) - F.lit(1e-9))
-    apart = lambda i: F.bit_count(F.col(f"train_parity_{i}").bitwiseXOR(F.col(f"held_parity_{i}")))
+    apart = functools.reduce(operator.add, (F.bit_count(F.col(f"train_{p}").bitwiseXOR(F.col(f"held_{p}"))) for p in _PARITIES))
     met = side(False, "train").join(side(True, "held"), "key").where("train_text_id <> held_text_id")
-    met = met.where((F.least("train_rest", "held_rest") >= need) & (apart(0) + apart(1) <= F.col("train_n_words") + F.col("held_n_words") - 2 * need))
-    return met.select(F.col("train_text_id").alias("train_id"), F.col("held_text_id").alias("held_id")).distinct()
+    met = met.where((F.least("train_rest", "held_rest") >= need) & (apart <= F.col("train_n_words") + F.col("held_n_words") - 2 * need))
+    pairs = met.select(F.col("train_text_id").alias("train_id"), F.col("held_text_id").alias("held_id")).distinct()
+    prints = written(own_prints(classes, sent), "prints")
+    of = lambda held_out, name: prints.where(F.col("held_out") == held_out).select(*(F.col(c).alias(f"{name}_{d}") for c, d in (("text_id", "id"), ("n_words", "n_words"), ("print", "print"))))
+    return _near_prints(pairs.join(of(False, "train"), "train_id").join(of(True, "held"), "held_id"), share)
 
 
 def common_words(a: list[int], b: list[int]) -> int:
