@@ -104,6 +104,27 @@ class CorpusConfig:
             raise ConfigError("val and test fractions must lie in 0 to 1 together")
 
 
+@dataclass(frozen=True)
+class BundleConfig:
+    """How many rows of each source a training or evaluation bundle has; written_rows are those a model writes, by category."""
+
+    output_dir: str
+    seed: int = 42
+    assistant_rows: int = 25_000
+    math_rows: int = 7_000
+    tool_rows: int = 10_000
+    scale: float = 1.0
+    most_candidates: int | None = None
+    attempts: int = 4
+    written_rows: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if min(self.assistant_rows, self.math_rows, self.tool_rows, self.attempts) < 1 or self.scale <= 0:
+            raise ConfigError("rows, attempts and scale must be positive")
+        if unknown := set(self.written_rows) - {"assistant", "math", "tool"}:
+            raise ConfigError(f"unknown categories {', '.join(sorted(unknown))}")
+
+
 @dataclass(frozen=True)
 class TokenizerConfig:
     vocab_size: int = 16_384

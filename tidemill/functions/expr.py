@@ -154,3 +154,20 @@ def learning_rate(step: Column | str, lr: float, warmup: int, horizon: int) -> C
     progress = F.least(F.lit(1.0), (s - warmup) / decay)
     cosine = lr * 0.5 * (1 + F.cos(F.pi() * progress))
     return F.when(s < warmup, lr * s / warmup).otherwise(cosine) if warmup > 0 else cosine
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string; a null one as an empty string."""
+    return bound(F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("x"))), lambda j: F.substring(j, F.lit(6), F.length(j) - F.lit(6)))
+
+
+def compact_json(text: Column) -> Column:
+    """JSON text without blanks between its parts; other text and null as they are."""
+    outside = r'("(?:[^"\\\\]|\\\\.)*+")|[ \t\r\n]+'.replace("\\\\", "\\")
+    return F.when(text.rlike(r"[ \t\r\n]"), F.regexp_replace(text, outside, "$1")).otherwise(text)
+
+
+def call_json(m: Column) -> Column:
+    """The payload of a message's call: its name and arguments, as they are rendered and as token ids are made of them."""
+    f = F.get(m["tool_calls"], F.lit(0))["function"]
+    return F.when(f.isNotNull() & f["name"].isNotNull(), F.concat(F.lit('{"name":'), quoted(f["name"]), F.lit(',"arguments":'), F.coalesce(f["arguments"], F.lit("{}")), F.lit("}")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from tidemill.functions.expr import SPECIAL_TOKENS
+from tidemill.functions.expr import SPECIAL_TOKENS, call_json
 from tidemill.runtime import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -68,25 +68,64 @@ def encoded(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER)
     return spread(narrow).mapInArrow(run, f"{schema}, token_ids array<int>, offset_bytes bigint, round_trip boolean")
 
 
-@udtf(returnType="position int, token string, id int, kind string, bytes int, start int, stop int")
-class TokenView:
-    """The tokens of a text, one row each: special, merged or a single byte, with their character span."""
+def token_view(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER) -> DataFrame:
+    """rows' columns keep with the tokens of a text, one row each: (position, token, id, kind, bytes, start, stop).
 
-    def eval(self, text: str, path: str):  # noqa: ANN201
-        if text is None:
-            return
+    kind is special, merged or byte; start and stop are the token's characters. Null and empty texts have no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special}
-        e = tokenizer.encode(text, add_special_tokens=False)
-        for i, (token, id_, (start, stop)) in enumerate(zip(e.tokens, e.ids, e.offsets, strict=True)):
-            kind = "special" if token in special else "merged" if len(token) > 1 else "byte"
-            yield i, token, id_, kind, len(token), start, stop
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                done = [tokenizer.encode(t or "", add_special_tokens=False) for t in part.column(part.num_columns - 1).to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(done)), [len(e.ids) for e in done]))
+                tokens = [t for e in done for t in e.tokens]
+                columns = {
+                    "position": pa.array([i for e in done for i in range(len(e.ids))], pa.int32()), "token": pa.array(tokens, pa.string()), "id": pa.array([i for e in done for i in e.ids], pa.int32()),
+                    "kind": pa.array(["special" if t in special else "merged" if len(t) > 1 else "byte" for t in tokens], pa.string()), "bytes": pa.array(list(map(len, tokens)), pa.int32()),
+                    "start": pa.array([a for e in done for a, _ in e.offsets], pa.int32()), "stop": pa.array([z for e in done for _, z in e.offsets], pa.int32()),
+                }
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in part.columns[:-1]), *columns.values()], names=[*keep, *columns])
+
+    narrow = rows.select(*keep, F.col(text).cast("string").alias("_text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
+    return spread(narrow).mapInArrow(run, f"{schema}, position int, token string, id int, kind string, bytes int, start int, stop int")
+
+
+@functools.lru_cache(maxsize=4)
+def chat_tokenizer(path: str):
+    """A tokenizer with the chat markers, added at the end of the vocabulary where it lacks them. Text is never read as a marker."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.add_special_tokens(list(SPECIAL_TOKENS))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+def decoded(tokenizer, ids: list[int]) -> str:  # noqa: ANN001 - a Tokenizer
+    """The text that ids stand for, markers included."""
+    markers = {tokenizer.token_to_id(t): t for t in SPECIAL_TOKENS}
+    out, run = [], []
+    for i in [*ids, None]:
+        if i is not None and i not in markers:
+            run.append(i)
+            continue
+        if run:
+            out.append(tokenizer.decode(run, skip_special_tokens=False))
+            run = []
+        if i is not None:
+            out.append(markers[i])
+    return "".join(out)
 
 
 def rendered_ids(rows: DataFrame, key: str, path: str) -> DataFrame:
     """Chat rows (key, messages, tools_text) as token ids and loss mask, piece by piece, with a tokenizer that has the chat markers.
 
-    Assistant content and call payloads bear loss with their markers and im_end; roles and newlines don't."""
+    Assistant content and call payloads, names and arguments as expr.call_json renders them, bear loss with their markers and
+    im_end; roles and newlines don't. Decoded, the ids are chat.rendered_text."""
 
     def pieces(messages: list[dict], tools_text: str | None) -> Iterator[tuple[str, int]]:
         if tools_text:
@@ -105,9 +144,7 @@ def rendered_ids(rows: DataFrame, key: str, path: str) -> DataFrame:
             yield from [("im_end", own), ("\n", 0)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = chat_tokenizer(path)
         for b in batches:
             out = []
             for messages, tools_text in zip(b["messages"], b["tools_text"], strict=True):
@@ -120,7 +157,7 @@ def rendered_ids(rows: DataFrame, key: str, path: str) -> DataFrame:
                 out.append((ids, mask))
             yield pd.DataFrame({key: b[key], "token_ids": [x[0] for x in out], "loss_mask": [x[1] for x in out]})
 
-    calls = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.get(m["tool_calls"], F.lit(0))["function"]["arguments"].alias("call")))
+    calls = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), call_json(m).alias("call")))
     narrow = rows.select(key, calls.alias("messages"), "tools_text")
     return narrow.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, token_ids array<int>, loss_mask array<int>")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.expr import cleaned_reasoning, is_json_object, nonblank, stripped
+from tidemill.functions.expr import SPECIAL_TOKENS, call_json, cleaned_reasoning, compact_json, is_json_object, nonblank, quoted, stripped
 
 MESSAGES = "array<struct<role:string,content:string,name:string,tool_calls:array<struct<type:string,function:struct<name:string,arguments:string>>>>>"
+TOOLS = "array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>"
 TOOL_BLOCK = "Available tools:\n"
 
 
@@ -39,7 +40,7 @@ def rule_breaks(messages: Column, tools: Column) -> Column:
 
     Null arrays count as empty; a null content of a user, system or tool message breaks a rule.
     """
-    m, t = F.coalesce(messages, F.array().cast(MESSAGES)), F.coalesce(tools, F.array().cast("array<struct<type:string,function:struct<name:string,description:string,parameters:string>>>"))
+    m, t = F.coalesce(messages, F.array().cast(MESSAGES)), F.coalesce(tools, F.array().cast(TOOLS))
     calls = lambda x: F.coalesce(F.size(x["tool_calls"]), F.lit(-1))
     call = lambda x: F.get(x["tool_calls"], F.lit(0))["function"]["name"]
     names = F.transform(t, lambda x: x["function"]["name"])
@@ -63,17 +64,23 @@ def rule_breaks(messages: Column, tools: Column) -> Column:
     return F.array_sort(F.filter(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules.items())), lambda x: x.isNotNull()))
 
 
-def tool_block(tools: Column) -> Column:
-    """The system turn that lists a row's tools; empty without tools. Parameters are JSON already and stay as they are."""
-    quoted = lambda c: F.substring(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x"))), F.lit(6), F.length(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x")))) - F.lit(6))
+def tool_text(tools: Column) -> Column:
+    """What the system turn says of a row's tools."""
     one = lambda t: F.concat(F.lit('{"name":'), quoted(t["function"]["name"]), F.lit(',"description":'), quoted(t["function"]["description"]), F.lit(',"parameters":'), F.coalesce(t["function"]["parameters"], F.lit("null")), F.lit("}"))
-    listed = F.concat(F.lit(TOOL_BLOCK + "["), F.array_join(F.transform(tools, one), ","), F.lit("]"))
-    return F.when(F.size(tools) > 0, F.concat(F.lit("im_start\nim_system\n"), listed, F.lit("\nim_end\n"))).otherwise("")
+    return F.concat(F.lit(TOOL_BLOCK + "["), F.array_join(F.transform(tools, one), ","), F.lit("]"))
+
+
+def tool_block(tools: Column) -> Column:
+    """The system turn that lists a row's tools; empty without tools. Parameters are JSON already and stay as they are; compacted does more."""
+    return F.when(F.size(tools) > 0, F.concat(F.lit("im_start\nim_system\n"), tool_text(tools), F.lit("\nim_end\n"))).otherwise("")
 
 
-def _call_json(m: Column) -> Column:
-    f = F.get(m["tool_calls"], F.lit(0))["function"]
-    return F.concat(F.lit('{"name":"'), f["name"], F.lit('","arguments":'), F.coalesce(f["arguments"], F.lit("{}")), F.lit("}"))
+def compacted(messages: Column, tools: Column) -> tuple[Column, Column]:
+    """Messages and tools with arguments and parameters as compact JSON, which is how a trained model sees them."""
+    call = lambda c: F.struct(c["type"].alias("type"), F.struct(c["function"]["name"].alias("name"), compact_json(c["function"]["arguments"]).alias("arguments")).alias("function"))
+    turn = lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["name"].alias("name"), F.transform(m["tool_calls"], call).alias("tool_calls"))
+    tool = lambda t: F.struct(t["type"].alias("type"), F.struct(t["function"]["name"].alias("name"), t["function"]["description"].alias("description"), compact_json(t["function"]["parameters"]).alias("parameters")).alias("function"))
+    return F.transform(messages, turn), F.transform(tools, tool)
 
 
 def rendered_message(m: Column) -> Column:
@@ -83,7 +90,7 @@ def rendered_message(m: Column) -> Column:
         .when(m["role"] == "user", F.concat(F.lit("im_user\n"), m["content"], F.lit("\n")))
         .when(m["role"] == "tool", F.concat(F.lit("tool_response\n"), m["content"], F.lit("\ntool_response_end\n")))
         .when(m["content"].isNotNull(), F.concat(F.lit("im_assistant\n"), m["content"], F.lit("\n")))
-        .otherwise(F.concat(F.lit("im_assistant\ntool_call\n"), _call_json(m), F.lit("\ntool_call_end\n")))
+        .otherwise(F.concat(F.lit("im_assistant\ntool_call\n"), call_json(m), F.lit("\ntool_call_end\n")))
     )
     return F.concat(F.lit("im_start\n"), F.coalesce(body, F.lit("")), F.lit("im_end\n"))
 
@@ -100,7 +107,7 @@ def prompt_text(messages: Column, tools: Column, turn: Column) -> Column:
 def loss_spans(messages: Column) -> Column:
     """(message position, characters that bear loss): assistant content or call payload with their markers, without newlines."""
     own = F.filter(F.transform(messages, lambda m, i: F.struct(i.alias("pos"), m.alias("m"))), lambda x: x["m"]["role"] == "assistant")
-    size = lambda m: F.when(m["content"].isNotNull(), F.length(m["content"]) + F.lit(len("im_end"))).otherwise(F.length(_call_json(m)) + F.lit(len("tool_calltool_call_endim_end")))
+    size = lambda m: F.when(m["content"].isNotNull(), F.length(m["content"]) + F.lit(len("im_end"))).otherwise(F.length(call_json(m)) + F.lit(len("tool_calltool_call_endim_end")))
     return F.transform(own, lambda x: F.struct(x["pos"].alias("pos"), size(x["m"]).alias("chars")))
 
 
@@ -136,16 +143,67 @@ def normalized_answer(value: Column) -> Column:
     return F.when(t.rlike(plain), t).when(bare.rlike(plain), bare)
 
 
+def context_fits(ids: str, mask: str, context: int) -> Column:
+    """Whether a rendered row has 2 to context tokens of which some bear loss."""
+    return F.size(ids).between(2, context) & F.coalesce(F.exists(mask, lambda x: x == 1), F.lit(False))
+
+
+def too_long(text: Column, most: int) -> Column:
+    """Whether a text has more than so many characters; null for null."""
+    return F.length(text) > most
+
+
+RESERVED = "|".join(SPECIAL_TOKENS)
+
+
+def safe_text(c: Column) -> Column:
+    """Whether a text isn't blank and has no marker of the chat format in it."""
+    return nonblank(c) & ~c.rlike(RESERVED)
+
+
+def string_field(body: Column, name: str) -> Column:
+    """A field of a JSON object if it is a string; null if it is missing or anything else."""
+    value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.get_json_object(body, f"$.{name}"))
+
+
+def final_answer(body: Column, name: str = "final_answer") -> Column:
+    """A number field, or a string field that holds a plain number, as digits; null if it is neither. Whole floats lose their point."""
+    value = F.try_variant_get(F.try_parse_json(body), f"$.{name}", "variant")
+    kind, text = F.schema_of_variant(value), F.get_json_object(body, f"$.{name}")
+    return F.when(kind == "STRING", normalized_answer(text)).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.regexp_replace(text, r"\.0+$", ""))
+
+
+def _turns(asked: Column, reply: Column, reason: Column) -> Column:
+    return F.struct(F.when(reason.isNull(), F.array(_text("user", asked), _text("assistant", reply))).alias("messages"), reason.alias("reason"))
+
+
 def response_row(text: Column, first: str, second: str, limits: tuple[int, int]) -> Column:
     """A response's two fields as user and assistant turn, or the reason why it is dropped."""
     body = parsed_response(text)
-    a, b = F.get_json_object(body, f"$.{first}"), F.get_json_object(body, f"$.{second}")
-    reserved = "im_start|im_end|im_system|im_user|im_assistant|tool_call|tool_response"
+    a, b = string_field(body, first), string_field(body, second)
     reason = (
         F.when(body.isNull(), "invalid_json")
         .when(a.isNull() | b.isNull(), "missing_fields")
-        .when(F.length(a) > limits[0], f"{first}_too_long")
-        .when(F.length(b) > limits[1], f"{second}_too_long")
-        .when(~nonblank(a) | ~nonblank(b) | a.rlike(reserved) | b.rlike(reserved), "reserved_token")
+        .when(too_long(a, limits[0]), f"{first}_too_long")
+        .when(too_long(b, limits[1]), f"{second}_too_long")
+        .when(~safe_text(a) | ~safe_text(b), "reserved_token")
+    )
+    return _turns(a, b, reason)
+
+
+def math_response(text: Column, limits: tuple[int, int] = (512, 2048)) -> Column:
+    """A response with problem, solution and final_answer as user and assistant turn, or the reason why it is dropped.
+
+    The reply ends with the final answer as a plain number. limits are characters of the problem and of the solution."""
+    body = parsed_response(text)
+    problem, solution, answer = string_field(body, "problem"), string_field(body, "solution"), final_answer(body)
+    reason = (
+        F.when(body.isNull(), "invalid_json")
+        .when(problem.isNull() | solution.isNull(), "missing_fields")
+        .when(answer.isNull(), "invalid_final_answer")
+        .when(too_long(problem, limits[0]), "problem_too_long")
+        .when(too_long(solution, limits[1]), "solution_too_long")
+        .when(~safe_text(problem) | ~safe_text(solution), "reserved_token")
     )
-    return F.struct(F.when(reason.isNull(), F.array(_text("user", a), _text("assistant", b))).alias("messages"), reason.alias("reason"))
+    return _turns(problem, F.concat(solution, F.lit("\n\nFinal answer: "), answer), reason)

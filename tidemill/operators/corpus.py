@@ -46,7 +46,7 @@ def manifest(docs: DataFrame, fractions: DataFrame) -> DataFrame:
     """Counts per split and domain, with rows of zeros for those without documents, and estimated tokens."""
     counts = docs.groupBy("split", "domain").agg(F.count(F.lit(1)).alias("doc_count"), F.sum("n_bytes").alias("byte_count"))
     splits = docs.sparkSession.createDataFrame([("train",), ("val",), ("test",)], "split string")
-    every = splits.join(F.broadcast(fractions.select("domain", "fraction")))
+    every = splits.join(bounded(fractions.select("domain", "fraction"), "components"))
     full = every.join(counts, ["split", "domain"], "left").fillna(0, ["doc_count", "byte_count"])
     return full.withColumn("estimated_tokens", F.floor(F.col("byte_count") / BYTES_PER_TOKEN).cast("bigint"))
 
@@ -64,8 +64,8 @@ def component_fill(docs: DataFrame, targets: DataFrame, least: float) -> DataFra
 
 
 def split_leakage(docs: DataFrame) -> DataFrame:
-    """Texts that stand in more than one split; none, if splits are by text."""
-    return docs.groupBy("text").agg(F.countDistinct("split").alias("splits")).where("splits > 1")
+    """Texts, by their digest, that stand in more than one split; none, if splits are by text. Only digests are shuffled."""
+    return docs.select(F.md5("text").alias("text_md5"), "split").distinct().groupBy("text_md5").agg(F.count(F.lit(1)).alias("splits")).where("splits > 1")
 
 
 def existing_check(per_domain: DataFrame, listing: DataFrame) -> DataFrame:

@@ -17,14 +17,15 @@ def share(condition: Column) -> Column:
     return rate(F.count_if(condition), F.count(F.lit(1)))
 
 
-def loss_metrics(scored: DataFrame, group: str) -> DataFrame:
-    """Token-weighted loss, perplexity and bits per token, per group and over all, in one pass. A null group is named none.
+def loss_metrics(scored: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """Token-weighted loss, perplexity and bits per token, per group and over all, in one pass; by adds keys that are never summed over.
 
-    scored has loss_sum, tokens and batches."""
+    scored has loss_sum, tokens and batches. A null group is named none."""
     named = scored.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("none")))
-    sums = named.groupingSets([[F.col(group)], []], F.col(group)).agg(F.sum("loss_sum").alias("s"), F.sum("tokens").alias("tokens"), F.sum("batches").alias("batches"))
+    keys = [F.col(c) for c in by]
+    sums = named.groupingSets([[*keys, F.col(group)], keys], *keys, F.col(group)).agg(F.sum("loss_sum").alias("s"), F.sum("tokens").alias("tokens"), F.sum("batches").alias("batches"))
     loss = rate(F.col("s"), F.col("tokens"))
-    return sums.select(F.coalesce(group, F.lit("mixed")).alias(group), "tokens", "batches", loss.alias("loss"), F.exp(loss).alias("perplexity"), (loss / LN2).alias("bits_per_token"))
+    return sums.select(*by, F.coalesce(group, F.lit("mixed")).alias(group), "tokens", "batches", loss.alias("loss"), F.exp(loss).alias("perplexity"), (loss / LN2).alias("bits_per_token"))
 
 
 def bits_per_byte(scored: DataFrame, group: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,10 +104,11 @@ def deficit_order(docs: DataFrame, block: int = 200_000) -> DataFrame:
 
     def schedule(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["domain", "pos"], ignore_index=True)
-        groups = [g for _, g in pdf.groupby("domain", sort=True)]
-        picks = deficit_picks([g["n_stream"].tolist() for g in groups], [g["share"].iloc[0] for g in groups])
-        rows = [groups[s].iloc[d] for s, d in picks]
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "draw": range(len(rows)), "domain": [r["domain"] for r in rows], "pos": [r["pos"] for r in rows], "n_stream": [r["n_stream"] for r in rows]})
+        starts = np.flatnonzero(np.concatenate([[True], (pdf["domain"].to_numpy()[1:] != pdf["domain"].to_numpy()[:-1])]))
+        lengths = np.split(pdf["n_stream"].to_numpy(), starts[1:])
+        picks = np.array(deficit_picks([x.tolist() for x in lengths], pdf["share"].to_numpy()[starts].tolist()))
+        drawn = pdf.take(starts[picks[:, 0]] + picks[:, 1])
+        return drawn.assign(draw=np.arange(len(drawn)))[["block", "draw", "domain", "pos", "n_stream"]]
 
     schema = "block bigint, draw bigint, domain string, pos bigint, n_stream bigint"
     return placed.select("block", "domain", "share", "pos", "n_stream").groupBy("block").applyInPandas(schedule, schema)

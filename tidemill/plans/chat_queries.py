@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from tidemill.functions import tokenizer
 from tidemill.operators import chat, generate, toolrows
 
@@ -73,7 +75,7 @@ def eval_call_cases(spark: SparkSession, sf: str) -> DataFrame:
 def context_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Rendered rows of 2 to CONTEXT tokens of which some bear loss."""
     r = spark.read.parquet(f"{sf}/rendered_sft.parquet")
-    return r.where(F.size("token_ids").between(2, CONTEXT) & F.exists("loss_mask", lambda x: x == 1)).select("row_id", F.size("token_ids").cast("bigint").alias("tokens"))
+    return r.where(chat.context_fits("token_ids", "loss_mask", CONTEXT)).select("row_id", F.size("token_ids").cast("bigint").alias("tokens"))
 
 
 def pad_shift_mask(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,8 +91,8 @@ def tool_name_set(spark: SparkSession, sf: str) -> DataFrame:
 
 def excluded_tools_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     """Fixture rows about none of the tools that evaluation rows declare."""
-    held = toolrows.tool_names(_rows(spark, sf).where("split = 'test'")).select(F.col("name").alias("func_name"))
-    return _fixture(spark, sf).where("func_name is not null").join(held, "func_name", "left_anti").select("row_no", "func_name")
+    held = toolrows.tool_names(_rows(spark, sf).where("split = 'test'"))
+    return toolrows.using_tools(_fixture(spark, sf).where("func_name is not null"), held, "func_name", not_=True).select("row_no", "func_name")
 
 
 def response_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,12 +161,73 @@ def tokenizer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def token_view(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/benchmark_item.parquet").select("item_id", "context")
-    v = d.lateralJoin(tokenizer.TokenView(F.col("context").outer(), F.lit(tokenizer.TOKENIZER)))
+    v = tokenizer.token_view(spark.read.parquet(f"{sf}/benchmark_item.parquet"), ["item_id"], "context")
     return v.groupBy("kind").agg(F.count(F.lit(1)).alias("tokens"), F.sum("bytes").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view)}
+def token_view_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Per item how far its tokens reach and how many bytes they hold: all of the text."""
+    v = tokenizer.token_view(spark.read.parquet(f"{sf}/benchmark_item.parquet"), ["item_id"], "context")
+    return v.groupBy("item_id").agg(F.min("start").cast("bigint").alias("first"), F.max("stop").cast("bigint").alias("chars"), F.sum("bytes").alias("bytes"))
+
+
+def chat_render_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of what the rendered token ids decode to, which is the rendered text, and whether ids and mask are as long."""
+    rows = _valid(spark, sf).withColumn("tools_text", F.when(F.size("tools") > 0, chat.tool_text(F.col("tools"))))
+    ids = tokenizer.rendered_ids(rows, "row_id", tokenizer.TOKENIZER)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = tokenizer.chat_tokenizer(tokenizer.TOKENIZER)
+        for b in batches:
+            yield pd.DataFrame({"row_id": b["row_id"], "t": [tokenizer.decoded(t, x.tolist()) for x in b["token_ids"]], "even": [len(x) == len(y) for x, y in zip(b["token_ids"], b["loss_mask"], strict=True)]})
+
+    return ids.mapInPandas(read, "row_id bigint, t string, even boolean").select("row_id", _digest(F.col("t")).alias("digest"), "even")
+
+
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses as a model might write them for mathematics: right, with a number in other forms, without a field, too long, not JSON."""
+    k = F.col("doc_id") % 7
+    text = F.regexp_replace("text", r"[^A-Za-z0-9 .,]", "")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    answer = F.when(k == 1, '"1,234"').when(k == 2, '"many"').when(k == 3, "12.0").otherwise(F.col("n_chars").cast("string"))
+    body = F.concat(F.lit('{"problem": '), F.when(k == 4, F.lit("5")).otherwise(quoted(F.substring(text, 1, 520))), F.lit(', "solution": '), quoted(text), F.lit(', "final_answer": '), answer, F.when(k == 5, "").otherwise("}"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"))
+
+
+def response_math(spark: SparkSession, sf: str) -> DataFrame:
+    r = _responses(spark, sf).select("doc_id", chat.math_response(F.col("response"), (519, 2048)).alias("o"))
+    return r.select("doc_id", F.col("o.reason").alias("reason"), _digest(F.get("o.messages", F.lit(1))["content"]).alias("reply"))
+
+
+def response_tool(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses for the tools of the rows that call one: fields in place, and in turn a nested argument, a result that isn't JSON, a missing field."""
+    calls = chat.call_cases(_rows(spark, sf), "row_id").join(_rows(spark, sf), "row_id")
+    own = F.get(F.filter("tools", lambda t: t["function"]["name"] == F.col("expected_tool")), F.lit(0))
+    tool = F.concat(F.lit('{"type":"function","function":{"name":'), chat.quoted(own["function"]["name"]), F.lit(',"description":"","parameters":'), F.coalesce(own["function"]["parameters"], F.lit("{}")), F.lit("}}"))
+    k = F.col("row_id") % 5
+    body = F.concat(F.lit('{"user_prompt": "Do it.", "arguments": '), F.when(k == 1, '{"x": {"y": 1}}').otherwise(F.coalesce("expected_arguments", F.lit("null"))), F.lit(', "tool_result": '), F.when(k == 2, '"[broken"').otherwise('"{}"'), F.when(k == 3, "}").otherwise(', "final_answer": "Done."}'))
+    read = toolrows.tool_response_rows(calls.select("row_id", tool.alias("tool"), body.alias("response")), chat.parsed_response(F.col("response")))
+    return read.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), (F.size(F.coalesce(chat.rule_breaks(F.col("messages"), F.col("tools")), F.array())) > 0).alias("breaks")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def public_tool_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted fixture rows as chat rows: turns, the called tool, and the rules they break, of which there are none."""
+    kept = toolrows.accepted_tool_rows(_fixture(spark, sf), generate.held_out_names(spark))
+    rows = toolrows.chat_rows_of_calls(kept, "tool_public")
+    called = F.get(F.get("messages", F.lit(2))["tool_calls"], F.lit(0))["function"]["name"]
+    return rows.select("row_no", F.size("messages").alias("turns"), called.alias("tool"), F.array_join(chat.rule_breaks(F.col("messages"), F.col("tools")), ",").alias("breaks"))
+
+
+def argument_partial(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of right arguments: of three expected ones, a null one may be left out, and another is wrong in a third of the rows."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+    k = F.col("doc_id")
+    actual = F.concat(F.lit('{"a":'), (k % 3).cast("string"), F.when(k % 2 == 0, ',"b":null').otherwise(""), F.when(k % 5 == 0, ',"c":"x"').otherwise(""), F.lit("}"))
+    m = d.withColumn("m", toolrows.argument_match(F.lit('{"a":0,"b":null,"c":"x"}'), actual))
+    return m.select("doc_id", F.col("m.exact").alias("exact"), F.round("m.partial", 6).alias("partial"))
+
+
+QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view, token_view_spans, chat_render_ids, response_math, response_tool, public_tool_rows, argument_partial)}
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]"
 _NB = r"coalesce(regexp_matches({c}, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]'), false)"
@@ -214,5 +277,12 @@ ORACLES = {
     "response_parse": r"""WITH b AS (SELECT row_no, regexp_replace(answers, '^\[|\]$', '', 'g') AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL), c AS (SELECT row_no, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) END AS j FROM b)
         SELECT row_no, coalesce(json_valid(j) AND j <> '', false) AS is_object FROM c""",
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
+    "chat_render_ids": f"WITH {_CHECK}, t AS (SELECT row_id, {_TEXT('messages')} AS t FROM c WHERE len(breaks) = 0) SELECT row_id, md5(t) AS digest, true AS even FROM t",
+    "token_view_spans": "SELECT item_id, 0::BIGINT AS first, length(context)::BIGINT AS chars, strlen(context)::BIGINT AS bytes FROM benchmark_item WHERE context <> ''",
+    "argument_partial": """SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AND doc_id % 5 = 0 AS exact, round(((doc_id % 3 = 0)::INT + 1 + (doc_id % 5 = 0)::INT) / 3.0::DOUBLE, 6) AS partial FROM documents""",
+    "response_math": rf"""WITH t AS (SELECT doc_id, n_chars, doc_id % 7 AS k, regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g') AS t FROM documents),
+        r AS (SELECT *, CASE k WHEN 1 THEN '1234' WHEN 2 THEN NULL WHEN 3 THEN '12' ELSE n_chars::VARCHAR END AS answer, CASE WHEN k = 5 THEN 'invalid_json' WHEN k = 4 THEN 'missing_fields' WHEN k = 2 THEN 'invalid_final_answer'
+          WHEN length(t) > 519 THEN 'problem_too_long' WHEN length(t) > 2048 THEN 'solution_too_long' WHEN trim(t, ' ') = '' OR regexp_matches(t, 'im_start|im_end|im_system|im_user|im_assistant|tool_call|tool_response') THEN 'reserved_token' END AS reason FROM t)
+        SELECT doc_id, reason, CASE WHEN reason IS NULL THEN md5(t || chr(10) || chr(10) || 'Final answer: ' || answer) END AS reply FROM r""",
     "tokenizer_roundtrip": "SELECT count(*) AS docs, 0::BIGINT AS broken, sum(strlen(text))::BIGINT AS text_bytes FROM documents",
 }

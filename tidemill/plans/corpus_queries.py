@@ -87,7 +87,7 @@ def corpus_component_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def corpus_split_leakage(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.with_split(C.encoded(_docs(spark, sf), "source"), SEED, VAL, TEST)
-    return docs.agg(F.countDistinct("text").alias("texts"), F.count(F.lit(1)).alias("docs")).join(F.broadcast(C.split_leakage(docs).agg(F.count(F.lit(1)).alias("leaked"))))
+    return docs.agg(F.countDistinct(F.md5("text")).alias("texts"), F.count(F.lit(1)).alias("docs")).join(F.broadcast(C.split_leakage(docs).agg(F.count(F.lit(1)).alias("leaked"))))
 
 
 def corpus_existing_check(spark: SparkSession, sf: str) -> DataFrame:

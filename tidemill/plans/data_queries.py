@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import expr as E
-from tidemill.operators import dedup, sampling, windows
+from tidemill.operators import chat, dedup, sampling, windows
+from tidemill.plans import pipelines
+from tidemill.runtime import new_path, written
 from tidemill.operators.prefix import id_slot, positions
 
 SEED, CONTEXT, BATCH = 42, 256, 8
@@ -92,8 +94,8 @@ def normalized_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def length_limits(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.length("text")
-    return _docs(spark, sf).groupBy("source").agg(F.count_if(n <= 512).alias("within_512"), F.count_if(n <= 1024).alias("within_1024"), F.count_if(n > 2048).alias("over_2048"))
+    over = lambda most: chat.too_long(F.col("text"), most)
+    return _docs(spark, sf).groupBy("source").agg(F.count_if(~over(512)).alias("within_512"), F.count_if(~over(1024)).alias("within_1024"), F.count_if(over(2048)).alias("over_2048"))
 
 
 def extract_assistant(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +166,20 @@ def sft_batches(spark: SparkSession, sf: str) -> DataFrame:
     return b.groupBy("epoch", "batch_no").agg(F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("doc_sum"))
 
 
-QUERIES = {f.__name__: f for f in (pack_offsets, pack_windows, pack_tokens, doc_positions, pack_batches, deficit_order, source_exhaustion, lm_chunks, gsm8k_clean, final_number, repetition_flag, reserved_token_filter, normalized_key, length_limits, extract_assistant, mask_special_tokens, dedup_first_wins, dedup_greedy_three_keys, take_until_valid, source_manifest, reservoir_topk, preferred_sample, largest_remainder, ratio_subset, mixture_manifest, mixture_select, sft_batches)}
+def mixture_line_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of prepared sources, of which some are equal, and a mixture of all of them: every line is one row of it, once."""
+    at = new_path(spark, "prepared")
+    for source in MIX_SHARES:
+        rows = _docs(spark, sf).where(F.col("source") == source).select(F.to_json(F.struct("source", "lang")).alias("value"))
+        rows.write.text(f"{at}/{source}")
+    lines = written(pipelines.mixture_lines(spark, at, list(MIX_SHARES)), "lines")
+    counts = lines.groupBy("source").agg(F.count(F.lit(1)).alias("available"))
+    plan = sampling.mixture_plan(counts, dict.fromkeys(MIX_SHARES, 10**9), list(MIX_SHARES), "shrink")
+    mixed = sampling.mixture(lines, plan, "key", "source", SEED)
+    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("key").alias("keys"), F.countDistinct("value").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (pack_offsets, pack_windows, pack_tokens, doc_positions, pack_batches, deficit_order, source_exhaustion, lm_chunks, gsm8k_clean, final_number, repetition_flag, reserved_token_filter, normalized_key, length_limits, extract_assistant, mask_special_tokens, dedup_first_wins, dedup_greedy_three_keys, take_until_valid, source_manifest, reservoir_topk, preferred_sample, largest_remainder, ratio_subset, mixture_manifest, mixture_select, sft_batches, mixture_line_keys)}
 
 _SIZED = r"sized AS (SELECT doc_id, text, source, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> ''))::BIGINT AS n_words FROM documents)"
 _STREAM = f"{_SIZED}, st AS (SELECT *, n_words + 2 AS n_stream, coalesce(sum(n_words + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", row_number() OVER (ORDER BY doc_id) - 1 AS doc_no FROM sized WHERE n_words > 0)"
@@ -221,5 +236,6 @@ ORACLES = {
     "ratio_subset": f"WITH {_REMAIN}, rk AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}:' || doc_id), doc_id) AS rn FROM documents) SELECT doc_id, source FROM rk JOIN al USING (source) WHERE rn <= allocated",
     "mixture_manifest": f"WITH {_PLAN} SELECT *, greatest(requested - selected, 0) AS deficit, greatest(selected - requested, 0) AS extra FROM pl",
     "mixture_select": f"WITH {_MIX} SELECT * FROM mixed",
+    "mixture_line_keys": "SELECT source, count(*) AS lines, count(*) AS keys, count(DISTINCT coalesce(lang, '-')) AS texts FROM documents WHERE source IN (" + ", ".join(f"'{s}'" for s in MIX_SHARES) + ") GROUP BY source",
     "sft_batches": f"WITH {_MIX} SELECT epoch, place // {BATCH} AS batch_no, count(*) AS rows, sum(doc_id)::BIGINT AS doc_sum FROM mixed, (VALUES (0), (1)) e(epoch) WHERE place // {BATCH} < (SELECT count(*) // {BATCH} FROM mixed) GROUP BY ALL",
 }

@@ -54,12 +54,10 @@ def loss_metrics_grouping_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def masked_loss(spark: SparkSession, sf: str) -> DataFrame:
-    """Per source: losses of tokens, here their ids in thousandths, where the mask is set. Arrays are summed in place."""
+    """Per source: losses of tokens, here their ids in thousandths, where the mask is set."""
     r = spark.read.parquet(f"{sf}/rendered_sft.parquet").join(_dialogues(spark, sf).select("row_id", "source"), "row_id")
-    lost = F.aggregate(F.zip_with("token_ids", "loss_mask", lambda t, m: F.coalesce(t * m, F.lit(0)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    held = F.aggregate("loss_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    per_row = r.select("source", (lost / 1000.0).alias("l"), held.alias("m"))
-    return _rounded(per_row.groupBy("source").agg((F.sum("l") / F.greatest(F.sum("m"), F.lit(1))).alias("masked_loss")))
+    tokens = r.select("source", F.explode(F.arrays_zip("token_ids", "loss_mask")).alias("t"))
+    return _rounded(metrics.masked_loss(tokens.select("source", (F.col("t.token_ids") / 1000.0).alias("loss"), F.coalesce("t.loss_mask", F.lit(0)).alias("mask")), "loss", "mask", ["source"]))
 
 
 def val_estimate(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,11 +110,34 @@ def mcq_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def mcq_other_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation items in the shape of the other six benchmarks, as cases; choices and contexts are told by their lengths."""
+    items = spark.read.parquet(f"{sf}/benchmark_item.parquet").where("choices is not null")
+    first, second = F.get("choices", F.lit(0)), F.get("choices", F.lit(1))
+    letters = F.struct(F.col("choices").alias("text"), F.transform("choices", lambda _, i: F.char(i + 65)).alias("label"))
+    answer = F.char(F.col("label") + 65)
+    raw = {
+        "piqa": items.select(F.col("context").alias("goal"), first.alias("sol1"), second.alias("sol2"), (F.col("label") % 2).alias("label")),
+        "boolq": items.select(F.col("context").alias("passage"), first.alias("question"), (F.col("label") % 2).alias("label")),
+        "winogrande": items.select(F.concat(F.lit("Say that _ "), "context").alias("sentence"), first.alias("option1"), second.alias("option2"), (F.col("label") % 2 + 1).cast("string").alias("answer")),
+        "openbookqa": items.select(F.col("context").alias("question_stem"), letters.alias("choices"), answer.alias("answerKey")),
+        "arc_challenge": items.select(F.col("context").alias("question"), letters.alias("choices"), answer.alias("answerKey")),
+        "sciq": items.select(F.col("context").alias("question"), *(F.concat(first, F.lit(str(i))).alias(f"distractor{i}") for i in (1, 2, 3)), first.alias("correct_answer")),
+    }
+    out = None
+    for name, rows in raw.items():
+        cases = benchmarks.mcq_cases(name, rows)
+        right = F.length(F.get("choices", F.col("label")))
+        part = cases.agg(F.count(F.lit(1)).alias("cases"), F.sum(F.size("choices")).cast("bigint").alias("choices"), F.sum(F.length("context")).alias("context_chars"), F.sum(right).alias("right_chars")).select(F.lit(name).alias("name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def checkpoint_left_join(spark: SparkSession, sf: str) -> DataFrame:
     """Configured suppliers' nations against those that have customers, as checkpoints against weights."""
-    configured = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name")
-    there = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("there", F.lit(True))
-    return configured.join(there, "n_nationkey", "left").select("n_name", F.when(F.col("there"), "ok").otherwise("missing").alias("status"))
+    configured = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("name"), "n_name")
+    there = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("name"))
+    return benchmarks.with_status(configured, there).select("n_name", "status")
 
 
 def _points(events: DataFrame) -> DataFrame:
@@ -161,7 +182,18 @@ def _stream_dir(spark: SparkSession, sf: str) -> str:
     return path
 
 
-QUERIES = {f.__name__: f for f in (bpb, mcq_accuracy, loss_metrics_grouping_sets, masked_loss, val_estimate, assistant_metrics, no_call_metrics, math_metrics, benchmark_select, benchmark_status, mcq_normalize, checkpoint_left_join, runlog_last_wins, runlog_latest, runlog_downsample, runlog_running_best, lr_schedule)}
+def runlog_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """The last points of logs that are files, one a run, read as a growing source."""
+    from tidemill.runtime import new_path
+
+    at = new_path(spark, "logs")
+    lines = _points(_events(spark, sf)).select("run", "line_no", F.to_json(F.struct("step", "train_loss", "val_loss")).alias("value"))
+    lines.repartition("run").sortWithinPartitions("run", "line_no").select("run", "value").write.partitionBy("run").text(at)
+    read = runlog_stream.log_lines(spark, at, "*.txt").withColumn("run", F.regexp_extract("run", r"run=(\d+)", 1).cast("bigint"))
+    return _rounded(runlog_stream.run_available(runlog.parsed_lines(read), "tail").select("run", "step", "train_loss", "val_loss"))
+
+
+QUERIES = {f.__name__: f for f in (bpb, mcq_accuracy, loss_metrics_grouping_sets, masked_loss, val_estimate, assistant_metrics, no_call_metrics, math_metrics, benchmark_select, benchmark_status, mcq_normalize, mcq_other_mappings, checkpoint_left_join, runlog_last_wins, runlog_latest, runlog_downsample, runlog_running_best, lr_schedule, runlog_tail)}
 QUERIES["runlog_stream"] = runlog_stream_result
 
 _H = lambda key: f"('0x' || substr(sha256('7:' || {key}), 1, 8))::BIGINT % 10000"
@@ -190,6 +222,13 @@ ORACLES = {
     "benchmark_status": "SELECT name, CASE WHEN name IN ('piqa', 'mmlu', 'lambada') THEN 'ok' ELSE 'missing' END AS status FROM (VALUES " + ", ".join(f"('{c[0]}')" for c in benchmarks.CATALOGUE) + ") t(name)",
     "mcq_normalize": """WITH b AS (SELECT label, len(choices) AS n FROM benchmark_item WHERE choices IS NOT NULL AND label IS NOT NULL AND label < len(choices)),
         u AS (SELECT name, label, n FROM b, (VALUES ('hellaswag'), ('mmlu'), ('arc_easy')) t(name) WHERE NOT (name = 'arc_easy' AND label < 0)) SELECT name, label::BIGINT AS label, count(*) AS cases, sum(n)::BIGINT AS choices FROM u GROUP BY ALL""",
+    "mcq_other_mappings": """WITH b AS (SELECT * FROM benchmark_item WHERE choices IS NOT NULL),
+        i AS (SELECT *, choices[1] AS c1, choices[2] AS c2 FROM b)
+        SELECT 'piqa' AS name, count(*) AS cases, 2 * count(*) AS choices, sum(length(context))::BIGINT AS context_chars, sum(length(CASE label WHEN 0 THEN c1 WHEN 2 THEN c1 ELSE c2 END))::BIGINT AS right_chars FROM i WHERE label >= 0 AND c2 IS NOT NULL
+        UNION ALL SELECT 'boolq', count(*), 2 * count(*), sum(length(context) + length(c1) + 12)::BIGINT, sum(CASE WHEN label % 2 = 1 THEN 3 ELSE 2 END)::BIGINT FROM i WHERE label >= 0
+        UNION ALL SELECT 'winogrande', count(*), 2 * count(*), (9 * count(*))::BIGINT, sum(length(CASE WHEN label % 2 + 1 = 1 THEN c1 ELSE c2 END) + 1 + length(ltrim(context)))::BIGINT FROM i WHERE c2 IS NOT NULL
+        UNION ALL SELECT n, count(*), sum(len(choices))::BIGINT, sum(length(context))::BIGINT, sum(length(choices[label + 1]))::BIGINT FROM i, (VALUES ('openbookqa'), ('arc_challenge')) v(n) WHERE label >= 0 AND label < len(choices) GROUP BY n
+        UNION ALL SELECT 'sciq', count(*), 4 * count(*), sum(length(context))::BIGINT, sum(length(c1))::BIGINT FROM i""",
     "checkpoint_left_join": "SELECT n_name, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'ok' ELSE 'missing' END AS status FROM nation",
     "runlog_last_wins": f"WITH {_PTS} SELECT run, step, line_no, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM lw",
     "runlog_latest": f"WITH {_PTS} SELECT run, step, line_no, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY line_no DESC) AS r2 FROM p) WHERE r2 = 1",
@@ -198,3 +237,4 @@ ORACLES = {
     "lr_schedule": f"WITH {_PTS}, k AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY step) - 1 AS n FROM lw) SELECT run, n, round(CASE WHEN n < 20 THEN 3e-4 * n / 20 ELSE 3e-4 * 0.5 * (1 + cos(pi() * least(1.0, (n - 20) / 80))) END, 12) AS lr FROM k",
 }
 ORACLES["runlog_stream"] = ORACLES["runlog_last_wins"]
+ORACLES["runlog_tail"] = f"WITH {_PTS} SELECT run, step, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM lw"

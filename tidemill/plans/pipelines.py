@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.config import BatchConfig, CorpusConfig, MixtureConfig, as_dict
+from tidemill import runtime
+from tidemill.config import BatchConfig, BundleConfig, CorpusConfig, MixtureConfig, as_dict
 from tidemill.functions import tokenizer
 from tidemill.functions.expr import nonblank, normalized_key, stripped
 from tidemill.operators import benchmarks, chat, corpus, generate, metrics, sampling, toolrows, windows
 from tidemill.operators.dedup import first_wins
+from tidemill.operators.prefix import id_slot, positions
 from tidemill.runtime import bounded, written
 from tidemill.sources import files, sinks
 
@@ -32,15 +32,12 @@ def _component(spark: SparkSession, c) -> DataFrame:  # noqa: ANN001 - a Compone
 
 def existing_corpus(config: CorpusConfig) -> dict[str, dict] | None:
     """The manifests of a corpus built by the same configuration, if they and their files are all there."""
-    mark, out = sinks.fingerprint(as_dict(config)), {}
+    spark, mark, out = SparkSession.builder.getOrCreate(), sinks.fingerprint(as_dict(config)), {}
     for split in ("train", "val", "test"):
-        at = Path(config.output_dir) / f"{split}.manifest.json"
-        if not at.is_file():
+        m = sinks.read_json(f"{config.output_dir}/{split}.manifest.json")
+        if m is None or m["fingerprint"] != mark or m["split"] != split or {f["domain"] for f in m["files"]} != {c.name for c in config.components}:
             return None
-        m = json.loads(at.read_text())
-        if m["fingerprint"] != mark or m["split"] != split or {f["domain"] for f in m["files"]} != {c.name for c in config.components}:
-            return None
-        if any(f["doc_count"] and not (Path(config.output_dir) / "documents" / f["path"]).is_dir() for f in m["files"]):
+        if any(f["doc_count"] and not runtime.is_dir(spark, f"{config.output_dir}/documents/{f['path']}") for f in m["files"]):
             return None
         if m["byte_count"] != sum(f["byte_count"] for f in m["files"]):
             return None
@@ -78,7 +75,7 @@ def prepare_rows(rows: DataFrame, order: str, converted: Column, source: str, ta
     judged = judged.withColumn("_valid", F.col("messages").isNotNull() & (F.coalesce(fits, F.lit(False)) if fits is not None else F.lit(True)))
     read = written(sampling.take_until_valid(judged, order, "_valid", target, most_candidates), "read")
     path = f"{output_dir}/{source}"
-    sinks.write_rows(read.where("_valid").select(F.lit(source).alias("source"), "messages"), path)
+    sinks.write_rows(read.where("_valid").select(F.lit(source).alias("source"), *(c for c in ("tools",) if c in read.columns), "messages"), path)
     return _entry(read, "_valid", source, target, path, output_dir)
 
 
@@ -90,46 +87,91 @@ def _entry(read: DataFrame, valid: str, source: str, target: int, path: str, out
     return entry
 
 
+def _tool_set(rows: DataFrame, name: str, output_dir: str) -> dict:
+    kept = written(generate.as_chat(rows).withColumn("_valid", F.lit(True)), "tools")
+    sinks.write_rows(kept.select(F.lit(name).alias("source"), "tools", "messages"), f"{output_dir}/{name}")
+    return _entry(kept, "_valid", name, kept.count(), f"{output_dir}/{name}", output_dir)
+
+
+def prepare_tool_evaluation(spark: SparkSession, output_dir: str, seed: int, scale: float = 1.0) -> dict[str, dict]:
+    """The generated evaluation rows, one set of each kind."""
+    rows = generate.evaluation_rows(spark, seed, scale)
+    return {f"tool_eval_{k}": _tool_set(rows.where(F.col("kind") == k), f"tool_eval_{k}", output_dir) for k in generate.EVAL_KINDS}
+
+
 def prepare_tools(spark: SparkSession, output_dir: str, seed: int, scale: float = 1.0) -> dict[str, dict]:
-    """The generated tool rows: one training set and one evaluation set of each kind."""
-    out = {}
-    sets = {"tool_local": generate.training_rows(spark, seed, scale)} | {f"tool_eval_{k}": generate.evaluation_rows(spark, seed, scale).where(F.col("kind") == k) for k in generate.EVAL_KINDS}
-    for name, rows in sets.items():
-        kept = written(rows.withColumn("_valid", F.lit(True)), "tools")
-        sinks.write_rows(kept.select(F.lit(name).alias("source"), "tools", "messages"), f"{output_dir}/{name}")
-        out[name] = _entry(kept, "_valid", name, kept.count(), f"{output_dir}/{name}", output_dir)
-    return out
+    """The generated tool rows as chat rows: one training set and one evaluation set of each kind."""
+    return {"tool_local": _tool_set(generate.training_rows(spark, seed, scale), "tool_local", output_dir)} | prepare_tool_evaluation(spark, output_dir, seed, scale)
 
 
 def prepare_public_tools(rows: DataFrame, target: int, seed: int, output_dir: str, source: str = "tool_public", preferred: str = "distilabel") -> dict:
-    """Public tool rows: normalised, the first of each id, hash and query, held-out tools excluded, one origin preferred."""
+    """Public tool rows as chat rows: normalised, the first of each id, hash and query, held-out tools excluded, one origin preferred."""
     spark = rows.sparkSession
     kept = written(toolrows.accepted_tool_rows(rows, generate.held_out_names(spark)), "accepted")
     dropped = rows.count() - kept.count()
     sampled = written(sampling.preferred_sample(kept.withColumn("_p", F.col("origin") == preferred), "row_no", "_p", target, seed).withColumn("_valid", F.lit(True)), "sampled")
     path = f"{output_dir}/{source}"
-    sinks.write_rows(sampled.select(F.lit(source).alias("source"), F.col("tools_json").alias("tools"), "query", F.col("call_json").alias("call")), path)
+    sinks.write_rows(toolrows.chat_rows_of_calls(sampled, source).drop("row_no"), path)
     return _entry(sampled, "_valid", source, target, path, output_dir, dropped_rows=dropped)
 
 
-def prepare_completions(spark: SparkSession, category: str, fields: tuple[str, str], limits: tuple[int, int], target: int, attempts: int, client_factory: Callable[[], object], output_dir: str) -> tuple[dict, DataFrame]:
-    """Rows that a model writes: prompts, completions, the first of each user text up to target; and the reasons of drops."""
-    answered = written(toolrows.complete(generate.prompts(spark, category, target * attempts), client_factory), "answers")
-    done = answered.withColumn("o", chat.response_row(F.col("response"), *fields, limits)).select("attempt", "o.*")
+def _converted(answered: DataFrame, category: str, fields: tuple[str, str], limits: tuple[int, int]) -> DataFrame:
+    """(attempt, tools if there are any, messages, reason) of a category's responses."""
+    if category == "tool":
+        return toolrows.tool_response_rows(answered, chat.parsed_response(F.col("response"))).select("attempt", "tools", "messages", "reason")
+    read = chat.math_response(F.col("response"), limits) if category == "math" else chat.response_row(F.col("response"), *fields, limits)
+    return answered.withColumn("o", read).select("attempt", "o.*")
+
+
+def prepare_completions(spark: SparkSession, category: str, fields: tuple[str, str], limits: tuple[int, int], target: int, attempts: int, client_factory: Callable[[], object], output_dir: str, seed: int = 0) -> tuple[dict, DataFrame]:
+    """Rows that a model writes, of category assistant, math or tool: prompts, completions, the first of each user text up to target;
+    and the reasons of drops. fields and limits are those of the assistant's two fields; limits also hold for a problem and its solution."""
+    answered = written(toolrows.complete(generate.prompts(spark, category, target * attempts, seed), client_factory), "answers")
+    done = written(_converted(answered, category, fields, limits), "converted")
     reasons = done.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("responses"))
-    unique = first_wins(done.where("reason is null").withColumn("key", normalized_key(F.get("messages", F.lit(0))["content"])), ["key"], "attempt")
+    asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    unique = first_wins(done.where("reason is null").withColumn("key", normalized_key(asked)), ["key"], "attempt")
     source = f"internal_{category}"
     return prepare_rows(unique, "attempt", F.col("messages"), source, target, output_dir), reasons
 
 
+def prepare_all(spark: SparkSession, config: BundleConfig, assistant: DataFrame, math: DataFrame, public_tools: DataFrame, client_factory: Callable[[], object] | None = None) -> dict[str, dict]:
+    """All training sources: assistant chats (pos, messages), worked problems (pos, question, answer), public and generated tool
+    rows, and, with a client, the rows a model writes. Gives each source's manifest entry; they are also in manifest.json."""
+    made = {
+        "assistant": prepare_rows(assistant, "pos", chat.plain_chat(F.col("messages")), "assistant", config.assistant_rows, config.output_dir, most_candidates=config.most_candidates),
+        "gsm8k": prepare_rows(math, "pos", chat.math_chat(F.col("question"), F.col("answer")), "gsm8k", config.math_rows, config.output_dir, most_candidates=config.most_candidates),
+        "tool_public": prepare_public_tools(public_tools, config.tool_rows, config.seed, config.output_dir),
+    } | prepare_tools(spark, config.output_dir, config.seed, config.scale)
+    for category, n in config.written_rows.items() if client_factory else ():
+        entry, _ = prepare_completions(spark, category, ("prompt", "response"), (512, 2048), n, config.attempts, client_factory, config.output_dir, config.seed)
+        made[entry["source"]] = entry
+    return made
+
+
+def prepare_eval(spark: SparkSession, config: BundleConfig, assistant: DataFrame, math: DataFrame) -> dict[str, dict]:
+    """The held-out bundle: assistant chats, worked problems, and generated tool rows of each evaluation kind."""
+    return {
+        "assistant_eval": prepare_rows(assistant, "pos", chat.plain_chat(F.col("messages")), "assistant_eval", config.assistant_rows, config.output_dir, most_candidates=config.most_candidates),
+        "gsm8k_eval": prepare_rows(math, "pos", chat.math_chat(F.col("question"), F.col("answer")), "gsm8k_eval", config.math_rows, config.output_dir, most_candidates=config.most_candidates),
+    } | prepare_tool_evaluation(spark, config.output_dir, config.seed, config.scale)
+
+
+def mixture_lines(spark: SparkSession, input_dir: str, order: list[str]) -> DataFrame:
+    """(source, key, value): the lines of prepared sources. A key is a line's source, file and number, so that equal lines differ."""
+    rows = None
+    for source in order:
+        lines = files.optional_rows(spark, f"{input_dir}/{source}")
+        key = F.sha2(F.concat_ws(":", F.lit(source), F.element_at(F.split("file", "/"), -1), "line_no"), 256)
+        part = lines.select(F.lit(source).alias("source"), key.alias("key"), "value")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def build_mixture(spark: SparkSession, config: MixtureConfig) -> dict:
     """The mixture of prepared sources by the recipe, or by the fallback recipe if the named source has no rows."""
     order = list(config.order) or sorted(config.recipe)
-    rows = None
-    for i, source in enumerate(order):
-        lines = files.optional_rows(spark, f"{config.input_dir}/{source}")
-        part = lines.select(F.lit(source).alias("source"), F.concat(F.lit(f"{i}:"), F.sha2("value", 256)).alias("key"), "value")
-        rows = part if rows is None else rows.unionByName(part)
+    rows = mixture_lines(spark, config.input_dir, order)
     rows = written(rows, "sources")
     available = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("available")), "available")
     recipe, used = config.recipe, "default"
@@ -158,6 +200,33 @@ def pretrain_windows(docs: DataFrame, order: str, text: str, config: BatchConfig
     return windows.batches(w, config.batch_size, config.total_tokens, config.context_length)
 
 
+def sft_training_batches(rows: DataFrame, position: str, tokenizer_path: str, config: BatchConfig, epochs: int = 1) -> DataFrame:
+    """Batches (epoch, batch_no, position, input, target, mask) of chat rows in the order of position: rendered as ids, rows that
+    don't fit left out, the rest numbered on, padded, and an epoch's partial last batch left out."""
+    text = rows.withColumn("tools_text", F.when(F.size("tools") > 0, chat.tool_text(F.col("tools"))))
+    ids = written(tokenizer.rendered_ids(text, position, tokenizer_path).where(chat.context_fits("token_ids", "loss_mask", config.context_length)), "ids")
+    placed = positions(ids, id_slot(position), [position], [], "_place")
+    each = windows.repeated_batches(placed, "_place", config.batch_size, epochs)
+    padded = (c.alias(n) for c, n in zip(tokenizer.padded("token_ids", "loss_mask", config.context_length), ("input", "target", "mask"), strict=True))
+    return each.select("epoch", "batch_no", position, *padded)
+
+
+def checkpoint_evaluation(configured: DataFrame, scored: DataFrame, path: str) -> dict:
+    """Loss, perplexity and bits per token of every configured checkpoint, mixed and per domain, as nested JSON; one that wasn't
+    scored is there as missing. scored: checkpoint, domain, loss_sum, tokens, batches."""
+    card: dict = {r["checkpoint"]: {"status": "missing"} for r in configured.select("checkpoint").collect()}  # configured by hand
+    for r in metrics.loss_metrics(scored, "domain", ["checkpoint"]).collect():  # one row for each checkpoint and domain
+        entry = card.setdefault(r["checkpoint"], {})
+        entry["status"] = "ok"
+        values = {k: r[k] for k in ("tokens", "batches", "loss", "perplexity", "bits_per_token")}
+        if r["domain"] == "mixed":
+            entry["mixed"] = values
+        else:
+            entry.setdefault("domains", {})[r["domain"]] = values
+    sinks.replace_json(path, card)
+    return card
+
+
 def resumed(batches: DataFrame, after_batch: int) -> DataFrame:
     """What is left of batches after one was done: order and numbers never change, so a position is all the state."""
     return batches.where(F.col("batch_id") > after_batch)
@@ -195,8 +264,8 @@ def benchmark_scorecard(spark: SparkSession, scored_lm: DataFrame, scored_mcq: D
 
     scored_lm: name, nats, tokens, bytes. scored_mcq: name, case_id, choice, logprob, tokens, label."""
     specs = benchmarks.selected(benchmarks.catalogue(spark), only, skip_large)
-    lm = metrics.bits_per_byte(scored_lm.join(F.broadcast(specs.select("name")), "name", "left_semi"), "name")
-    mcq = metrics.choice_accuracy(scored_mcq.join(F.broadcast(specs.select("name")), "name", "left_semi"), ["case_id"], "name")
+    lm = metrics.bits_per_byte(scored_lm.join(bounded(specs.select("name"), "benchmarks"), "name", "left_semi"), "name")
+    mcq = metrics.choice_accuracy(scored_mcq.join(bounded(specs.select("name"), "benchmarks"), "name", "left_semi"), ["case_id"], "name")
     card = {r["name"]: {"kind": r["kind"], "status": "missing"} for r in specs.collect()}  # the catalogue
     for part in (lm, mcq):
         for r in part.collect():  # one row for each benchmark

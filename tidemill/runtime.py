@@ -110,11 +110,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file so that it is never half there: a draft first, then a rename over what there was."""
     draft = f"{path.rsplit('/', 1)[0]}/.{path.rsplit('/', 1)[-1]}.{uuid.uuid4().hex}.tmp"
     fs, at = _file_system(spark, draft)
+    local = fs.getScheme() == "file"
+    if local:
+        fs = fs.getRawFileSystem()  # without files of checksums beside it
     stream = fs.create(at, True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    if local:
+        fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(path))
+        return
     jvm = spark._jvm.org.apache.hadoop.fs
     context = jvm.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()) if at.toUri().getScheme() else jvm.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)

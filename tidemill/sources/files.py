@@ -9,8 +9,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import runtime
 from tidemill.functions.expr import is_json_object, nonblank
 from tidemill.operators.prefix import positions
+from tidemill.runtime import bounded
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -37,32 +39,41 @@ def text_documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text([path] if isinstance(path, str) else list(path)).where(nonblank("value")).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
-def corpus_sources(path: str) -> list[dict]:
+def corpus_sources(path: str, spark: SparkSession | None = None) -> list[dict]:
     """A corpus directory's files with domain, fraction and tokens: by its manifest, else all .jsonl, else all .txt."""
-    at = Path(path)
-    if at.is_file():
-        return [{"path": str(at), "domain": at.stem, "fraction": 0.0, "tokens": 0}]
-    if (at / "manifest.json").is_file():
-        files = json.loads((at / "manifest.json").read_text()).get("files", [])
+    spark = spark or SparkSession.builder.getOrCreate()
+    at, stem = path.rstrip("/"), lambda name: name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    plain = lambda p: {"path": p, "domain": stem(p), "fraction": 0.0, "tokens": 0}
+    if runtime.exists(spark, at) and not runtime.is_dir(spark, at):
+        return [plain(at)]
+    if runtime.exists(spark, f"{at}/manifest.json"):
         out = []
-        for f in files:
-            if not (at / f["path"]).is_file():
-                raise FileNotFoundError(f"{at / f['path']} is in the manifest only")
+        for f in json.loads(runtime.read_text(spark, f"{at}/manifest.json")).get("files", []):
+            if not runtime.exists(spark, f"{at}/{f['path']}"):
+                raise FileNotFoundError(f"{at}/{f['path']} is in the manifest only")
             tokens = f["token_count"] if f.get("token_count") is not None else f.get("estimated_token_count", 0)
-            out.append({"path": str(at / f["path"]), "domain": f.get("domain", Path(f["path"]).stem), "fraction": float(f.get("target_fraction") or 0), "tokens": tokens + 2 * f.get("doc_count", 0)})
+            out.append({"path": f"{at}/{f['path']}", "domain": f.get("domain", stem(f["path"])), "fraction": float(f.get("target_fraction") or 0), "tokens": tokens + 2 * f.get("doc_count", 0)})
         return out
-    found = sorted(at.glob("*.jsonl")) or sorted(at.glob("*.txt"))
+    names = [name for name, *_ in runtime.listing(spark, at)] if runtime.is_dir(spark, at) else []
+    found = [n for n in names if n.endswith(".jsonl")] or [n for n in names if n.endswith(".txt")]
     if not found:
         raise FileNotFoundError(f"no documents in {at}")
-    return [{"path": str(f), "domain": f.stem, "fraction": 0.0, "tokens": 0} for f in found]
+    return [plain(f"{at}/{n}") for n in found]
 
 
 def corpus_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(domain, text) of a corpus directory."""
+    """(domain, text) of a corpus directory. Files of a kind are read as one, and their domains joined on by name."""
+    sources = corpus_sources(path, spark)
     out = None
-    for s in corpus_sources(path):
-        read = text_documents if s["path"].endswith(".txt") else json_documents
-        part = read(spark, s["path"]).select(F.lit(s["domain"]).alias("domain"), "text")
+    for read, end in ((text_documents, ".txt"), (json_documents, "")):
+        own = [s for s in sources if s["path"].endswith(".txt") == (end == ".txt")]
+        if not own:
+            continue
+        if len({s["domain"] for s in own}) == 1:
+            part = read(spark, [s["path"] for s in own]).select(F.lit(own[0]["domain"]).alias("domain"), "text")
+        else:
+            domains = bounded(spark.createDataFrame([(s["path"].rsplit("/", 1)[-1], s["domain"]) for s in own], "_name string, domain string"), "files of a corpus")
+            part = read(spark, [s["path"] for s in own]).withColumn("_name", F.url_decode(F.element_at(F.split("file", "/"), -1))).join(domains, "_name").select("domain", "text")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -78,25 +89,31 @@ def chat_rows(spark: SparkSession, path: str, schema: str, problems: Column | No
 
 
 def benchmark_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a benchmark's directory: the files its manifest lists, Parquet or JSON lines, gzip or not."""
-    at = Path(path)
-    listed = json.loads((at / "manifest.json").read_text())["files"] if (at / "manifest.json").is_file() else sorted(p.name for p in at.iterdir() if p.suffix != ".md")
-    out = None
+    """Rows of a benchmark's directory: the files its manifest lists, Parquet or JSON lines, gzip or not. A broken line is an error."""
+    at = path.rstrip("/")
+    manifest = f"{at}/manifest.json"
+    listed = json.loads(runtime.read_text(spark, manifest))["files"] if runtime.exists(spark, manifest) else [n for n, *_ in runtime.listing(spark, at) if not n.endswith(".md")]
+    kinds: dict[bool, list[str]] = {}
     for name in listed:
-        if not (at / name).is_file():
-            raise FileNotFoundError(str(at / name))
-        if name.endswith(".parquet"):
-            part = spark.read.parquet(str(at / name))
-        elif name.endswith((".jsonl", ".json", ".jsonl.gz", ".json.gz")):
-            part = spark.read.json(str(at / name), mode="DROPMALFORMED")
-        else:
-            raise ValueError(f"unknown kind of file: {at / name}")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+        if not runtime.exists(spark, f"{at}/{name}"):
+            raise FileNotFoundError(f"{at}/{name}")
+        if not name.endswith((".parquet", ".jsonl", ".json", ".jsonl.gz", ".json.gz")):
+            raise ValueError(f"unknown kind of file: {at}/{name}")
+        kinds.setdefault(name.endswith(".parquet"), []).append(f"{at}/{name}")
+    if not kinds:
         raise FileNotFoundError(f"no files listed for {at}")
+    out = None
+    for parquet, paths in kinds.items():
+        part = spark.read.option("mergeSchema", True).parquet(*paths) if parquet else spark.read.json(paths, mode="FAILFAST")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first rows by order, or all: a limit on what is evaluated."""
+    return rows if most is None else rows.orderBy(order).limit(most)
+
+
 def hub_url_parts(url: Column) -> dict[str, Column]:
     """Repository, revision and path of an hf://datasets/... URL; empty where it is none."""
     pattern = r"^hf://datasets/([^/@]+/[^/@]+)(?:@([^/]+))?/(.+)$"
@@ -119,9 +136,7 @@ def run_log_path(root: str, run: str) -> Path:
 
 
 def optional_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file that may be missing; then there are none."""
-    if not Path(path).exists():
-        return spark.createDataFrame([], "value string")
-    return spark.read.text(path).where(nonblank("value"))
-
-
+    """Lines (file, line_no, value) that aren't blank, of a file or directory that may be missing; then there are none."""
+    if not runtime.exists(spark, path):
+        return spark.createDataFrame([], "file string, line_no bigint, value string")
+    return numbered_lines(spark, path).where(nonblank("value"))

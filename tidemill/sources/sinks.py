@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
-import shutil
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import runtime
 from tidemill.operators.corpus import BYTES_PER_TOKEN
 
 
@@ -31,21 +29,21 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
-def replace_json(path: str | Path, value: object) -> None:
-    """Writes JSON so that the file is never half there."""
-    at = Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    draft = at.with_name(f".{at.name}.{os.getpid()}.tmp")
-    draft.write_text(json.dumps(value, ensure_ascii=False, indent=2) + "\n")
-    os.replace(draft, at)
+def replace_json(path: str, value: object) -> None:
+    """Writes JSON so that the file is never half there, on any file system Spark knows."""
+    runtime.write_text(SparkSession.builder.getOrCreate(), str(path), json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
-def upsert_manifest(path: str | Path, key: str, entry: dict) -> dict:
+def read_json(path: str) -> dict | None:
+    """What replace_json wrote; None if it isn't there."""
+    spark = SparkSession.builder.getOrCreate()
+    return json.loads(runtime.read_text(spark, str(path))) if runtime.exists(spark, str(path)) else None
+
+
+def upsert_manifest(path: str, key: str, entry: dict) -> dict:
     """Puts one source's entry into a manifest of several."""
-    at = Path(path)
-    whole = json.loads(at.read_text()) if at.is_file() else {}
-    whole[key] = entry
-    replace_json(at, whole)
+    whole = (read_json(path) or {}) | {key: entry}
+    replace_json(path, whole)
     return whole
 
 
@@ -59,7 +57,7 @@ def corpus_manifests(per_domain: DataFrame, fingerprint: str, path: str) -> dict
         m["byte_count"] += r["byte_count"]
     for split, m in out.items():
         m["estimated_token_count"] = m["byte_count"] // BYTES_PER_TOKEN
-        replace_json(Path(path) / f"{split}.manifest.json", m)
+        replace_json(f"{path}/{split}.manifest.json", m)
     return out
 
 
@@ -68,19 +66,40 @@ def fingerprint(config: object) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+#: Hashes under one node of the tree, and its levels: enough for 10**12 rows, fixed so that a hash doesn't hang on their number.
+FAN_IN, LEVELS = 1024, 4
+
+
 def content_hash(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """SHA-256 over the hashes of ordered rows, in two steps: blocks of rows, then the blocks."""
-    blocks = rows.withColumn("_b", F.floor(F.col(order) / 4096)).groupBy("_b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.sha2(value, 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("h"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
+    """SHA-256 of a tree over ordered rows, numbered from 0 by order: no task sees more than FAN_IN hashes of a level below.
+
+    It tells whether two outputs hold the same rows in the same order; file_hashes tells the same of files."""
+    level = rows.select(F.col(order).cast("bigint").alias("at"), F.sha2(value, 256).alias("h"))
+    for _ in range(LEVELS):
+        level = level.groupBy(F.floor(F.col("at") / FAN_IN).alias("at")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    return level.agg(F.max_by("h", F.lit(0)).alias("sha256"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, n_bytes, sha256) of every file below a path, hashed where it is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def publish(draft: str, final: str) -> None:
-    """Puts a finished directory in the place of another one."""
+    """Puts a finished directory in the place of another one; if it can't be moved there, the other one is put back."""
+    spark = SparkSession.builder.getOrCreate()
     old = f"{final}.old-{time.time_ns()}"
-    if os.path.exists(final):
-        os.rename(final, old)
-    os.rename(draft, final)
-    shutil.rmtree(old, ignore_errors=True)
+    there = runtime.exists(spark, final)
+    if there:
+        runtime.rename(spark, final, old)
+    try:
+        runtime.rename(spark, draft, final)
+    except Exception:
+        if there:
+            runtime.rename(spark, old, final)
+        raise
+    runtime.delete(spark, old)
 
 
 def append_points(points: DataFrame, path: str) -> None:
