@@ -58,3 +58,29 @@ def test_specs_of_the_tables(spark, sf):
     assert total == spec_items(spark, sf).agg({"length": "sum"}).first()[0]
     joint = fill_report(pack(spec_items(spark, sf, joint=True))).collect()
     assert {r["spec_name"] for r in joint} == {"rendered_sft", "documents"}
+
+
+def test_several_sizes_are_never_worse_than_one_of_them():
+    rng = random.Random(6)
+    for _ in range(40):
+        sizes = sorted(rng.sample(range(20, 400), 3))
+        lengths = sorted((rng.randint(1, sizes[-1]) for _ in range(rng.randrange(1, 120))), reverse=True)
+        space = lambda s: sum(best_fit(lengths, s, 0.0)[1])
+        assert space(sizes) <= space([sizes[-1]])
+
+
+def test_mixed_sizes_fill_what_one_size_cannot():
+    lengths = sorted([70] * 60 + [45] * 60, reverse=True)
+    assert sum(best_fit(lengths, [100])[1]) > sum(best_fit(lengths, [45, 70, 100])[1]) == sum(lengths)
+
+
+def test_a_huge_capacity_takes_no_memory_of_its_own():
+    where, size = best_fit([10**9, 5, 4], [10**3, 10**9])
+    assert size[where[0]] == 10**9 and size[where[1]] == 10**3
+
+
+def test_shards_count_pieces_and_deal_equal_keys(spark):
+    rows = [("s", None, 5, [8], "")] * 900 + [("s", 1, 8 * 700, [8], "")]
+    packed = pack(spark.createDataFrame(rows, ITEMS), shard_items=100)
+    sizes = {r[0]: r[1] for r in packed.groupBy("shard").count().collect()}
+    assert len(sizes) == 16 and max(sizes.values()) < 200 and sum(sizes.values()) == 1600

@@ -1,15 +1,17 @@
 """Filling containers: variable-capacity best-fit over several permitted lengths.
 
-Items are sharded by a hash of their key so that a shard holds about SHARD_ITEMS of them at any scale; each shard is packed
-on its own from (key, length) alone, so texts and token arrays never move. Within a shard items go by falling length, each
-into the open container with the least room that still holds it. If none does, the container length is opened whose cost
-for what it can be expected to hold is least; that weighs all permitted lengths against the lengths still to come. At the
-end each container is downsized to the shortest permitted length that holds its contents. A shard leaves at most a few
-containers badly filled, which at SHARD_ITEMS items is under 0.1 % of the space.
+Pieces of items are sharded by a hash so that a shard holds about SHARD_ITEMS of them at any scale; each shard is packed on
+its own from (key, length) alone, so texts and token arrays never move. Within a shard items go by falling length, each into
+the open container with the least room that still holds it. If none does, a container is opened: by one plan the length whose
+cost for what it can be expected to hold is least, which weighs all permitted lengths against those still to come, by others
+always one of the permitted lengths, or the next that holds the item. At the end each container is downsized to the shortest
+permitted length that holds its contents. Of all plans a shard takes the one of least cost, space and containers together. A
+shard leaves at most a few containers badly filled, which at SHARD_ITEMS pieces is under 0.1 % of the space.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,37 +29,39 @@ CONTAINER_COST = 1.0
 PACKED = "spec_name string, shard int, bin_no int, bin_size bigint, item_key bigint, piece_no int, pieces int, piece_length bigint"
 
 
-def best_fit(lengths: Sequence[int], sizes: Sequence[int], container_cost: float = CONTAINER_COST) -> tuple[list[int], list[int]]:
-    """For items by falling length, none over the largest size: each one's container, and each container's size."""
-    sizes = sorted(set(sizes))
+def _planned(lengths: Sequence[int], sizes: Sequence[int], container_cost: float, opened: int | None) -> tuple[list[int], list[int]]:
+    """One plan of best_fit: containers are opened at the length opened where it holds the item, or, if None, at that of least expected cost."""
     largest = sizes[-1]
     n = len(lengths)
     room: list[int] = []
     held: list[int] = []
     by_room: dict[int, list[int]] = {}
-    open_rooms = 0  # bit r is set if a container with r of room is open
-    sums = np.zeros(n + 1)
-    sums[:n] = np.cumsum(np.asarray(lengths, dtype=np.float64)[::-1])[::-1]
-    first_at_most = np.searchsorted(-np.asarray(lengths), -np.arange(largest + 1), side="left") if n else np.zeros(largest + 1, dtype=int)
-    volume = sums.tolist()
-    first = first_at_most.tolist()
+    rooms: list[int] = []  # the rooms of open containers, each once, in order
+    volume = [*np.cumsum(np.asarray(lengths, dtype=np.float64)[::-1])[::-1].tolist(), 0.0]
+    falling = [-x for x in lengths]
     where: list[int] = []
     for at, length in enumerate(lengths):
-        fits = open_rooms >> length
-        if fits and length:
-            r = length + (fits & -fits).bit_length() - 1
+        fit = bisect.bisect_left(rooms, length)
+        if fit < len(rooms):
+            r = rooms[fit]
             stack = by_room[r]
             bin_no = stack.pop()
             if not stack:
-                open_rooms &= ~(1 << r)
+                del rooms[fit]
         else:
             best, size = float("inf"), largest
             for s in sizes:
-                if s >= length:
-                    to_come = volume[max(at + 1, first[s - length])]
-                    cost = (s + container_cost) / max(1, length + min(s - length, to_come))
-                    if cost <= best:
-                        best, size = cost, s
+                if s < length:
+                    continue
+                if opened is not None:
+                    size = s
+                    if s >= opened:
+                        break
+                    continue
+                to_come = volume[max(at + 1, bisect.bisect_left(falling, length - s))] if s > length else 0.0
+                cost = (s + container_cost) / max(1, length + min(s - length, to_come))
+                if cost <= best:
+                    best, size = cost, s
             bin_no, r = len(room), size
             room.append(0)
             held.append(0)
@@ -66,12 +70,22 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], container_cost: float
         held[bin_no] += length
         where.append(bin_no)
         if left:
-            by_room.setdefault(left, []).append(bin_no)
-            open_rooms |= 1 << left
-    fitted = np.searchsorted(sizes, held)
+            stack = by_room.setdefault(left, [])
+            if not stack:
+                bisect.insort(rooms, left)
+            stack.append(bin_no)
+    fitted = np.searchsorted(sizes, held) if n else []
     return where, [sizes[i] for i in fitted]
 
 
+def best_fit(lengths: Sequence[int], sizes: Sequence[int], container_cost: float = CONTAINER_COST) -> tuple[list[int], list[int]]:
+    """For items by falling length, none over the largest size: each one's container, and each container's size."""
+    sizes = sorted(set(sizes))
+    plans = [None, *sizes] if len(sizes) > 1 else [None]
+    tried = (_planned(lengths, sizes, container_cost, opened) for opened in plans)
+    return min(tried, key=lambda plan: sum(plan[1]) + container_cost * len(plan[1]))
+
+
 def _pack_shard(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     items = items.sort_values(["length", "item_key", "piece_no"], ascending=[False, True, True], kind="stable")
     sizes = [int(x) for x in items["sizes"].iloc[0]]
@@ -90,7 +104,8 @@ def pack(items: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
 
     An item is split only if it is longer than the longest permitted length, into full pieces and a rest. Items without
     length (null or 0) take no space and get no container; they are left out. Null keys are packed like others; repeated keys
-    are packed once for each row. An empty table gives no containers.
+    are packed once for each row; neither fills one shard, as rows are dealt by their number too. An empty table gives no
+    containers.
     """
     cap = F.array_max("sizes")
     n = F.ceil(F.col("length") / cap).cast("int")
@@ -98,14 +113,15 @@ def pack(items: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
         items.select("spec_name", F.col("item_key").cast("bigint").alias("item_key"), F.col("length").cast("bigint").alias("length"), "sizes")
         .where("length > 0 and size(sizes) > 0")
         .withColumn("pieces", n)
+        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .withColumn("length", F.least(cap.cast("bigint"), F.col("length") - F.col("piece_no") * cap))
     )
-    counts = items.groupBy("spec_name").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / F.lit(shard_items)).cast("int"))
+    counts = items.where("length > 0 and size(sizes) > 0").groupBy("spec_name").agg(F.sum(n).alias("n")).withColumn("shards", F.ceil(F.col("n") / F.lit(shard_items)).cast("int"))
     counts = written(counts, "counts")
     if counts.limit(MAX_SPECS + 1).count() > MAX_SPECS:
         raise ValueError(f"more than {MAX_SPECS} specs")
-    sharded = pieces.join(F.broadcast(counts.select("spec_name", "shards")), "spec_name").withColumn("shard", F.pmod(F.xxhash64("item_key", "piece_no"), F.col("shards")).cast("int"))
+    sharded = pieces.join(F.broadcast(counts.select("spec_name", "shards")), "spec_name").withColumn("shard", F.pmod(F.xxhash64("item_key", "piece_no", "_row"), F.col("shards")).cast("int"))
     return sharded.select("spec_name", "shard", "item_key", "piece_no", "pieces", "length", "sizes").groupBy("spec_name", "shard").applyInPandas(_pack_shard, PACKED)
 
 
@@ -126,6 +142,13 @@ def fill_report(packed: DataFrame) -> DataFrame:
     )
 
 
+def space_report(packed: DataFrame) -> DataFrame:
+    """Per spec the items, their units, the space of all containers, and the share of it that no packing could do without."""
+    whole = containers(packed).groupBy("spec_name").agg(F.sum("used").alias("units"), F.sum("bin_size").alias("space"), F.count(F.lit(1)).alias("n_bins"))
+    items = packed.where("piece_no = 0").groupBy("spec_name").agg(F.count(F.lit(1)).alias("items"))
+    return whole.join(items, "spec_name").select("spec_name", "items", "units", "space", "n_bins", F.round(F.col("units") / F.col("space"), 6).alias("least_share"))
+
+
 def split_items(packed: DataFrame) -> DataFrame:
     """Items that had to be split, once each."""
     return packed.where("piece_no = 1").select("spec_name", "item_key").distinct()
@@ -138,8 +161,8 @@ KEY_OF = {"rendered_sft": "row_id", "documents": "doc_id"}
 def spec_items(spark: SparkSession, sf: str, joint: bool = False) -> DataFrame:
     """Items for every row of pack_spec.
 
-    A spec's permitted lengths are its capacity and the halves and quarters of it; jointly, all specs of a table and unit share the union of
-    their capacities, and the spec's name is the table's. Specs are settings, a handful of rows; more than MAX_SPECS is an error.
+    A spec's permitted lengths are its capacity and the halves and quarters of it; jointly, all specs of a table, field and unit share the
+    union of their capacities, and the spec's name is the table's, with field and unit where the table has several. Specs are settings, a handful of rows; more than MAX_SPECS is an error.
     """
     specs = spark.read.parquet(f"{sf}/pack_spec.parquet").limit(MAX_SPECS + 1).collect()
     if len(specs) > MAX_SPECS:
@@ -152,7 +175,8 @@ def spec_items(spark: SparkSession, sf: str, joint: bool = False) -> DataFrame:
     out = None
     for (table, field, unit), wanted in tables.items():
         if joint:
-            wanted = [(table, sorted({max(sizes) for _, sizes in wanted}))]
+            alone = sum(t == table for t, _, _ in tables) == 1
+            wanted = [(table if alone else f"{table}.{field}.{unit}", sorted({max(sizes) for _, sizes in wanted}))]
         rows = spark.read.parquet(f"{sf}/{table}.parquet")
         length = F.size(field) if unit == "token" else F.octet_length(field)
         narrow = rows.select(F.col(KEY_OF[table]).alias("item_key"), F.greatest(length, F.lit(0)).alias("length"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import defects, ledger, leaks, mixing, overlap, packing, readability
-from tidemill.runtime import written
+from tidemill.runtime import bounded, written
 
 FIXTURE = "sft_public_tool_fixture"
 
@@ -74,6 +74,34 @@ def p3_joint(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(packing.pack(packing.spec_items(spark, sf, joint=True)))
 
 
+def p3_space(spark: SparkSession, sf: str) -> DataFrame:
+    """What is packed of each spec: all of it."""
+    return packing.space_report(written(packing.pack(packing.spec_items(spark, sf)), "packed")).select("spec_name", "items", "units")
+
+
+def p3_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """The containers' space against the least possible, the volume of their contents."""
+    return packing.space_report(written(packing.pack(packing.spec_items(spark, sf)), "packed"))
+
+
+def p3_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents of the packed token arrays, cut to their pieces: per spec as many tokens, with the same sum, as the table has."""
+    specs = _read(spark, sf, "pack_spec").where("table_name = 'rendered_sft'").select("spec_name", "capacity")
+    packed = packing.pack(packing.spec_items(spark, sf)).join(bounded(specs.select("spec_name"), "specs"), "spec_name", "left_semi")
+    pieces = packing.token_windows(packed, _read(spark, sf, "rendered_sft"), "row_id", "token_ids", bounded(specs, "specs"))
+    return pieces.groupBy("spec_name").agg(F.sum(F.size("content")).alias("tokens"), F.sum(F.aggregate("content", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"))
+
+
+P3_SPACE_SQL = """
+SELECT s.spec_name, count(*) AS items, sum(n)::BIGINT AS units FROM pack_spec s JOIN
+  (SELECT 'rendered_sft' AS table_name, len(token_ids) AS n FROM rendered_sft UNION ALL SELECT 'documents', strlen(text) FROM documents) i USING (table_name)
+WHERE n > 0 GROUP BY s.spec_name
+"""
+P3_TOKENS_SQL = """
+SELECT s.spec_name, sum(len(token_ids))::BIGINT AS tokens, sum(list_sum(token_ids))::BIGINT AS id_sum FROM pack_spec s JOIN rendered_sft r ON s.table_name = 'rendered_sft' WHERE len(token_ids) > 0 GROUP BY s.spec_name
+"""
+
+
 # p5: copies in other formatting
 
 
@@ -151,5 +179,5 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
     return levels.groupBy("source", "level").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_words").alias("words"), F.round(F.avg("grade"), 6).alias("mean_grade"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_fill, p3_joint, p5_found, p5_counts, p6_found, p6_items, p7_found, p7_shares, p8_found, p8_profile)}
-ORACLES = {"p3_found": P3_FOUND_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_fill, p3_joint, p3_space, p3_bound, p3_tokens, p5_found, p5_counts, p6_found, p6_items, p7_found, p7_shares, p8_found, p8_profile)}
+ORACLES = {"p3_found": P3_FOUND_SQL, "p3_space": P3_SPACE_SQL, "p3_tokens": P3_TOKENS_SQL}
