@@ -73,3 +73,13 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world", "a", 0), (2, None, "a", 0), (3, "", None, 0), (3, "x" * 20_000, None, 0)], "doc_id bigint, text string, source string, n_tokens int")
     got = sorted((r["doc_id"], r["n_tokens"]) for r in source_sizes(df).collect())
     assert got[:3] == [(1, 2), (2, 0), (3, 0)] and got[3][1] > 0
+
+
+def test_the_size_of_a_mixture_can_be_set(spark):
+    from tidemill.llm.mixing import mix, mix_plan, shares
+
+    sized = spark.createDataFrame([(i if i % 3 else None, "ab"[i % 2], 10) for i in range(300)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.25, 2), ("m", "b", 0.75, 2)], "mix_name string, source string, weight double, max_repeats int")
+    plan = mix_plan(sized, targets, size=1000)
+    got = {r["source"]: r["actual_tokens"] for r in shares(mix(sized, plan, chunk_docs=20), plan).collect()}
+    assert abs(got["a"] - 250) <= 10 and abs(got["b"] - 750) <= 10

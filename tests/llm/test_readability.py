@@ -55,3 +55,24 @@ def test_accuracy_on_held_out_ratings(spark, sf):
     bounds = fit_bounds(profiles, ratings.where("doc_id % 2 = 0"))
     held = reading_levels(profiles, bounds).select("doc_id", "level").join(ratings.where("doc_id % 2 = 1 and level is not null").select("doc_id", "level").withColumnRenamed("level", "rated"), "doc_id").collect()
     assert sum(r["level"] == r["rated"] for r in held) >= 0.85 * len(held)
+
+
+def test_other_scripts_are_not_read_as_english():
+    from tidemill.llm.readability import language, profile, syllables
+
+    assert syllables("молоко", "cyrillic") == 3 and syllables("άνθρωπος", "greek") == 3
+    assert language("это очень хороший дом".split(), "en") == "cyrillic" and language("the house и".split()) == "en"
+    short, long = "Кот спит. Дом стоит.", "Представленная концептуализация методологических предпосылок обусловливает необходимость всестороннего переосмысления исследовательских парадигм. " * 2
+    assert profile(short)[4] < 6 < profile(long)[4]
+    easy, hard = "我去。你来。", "我" * 80 + "。"
+    assert profile(easy)[1] > 0 and profile(easy)[4] < profile(hard)[4]
+    assert profile("هذا بيت. هذا باب.")[4] < profile("هذا " * 60 + ".")[4]
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    from tidemill.llm.readability import fit_bounds, reading_profiles
+
+    docs = spark.createDataFrame([(1, "The cat sat. The dog ran.", "en")] * 50 + [(2, "Notwithstanding considerable methodological heterogeneity, interdisciplinary investigations demonstrate extraordinarily consistent epistemological presuppositions.", "en")], "doc_id bigint, text string, lang string")
+    ratings = spark.createDataFrame([(1, "a", "easy"), (1, "b", "easy"), (2, "a", "hard"), (2, "b", None)], "doc_id bigint, rater string, level string")
+    low, high = fit_bounds(reading_profiles(docs), ratings)
+    assert 0 < low < high

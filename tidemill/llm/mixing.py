@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.tokens import VOCABULARY, count_tokens
-from tidemill.runtime import written
+from tidemill.runtime import bounded, written
 
 CHUNK_DOCS = 20_000
 FAN_IN = 256
@@ -75,14 +75,14 @@ def source_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return written(count_tokens(documents, ["doc_id", "source"], "text", vocabulary), "tokens")
 
 
-def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
+def mix_plan(sized: DataFrame, targets: DataFrame, size: int | None = None) -> DataFrame:
     """For each target: tokens wanted and there, and how often each document is needed, capped.
 
-    The mixture is as large as all documents together, those without source included. Sources without documents have none.
+    The mixture has size tokens, or as many as all documents together, those without source included. Sources without documents have none.
     Null weights count as 0 and null or negative repeats as 0.
     """
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"))
+    total = sized.agg((F.coalesce(F.sum("n_tokens"), F.lit(0)) if size is None else F.max(F.lit(size))).cast("bigint").alias("total_tokens"))
     wanted = targets.select("mix_name", "source", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     plan = wanted.join(F.broadcast(total)).join(have, "source", "left").fillna(0, ["source_tokens", "source_docs"])
     plan = plan.withColumn("target_tokens", F.col("weight") * F.col("total_tokens"))
@@ -95,7 +95,7 @@ def mix(sized: DataFrame, plan: DataFrame, seed: str = "mix", chunk_docs: int =
     """(mix_name, source, doc_id, n_tokens, copies) for every document and mix that names its source.
 
     Documents without tokens get the whole part of their source's need, at no cost; documents without source are in no mix.
-    Repeated ids are rounded each on its own. The plan is a handful of settings; more than MAX_TARGETS rows is an error.
+    Repeated ids are rounded each on its own; null ids are dealt to chunks by their rows' numbers. The plan is a handful of settings; more than MAX_TARGETS rows is an error.
     """
     if plan.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
@@ -104,7 +104,7 @@ def mix(sized: DataFrame, plan: DataFrame, seed: str = "mix", chunk_docs: int =
         sized.join(F.broadcast(need), "source")
         .withColumn("base", F.floor(F.col("need") + F.lit(_EPS)).cast("int"))
         .withColumn("open", F.when(F.col("n_tokens") > 0, F.greatest(F.col("need") - F.col("base"), F.lit(0.0))).otherwise(0.0))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest("chunks", F.lit(1))).cast("bigint"))
+        .withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(seed)), F.greatest("chunks", F.lit(1))).cast("bigint"))
         .select("mix_name", "source", "chunk", "doc_id", "n_tokens", "base", "open")
     )
     settled = docs.where(F.col("open") <= _EPS).withColumn("extra", F.lit(0))
@@ -134,7 +134,7 @@ def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     all_of = plan.join(got, ["mix_name", "source"], "left").fillna(0, ["actual_tokens", "copies"])
     mixes = all_of.groupBy("mix_name").agg(F.sum("actual_tokens").alias("mix_tokens"))
     spent = (F.col("least_copies") >= F.col("max_repeats")) | F.col("least_copies").isNull()
-    return all_of.join(F.broadcast(mixes), "mix_name").select(
+    return all_of.join(bounded(mixes, "mixes", MAX_TARGETS), "mix_name").select(
         "mix_name", "source", "weight", "max_repeats", "source_docs", "source_tokens", "target_tokens", "actual_tokens", "copies",
         F.round(F.coalesce(F.try_divide("actual_tokens", "mix_tokens"), F.lit(0.0)), 6).alias("actual_share"),
         (spent & (F.col("actual_tokens") < F.col("target_tokens"))).alias("short"),

@@ -3,7 +3,8 @@
 Markup, code, links and headings are left out and list items count as sentences. Every sentence gets five grade estimates
 (Flesch-Kincaid, Gunning fog, SMOG, Coleman-Liau, automated readability index) from its length, letters and syllables; their
 median is its grade. Syllables follow hyphenation-style rules per language (vowel groups, diphthongs, hiatus, silent
-endings). A document keeps how many of its words stand at which grade. Its level is that of most of its words; the two
+endings), for Cyrillic and Greek vowels; in other scripts, whose syllables letters don't tell, every word counts as one of
+average length, so that the sentences' lengths alone tell. A document keeps how many of its words stand at which grade. Its level is that of most of its words; the two
 bounds between the levels are fitted to rated documents, a bounded sample of them.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.runtime import spread
+from tidemill.runtime import spread, written
 
 LEVELS = ("easy", "medium", "hard")
 #: Grades 0 to GRADES-1, the last one for all beyond.
@@ -29,15 +30,24 @@ DEFAULT_BOUNDS = (6, 18)
 RATED_SAMPLE = 20_000
 
 # How many letters and syllables a word has on average beside English, so that grades compare.
-LETTER_SCALE = {"en": 1.0, "de": 0.80, "es": 0.94, "fr": 0.96}
-SYLLABLE_SCALE = {"en": 1.0, "de": 0.82, "es": 0.74, "fr": 0.90}
+LETTER_SCALE = {"en": 1.0, "de": 0.80, "es": 0.94, "fr": 0.96, "cyrillic": 0.84, "greek": 0.86}
+SYLLABLE_SCALE = {"en": 1.0, "de": 0.82, "es": 0.74, "fr": 0.90, "cyrillic": 0.65, "greek": 0.65}
+#: Letters, syllables and share of long words of average English prose, for scripts that don't tell them.
+AVERAGE_LETTERS, AVERAGE_SYLLABLES, AVERAGE_COMPLEX = 4.7, 1.5, 0.1
+#: Words that a character stands for in scripts without spaces.
+WORDS_A_CHARACTER = 0.6
 
 _VOWELS = {
     "en": re.compile(r"[aeiouy]+"),
     "de": re.compile(r"ei|ai|au|eu|äu|ie|aa|ee|oo|[aeiouyäöü]"),
     "es": re.compile(r"[iu]?[aeoáéó][iuy]?(?![íú])|[íú]|[iuü]+|y$"),
     "fr": re.compile(r"eau|[aeiouyàâäéèêëîïôöùûüÿœæ]+"),
+    "cyrillic": re.compile(r"[аеёиоуыэюяіїєў]"),
+    "greek": re.compile(r"αι|ει|οι|ου|αυ|ευ|υι|[αεηιουωάέήίόύώϊϋΐΰ]"),
 }
+_BEYOND_LATIN = re.compile(r"[\u0370-\u1dff\u2e80-\ud7ff\uf900-\ufefc\U00020000-\U0003ffff]")
+_CYRILLIC, _GREEK = re.compile(r"[\u0400-\u052f]"), re.compile(r"[\u0370-\u03ff\u1f00-\u1fff]")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _EN_SILENT = re.compile(r"(?:[^aeiouyl]e|[aeiouy]le[sd]?|[^aeiouytdl]ed|[^aeiouysxzhcgl]es)$")
 _EN_HIATUS = re.compile(r"i[ao](?!us)|eo|ua(?!l?it)|[iu]um|[aeiouy][^aeiouy]+ea$|ier$|ying")
 _FR_SILENT = re.compile(r"[^aeiouyàâäéèêëîïôöùûüÿœæ](?:e|es|ent)$")
@@ -48,7 +58,7 @@ _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->|<[^<>\n
 _LINK = re.compile(r"\bhttps?://\S+|\bwww\.\S+|`[^`\n]*`")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s.*|=+\s.*=+|\*\*[^*]*\*\*|<h\d>.*</h\d>)\s*$", re.M)
 _ITEM = re.compile(r"^\s*(?:[-*•·+–]|\d{1,3}[.)]|\([A-Za-z0-9]\))\s+")
-_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|[A-ZÄÖÜÉÈÀÇÁÍÓÚÑ¿¡]|$)")
+_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|[A-ZÄÖÜÉÈÀÇÁÍÓÚÑ¿¡]|$)|[。！？؟।]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 # Frequent words that tell the languages apart.
@@ -72,8 +82,20 @@ def syllables(word: str, lang: str) -> int:
     return max(1, n)
 
 
+def script(words: list[str]) -> str:
+    """The script that most words are in: latin, cyrillic, greek or other."""
+    beyond = [w for w in words if not w.isascii() and _BEYOND_LATIN.search(w)]
+    if len(beyond) * 2 <= len(words):
+        return "latin"
+    of = lambda letters: sum(bool(letters.search(w)) for w in beyond) * 2 > len(beyond)
+    return "cyrillic" if of(_CYRILLIC) else "greek" if of(_GREEK) else "other"
+
+
 def language(words: list[str], stated: str | None = None) -> str:
-    """The stated language if it is known, else the one whose frequent words are most."""
+    """The script if it isn't the Latin one, else the stated language if it is known, else the one whose frequent words are most."""
+    written = script(words)
+    if written != "latin":
+        return written
     if stated in _COMMON:
         return stated
     counts = {lang: sum(w in common for w in words) for lang, common in _COMMON.items()}
@@ -138,6 +160,8 @@ def profile(text: str, stated: str | None = None) -> tuple[list[int], int, int,
     if not split:
         return by_grade, 0, 0, 0, None
     lang = language([w for words in split for w in words], stated)
+    if lang == "other":
+        return _profile_of_lengths(split)
     cache = _CACHE[lang]
     if len(cache) > 200_000:
         cache.clear()
@@ -160,6 +184,16 @@ def profile(text: str, stated: str | None = None) -> tuple[list[int], int, int,
     return by_grade, total, len(split), total_syllables, float(middle)
 
 
+def _profile_of_lengths(split: list[list[str]]) -> tuple[list[int], int, int, int, float | None]:
+    """The profile of prose in a script that tells neither letters nor syllables, by words a sentence."""
+    by_grade = [0] * GRADES
+    for words in split:
+        n = max(1, round(sum(1 if not (k := len(_UNSPACED.findall(w))) else k * WORDS_A_CHARACTER for w in words)))
+        by_grade[min(GRADES - 1, max(0, round(grade(n, AVERAGE_LETTERS * n, AVERAGE_SYLLABLES * n, round(AVERAGE_COMPLEX * n)))))] += n
+    total = sum(by_grade)
+    return by_grade, total, len(split), round(AVERAGE_SYLLABLES * total), float(np.searchsorted(np.cumsum(by_grade), total / 2))
+
+
 PROFILE = "doc_id bigint, words_by_grade array<int>, n_words bigint, n_sentences bigint, n_syllables bigint, grade double"
 
 
@@ -187,7 +221,10 @@ def fit_bounds(profiles: DataFrame, ratings: DataFrame, sample: int = RATED_SAMP
     Null and unknown levels are left out; without ratings the bounds are DEFAULT_BOUNDS.
     """
     rated = ratings.where(F.col("level").isin(*LEVELS)).select("doc_id", "level").orderBy(F.xxhash64("doc_id", "level")).limit(sample)
-    pairs = profiles.where("n_words > 0").join(F.broadcast(rated), "doc_id").select("words_by_grade", "level").collect()
+    rated = written(rated, "rated")
+    own = profiles.where("n_words > 0").join(F.broadcast(rated.select("doc_id").distinct()), "doc_id", "left_semi")
+    once = own.groupBy("doc_id").agg(F.min("words_by_grade").alias("words_by_grade"))  # a repeated id is rated once
+    pairs = once.join(F.broadcast(rated), "doc_id").select("words_by_grade", "level").collect()
     if not pairs:
         return DEFAULT_BOUNDS
     sums = np.cumsum(np.array([p[0] for p in pairs]), axis=1)
