@@ -125,6 +125,11 @@ def test_quotations_of_other_languages_close():
     assert all(map(stops_short, ("„Es ist fertig.", "«C'est fini.", "“It is.")))
 
 
+def test_code_spans():
+    assert not any(map(stops_short, ("It holds the useful `tokenizer.`", "An index `` alone is fine.", "Use `a` and `b`.")))
+    assert all(map(stops_short, ("It holds the `tokenizer.", "Use `a` and `b")))
+
+
 def test_the_parser_decides(monkeypatch):
     replies = ["It is good (see the", "It breaks off because", "<ul><li>one", "1. We load the file first.\n2. We load the", "```\nx = 1"]
     assert [defect(ASK, r) for r in replies] == ["truncated"] * 5

@@ -237,7 +237,9 @@ def left_open(text: str) -> list[str]:
         elif kind == "code":
             if stack and stack[-1] == token:
                 stack.pop()
-            else:
+                if text[m.start() - 1] in ".!?…。":
+                    done = m.end()
+            elif text[m.end() : m.end() + 1].strip():
                 stack.append(token)
         elif kind == "open":
             stack.append(token)
@@ -273,7 +275,7 @@ def _ends_unmarked(text: str, block: int, items: list[int], tail: str) -> bool:
         ends = [text.find("\n", i) for i in items[:-1]]
         others = [text[i:e] for i, e in zip(items, ends, strict=False)]
         if not others:
-            return not (tail[:1].isupper() and len(tokens) > 6)
+            return not (tail[:1].isupper() and len(tokens) > 5)
         if sum(bool(_DONE.search(o)) for o in others) * 2 > len(others):
             return False
         return len(words(text[block:])) >= min(len(words(o)) for o in others) - 1
