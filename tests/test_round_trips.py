@@ -253,3 +253,66 @@ def test_public_rows_as_chat_rows(spark):
     assert [m["role"] for m in row["messages"]] == ["system", "user", "assistant"] and row["messages"][1]["content"] == "Do it"
     assert json.loads(row["messages"][2]["tool_calls"][0]["function"]["arguments"]) == {"a": 1}
     assert json.loads(row["tools"][0]["function"]["parameters"])["required"] == ["a"]
+
+
+def test_exports_sizes_and_limits(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "x.jsonl").write_text("".join(f'{{"i": {i % 40}}}\n' for i in range(50)))
+    plain, mixed, other = (files.exported_rows(spark, str(tmp_path / "e"), seed) for seed in (None, 1, 2))
+    assert [r["i"] for r in plain.orderBy("pos").collect()] == [i % 40 for i in range(50)]
+    order = [r["i"] for r in mixed.orderBy("pos").collect()]
+    assert sorted(order) == sorted(i % 40 for i in range(50)) and order != [r["i"] for r in other.orderBy("pos").collect()]
+    assert sorted(r["pos"] for r in mixed.collect()) == list(range(50))
+    assert [r["i"] for r in files.first_rows(mixed, "pos", 3).collect()] == order[:3] and files.first_rows(mixed, "pos", None).count() == 50
+    assert [(r["directory"].rsplit("/", 1)[-1], r["files"], r["n_bytes"]) for r in files.directory_sizes(spark, str(tmp_path)).collect()] == [("e", 1, (tmp_path / "e" / "x.jsonl").stat().st_size)]
+
+
+def test_mixed_windows_and_tokenizer_sample(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("domain"), F.col("doc_id").alias("pos"), "text")
+    shares = {r["domain"]: 0.5 for r in docs.where("domain is not null").groupBy("domain").count().orderBy(F.desc("count")).limit(2).collect()}
+    got = pipelines.mixed_windows(docs, shares, C.BatchConfig(64, 4)).collect()
+    assert got and len(got) % 4 == 0 and all(len(r["input"]) == 64 for r in got)
+    (tmp_path / "a.txt").write_text("one two\n\nthree\nfour\n")
+    made = pipelines.tokenizer_sample(spark, {"a": str(tmp_path / "a.txt")}, 10, str(tmp_path / "out"))
+    assert made["a"]["documents"] == 2 and made["a"]["byte_count"] == 12 and sinks.read_json(f"{tmp_path}/out/manifest.json") == made
+
+
+def test_http_client(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tidemill.sources.completion import HttpClient
+
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.headers["Authorization"]))
+            code = 503 if len(asked) == 1 else 400 if "bad" in asked[-1][1]["messages"][0]["content"] else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "yes"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = HttpClient(f"http://127.0.0.1:{server.server_port}/v1", "m", "k", wait=0.01)
+    assert client.complete("hello") == "yes" and len(asked) == 2 and asked[0][0] == "/v1/chat/completions" and asked[0][2] == "Bearer k"
+    with pytest.raises(Exception, match="400"):
+        client.complete("bad")
+    server.shutdown()
+
+
+def test_fine_tuning_settings_and_artifacts():
+    assert C.SftConfig(8, 2).keep == 3
+    for wrong in ({"keep": 0}, {"learning_rate": 0.0}, {"least_rate": 1.0}, {"warmup_steps": -1}, {"batch_size": 0}):
+        with pytest.raises(C.ConfigError):
+            C.from_dict(C.SftConfig, {"context_length": 8, "batch_size": 2} | wrong)
+    assert C.artifact_problems({"a": "1", "b": "2", "c": "3"}, {"a": "1", "b": "9", "d": "4"}) == ["b: changed", "c: missing", "d: new"]
+
+
+def test_top_k(spark):
+    df = spark.createDataFrame([([1.0, None, 3.0, 3.0],), ([],), (None,)], "v array<double>").select(E.top_k(F.col("v"), 2).alias("t"))
+    assert [None if r["t"] is None else [tuple(x) for x in r["t"]] for r in df.collect()] == [[(2, 3.0), (3, 3.0)], [], None]

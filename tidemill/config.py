@@ -171,6 +171,29 @@ class BatchConfig:
             raise ConfigError("context_length must be 2 or more; batch_size, epochs and total_tokens positive")
 
 
+@dataclass(frozen=True)
+class SftConfig:
+    """What fine-tuning takes: how rows become batches, and how often it reports, checks and saves."""
+
+    context_length: int
+    batch_size: int
+    epochs: int = 1
+    warmup_steps: int = 0
+    learning_rate: float = 3e-5
+    least_rate: float = 0.0
+    report_every: int = 10
+    check_every: int = 100
+    save_every: int = 500
+    keep: int = 3
+
+    def __post_init__(self) -> None:
+        BatchConfig(self.context_length, self.batch_size, None, self.epochs)
+        if min(self.report_every, self.check_every, self.save_every, self.keep) < 1 or self.warmup_steps < 0:
+            raise ConfigError("intervals and keep must be positive, warmup_steps not negative")
+        if not 0 <= self.least_rate <= self.learning_rate or self.learning_rate <= 0:
+            raise ConfigError("learning_rate must be positive and least_rate lie between 0 and it")
+
+
 def as_dict(config: Any, without: tuple[str, ...] = ()) -> dict:
     return {k: v for k, v in dataclasses.asdict(config).items() if k not in without}
 
@@ -178,3 +201,8 @@ def as_dict(config: Any, without: tuple[str, ...] = ()) -> dict:
 def resume_problems(stored: dict, current: dict, ignored: tuple[str, ...] = ("output_dir",)) -> list[str]:
     """Settings in which a stored state and the current configuration differ."""
     return sorted(k for k in (stored.keys() | current.keys()) - set(ignored) if stored.get(k) != current.get(k))
+
+
+def artifact_problems(stored: dict[str, str], current: dict[str, str]) -> list[str]:
+    """Files whose hashes a stored state and the present differ in, or that one of them lacks: with these it can't be resumed."""
+    return [f"{name}: {'missing' if name not in current else 'new' if name not in stored else 'changed'}" for name in sorted(stored.keys() | current.keys()) if stored.get(name) != current.get(name)]

@@ -171,3 +171,9 @@ def call_json(m: Column) -> Column:
     """The payload of a message's call: its name and arguments, as they are rendered and as token ids are made of them."""
     f = F.get(m["tool_calls"], F.lit(0))["function"]
     return F.when(f.isNotNull() & f["name"].isNotNull(), F.concat(F.lit('{"name":'), quoted(f["name"]), F.lit(',"arguments":'), F.coalesce(f["arguments"], F.lit("{}")), F.lit("}")))
+
+
+def top_k(values: Column, k: int) -> Column:
+    """The k largest values of an array with their 0-based places, the largest first; equal ones by place. Nulls are left out."""
+    placed = F.filter(F.transform(values, lambda x, i: F.struct((-x).alias("less"), i.alias("place"))), lambda p: p["less"].isNotNull())
+    return F.transform(F.slice(F.array_sort(placed), 1, k), lambda p: F.struct(p["place"].alias("place"), (-p["less"]).alias("value")))

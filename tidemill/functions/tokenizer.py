@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.expr import SPECIAL_TOKENS, call_json
@@ -68,6 +68,35 @@ def encoded(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER)
     return spread(narrow).mapInArrow(run, f"{schema}, token_ids array<int>, offset_bytes bigint, round_trip boolean")
 
 
+def span_sums(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER) -> DataFrame:
+    """rows' columns keep with sums: how many characters the first 0, 1, 2, ... tokens span, so that any stretch of tokens is one
+    difference. Null texts have null sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(path)
+        for b in batches:
+            done = [None if t is None else tokenizer.encode(t, add_special_tokens=False).offsets for t in b.column(b.num_columns - 1).to_pylist()]
+            sums = [None if o is None else np.concatenate([[0], np.cumsum([z - a for a, z in o], dtype=np.int64)]).astype(np.int64) for o in done]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.list_(pa.int64()))], names=[*keep, "sums"])
+
+    narrow = rows.select(*keep, F.col(text).cast("string").alias("_text"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in narrow.dtypes[:-1])
+    return spread(narrow).mapInArrow(run, f"{schema}, sums array<bigint>")
+
+
+def vocabulary(spark: SparkSession, path: str = TOKENIZER, most: int | None = None) -> DataFrame:
+    """(id, token) of a vocabulary, or its first entries by id. A vocabulary is a file that every node has."""
+    entries = sorted((i, t) for t, i in load(path).get_vocab(with_added_tokens=True).items())
+    return spark.createDataFrame(pd.DataFrame(entries[:most], columns=["id", "token"]), "id int, token string")
+
+
+def compression(encoded_rows: DataFrame, n_bytes: str, vocabulary_size: int) -> DataFrame:
+    """Texts, bytes, tokens, bytes a token, and the share of the vocabulary that occurs, of rows with token_ids and their bytes."""
+    used = encoded_rows.select(F.explode("token_ids").alias("id")).distinct().agg((F.count(F.lit(1)) / vocabulary_size).alias("vocabulary_used"))
+    sums = encoded_rows.agg(F.count(F.lit(1)).alias("texts"), F.sum(n_bytes).alias("bytes"), F.sum(F.size("token_ids")).alias("tokens"))
+    return sums.withColumn("bytes_a_token", F.try_divide("bytes", "tokens")).join(F.broadcast(used))
+
+
 def token_view(rows: DataFrame, keep: list[str], text: str, path: str = TOKENIZER) -> DataFrame:
     """rows' columns keep with the tokens of a text, one row each: (position, token, id, kind, bytes, start, stop).
 

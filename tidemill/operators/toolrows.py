@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,21 +142,23 @@ def tool_names(rows: DataFrame, tools: str = "tools") -> DataFrame:
     return rows.select(F.explode(tools).alias("t")).select(F.col("t.function.name").alias("name")).where("name is not null").distinct()
 
 
-def complete(prompts: DataFrame, client_factory, prompt: str = "prompt") -> DataFrame:
-    """prompts with the completion of a client made once per task: an object with complete(text) -> text. Failures give null."""
+def complete(prompts: DataFrame, client_factory, prompt: str = "prompt", at_once: int = 1) -> DataFrame:
+    """prompts with the completion of a client made once per task: an object with complete(text) -> text. Failures give null.
+
+    A task asks at_once prompts at the same time; the client must then stand being used by several threads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
-        for b in batches:
-            answers = []
-            for p in b[prompt]:
-                try:
-                    answers.append(client.complete(p))
-                except Exception:  # noqa: BLE001 - any failure of a client is a missing answer
-                    answers.append(None)
-            yield b.assign(response=answers)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes)
-    return prompts.mapInPandas(run, f"{schema}, response string")
+        def answer(text: str) -> str | None:
+            try:
+                return client.complete(text)
+            except Exception:  # noqa: BLE001 - any failure of a client is a missing answer
+                return None
 
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                yield b.assign(response=list(pool.map(answer, b[prompt])))
 
+    schema = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes)
+    return prompts.mapInPandas(run, f"{schema}, response string")

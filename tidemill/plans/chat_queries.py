@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import tokenizer
 from tidemill.operators import chat, generate, toolrows
+from tidemill.runtime import written
 
 CONTEXT = 512
 
@@ -227,7 +228,31 @@ def argument_partial(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", F.col("m.exact").alias("exact"), F.round("m.partial", 6).alias("partial"))
 
 
-QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view, token_view_spans, chat_render_ids, response_math, response_tool, public_tool_rows, argument_partial)}
+def tool_generate_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows of each kind are generated, and how many of them are valid chat rows: all."""
+    rows = generate.as_chat(generate.training_rows(spark, 7, 0.02).unionByName(generate.evaluation_rows(spark, 7, 0.02)))
+    fine = F.size(chat.rule_breaks(F.col("messages"), F.col("tools"))) == 0
+    called = F.exists("messages", lambda m: F.coalesce(F.size(m["tool_calls"]) == 1, F.lit(False)))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_if(fine).alias("valid"), F.count_if(called).alias("calls"))
+
+
+def vocab_top(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenizer.vocabulary(spark, most=20)
+
+
+def span_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Per item the sums' first, last and number: one more than there are tokens, up to all characters."""
+    s = tokenizer.span_sums(spark.read.parquet(f"{sf}/benchmark_item.parquet"), ["item_id"], "context")
+    return s.select("item_id", F.get("sums", F.lit(0)).alias("first"), F.element_at("sums", -1).alias("last"), (F.size("sums") > 1).alias("several"))
+
+
+def tokenizer_compression(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
+    e = written(tokenizer.encoded(d, ["doc_id", "n_bytes"], "text"), "tokens")
+    return tokenizer.compression(e, "n_bytes", tokenizer.load(tokenizer.TOKENIZER).get_vocab_size()).select("texts", "bytes", (F.col("bytes_a_token") > 1).alias("compresses"), (F.col("vocabulary_used") <= 1).alias("in_vocabulary"))
+
+
+QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view, token_view_spans, chat_render_ids, response_math, response_tool, public_tool_rows, argument_partial, tool_generate_kinds, vocab_top, span_sums, tokenizer_compression)}
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]"
 _NB = r"coalesce(regexp_matches({c}, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]'), false)"
@@ -277,6 +302,9 @@ ORACLES = {
     "response_parse": r"""WITH b AS (SELECT row_no, regexp_replace(answers, '^\[|\]$', '', 'g') AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL), c AS (SELECT row_no, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) END AS j FROM b)
         SELECT row_no, coalesce(json_valid(j) AND j <> '', false) AS is_object FROM c""",
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
+    "tool_generate_kinds": "SELECT kind, rows, rows AS valid, CASE WHEN kind IN ('no_tool', 'no_call', 'missing_info') THEN 0 ELSE rows END::BIGINT AS calls FROM (VALUES " + ", ".join(f"('{k}', {n}::BIGINT)" for k, n in {**{k: round(n * 0.02) for k, n in generate.TRAIN_KINDS.items()}, **{k: round(n * 0.02) for k, n in generate.EVAL_KINDS.items()}, "missing_info": round(generate.TRAIN_KINDS["missing_info"] * 0.02) + round(generate.EVAL_KINDS["missing_info"] * 0.02)}.items()) + ") t(kind, rows)",
+    "span_sums": "SELECT item_id, 0::BIGINT AS first, length(context)::BIGINT AS last, true AS several FROM benchmark_item",
+    "tokenizer_compression": "SELECT count(*) AS texts, sum(strlen(text))::BIGINT AS bytes, true AS compresses, true AS in_vocabulary FROM documents",
     "chat_render_ids": f"WITH {_CHECK}, t AS (SELECT row_id, {_TEXT('messages')} AS t FROM c WHERE len(breaks) = 0) SELECT row_id, md5(t) AS digest, true AS even FROM t",
     "token_view_spans": "SELECT item_id, 0::BIGINT AS first, length(context)::BIGINT AS chars, strlen(context)::BIGINT AS bytes FROM benchmark_item WHERE context <> ''",
     "argument_partial": """SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AND doc_id % 5 = 0 AS exact, round(((doc_id % 3 = 0)::INT + 1 + (doc_id % 5 = 0)::INT) / 3.0::DOUBLE, 6) AS partial FROM documents""",

@@ -182,6 +182,12 @@ def _stream_dir(spark: SparkSession, sf: str) -> str:
     return path
 
 
+def topk_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest entries of each vector, with their places."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.posexplode(E.top_k(F.col("embedding"), 3)).alias("rank", "t"))
+    return v.select("vec_id", "rank", "t.place", F.round(F.col("t.value").cast("double"), 6).alias("value"))
+
+
 def runlog_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The last points of logs that are files, one a run, read as a growing source."""
     from tidemill.runtime import new_path
@@ -193,7 +199,7 @@ def runlog_tail(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(runlog_stream.run_available(runlog.parsed_lines(read), "tail").select("run", "step", "train_loss", "val_loss"))
 
 
-QUERIES = {f.__name__: f for f in (bpb, mcq_accuracy, loss_metrics_grouping_sets, masked_loss, val_estimate, assistant_metrics, no_call_metrics, math_metrics, benchmark_select, benchmark_status, mcq_normalize, mcq_other_mappings, checkpoint_left_join, runlog_last_wins, runlog_latest, runlog_downsample, runlog_running_best, lr_schedule, runlog_tail)}
+QUERIES = {f.__name__: f for f in (bpb, mcq_accuracy, loss_metrics_grouping_sets, masked_loss, val_estimate, assistant_metrics, no_call_metrics, math_metrics, benchmark_select, benchmark_status, mcq_normalize, mcq_other_mappings, checkpoint_left_join, runlog_last_wins, runlog_latest, runlog_downsample, runlog_running_best, lr_schedule, runlog_tail, topk_values)}
 QUERIES["runlog_stream"] = runlog_stream_result
 
 _H = lambda key: f"('0x' || substr(sha256('7:' || {key}), 1, 8))::BIGINT % 10000"
@@ -238,3 +244,4 @@ ORACLES = {
 }
 ORACLES["runlog_stream"] = ORACLES["runlog_last_wins"]
 ORACLES["runlog_tail"] = f"WITH {_PTS} SELECT run, step, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss FROM lw"
+ORACLES["topk_values"] = "SELECT vec_id, (rn - 1)::INT AS rank, (place - 1)::INT AS place, round(value::DOUBLE, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, place) AS rn FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding) AS value FROM embeddings) WHERE value IS NOT NULL) WHERE rn <= 3"

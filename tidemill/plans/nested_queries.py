@@ -100,5 +100,10 @@ P4_TOOL_CALLS = f"WITH {_CALLS} SELECT row_id, 'messages[' || i || '].tool_calls
 P4_TOOLS = f"""WITH {_CALLS}, n AS (SELECT *, CASE WHEN json_type(j->'properties') = 'OBJECT' THEN json_keys(j->'properties') ELSE [] END AS k, CASE WHEN json_type(j->'required') = 'ARRAY' THEN (j->'required')::VARCHAR[] ELSE [] END AS r FROM tj)
 SELECT row_id, 'tools[' || i || ']' AS node_path, t.type AS type, t."function".name AS name, t."function".description AS description, coalesce(len(k), 0)::BIGINT AS properties, coalesce(len(list_filter(k, lambda x: list_contains(r, x))), 0)::BIGINT AS required FROM n"""
 
+P4_SUBTREES = f"""WITH RECURSIVE n AS ({P4_FOUND.strip()}),
+  tops AS (SELECT * FROM n WHERE parent_path = '$'), below AS (SELECT * FROM n WHERE parent_path <> '$')
+SELECT t.row_id, t.node_path AS top_path, count(b.node_path) AS n_below FROM tops t LEFT JOIN below b ON b.row_id = t.row_id AND (starts_with(b.node_path, t.node_path || '.') OR starts_with(b.node_path, t.node_path || '['))
+GROUP BY ALL"""
+
 QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_top_nodes, p4_messages, p4_tool_calls, p4_tools, p4_subtrees)}
-ORACLES = {"p4_found": P4_FOUND, "p4_top_nodes": P4_TOP_NODES, "p4_messages": P4_MESSAGES, "p4_tool_calls": P4_TOOL_CALLS, "p4_tools": P4_TOOLS}
+ORACLES = {"p4_found": P4_FOUND, "p4_top_nodes": P4_TOP_NODES, "p4_messages": P4_MESSAGES, "p4_tool_calls": P4_TOOL_CALLS, "p4_tools": P4_TOOLS, "p4_subtrees": P4_SUBTREES}

@@ -211,9 +211,12 @@ def sft_training_batches(rows: DataFrame, position: str, tokenizer_path: str, co
     return each.select("epoch", "batch_no", position, *padded)
 
 
-def checkpoint_evaluation(configured: DataFrame, scored: DataFrame, path: str) -> dict:
+def checkpoint_evaluation(configured: DataFrame, scored: DataFrame, path: str, domains: DataFrame | None = None) -> dict:
     """Loss, perplexity and bits per token of every configured checkpoint, mixed and per domain, as nested JSON; one that wasn't
-    scored is there as missing. scored: checkpoint, domain, loss_sum, tokens, batches."""
+    scored is there as missing. scored: checkpoint, domain, loss_sum, tokens, batches. With domains (domain), losses of others, whose
+    files aren't part of the evaluation, are left out."""
+    if domains is not None:
+        scored = scored.join(bounded(domains.select("domain").distinct(), "domains"), "domain", "left_semi")
     card: dict = {r["checkpoint"]: {"status": "missing"} for r in configured.select("checkpoint").collect()}  # configured by hand
     for r in metrics.loss_metrics(scored, "domain", ["checkpoint"]).collect():  # one row for each checkpoint and domain
         entry = card.setdefault(r["checkpoint"], {})
@@ -227,6 +230,34 @@ def checkpoint_evaluation(configured: DataFrame, scored: DataFrame, path: str) -
     return card
 
 
+def mixed_windows(docs: DataFrame, shares: dict[str, float], config: BatchConfig, path: str = tokenizer.TOKENIZER, start_id: int = 0, end_id: int = 1, block: int = 200_000) -> DataFrame:
+    """Full batches of token windows over several domains, drawn by the deficit scheduler so that each has its share throughout.
+
+    docs has domain, pos and text; domains without a share are left out. See windows.deficit_order for how exact the order is."""
+    spark = docs.sparkSession
+    wanted = bounded(spark.createDataFrame(sorted(shares.items()), "domain string, share double"), "domains")
+    ids = written(tokenizer.encoded(docs.join(wanted, "domain"), ["domain", "share", "pos"], "text", path).where("size(token_ids) > 0"), "tokens")
+    drawn = windows.deficit_order(ids.select("domain", "share", "pos", (F.size("token_ids") + 2).cast("bigint").alias("n_stream")), block)
+    placed = positions(drawn, F.col("block"), ["block", "draw"], [], "_place").select("domain", "pos", "_place")
+    stream = windows.stream_offsets(ids.join(placed, ["domain", "pos"]).withColumn("n", F.size("token_ids")), "n", "_place")
+    w = windows.window_tokens(windows.window_segments(stream, config.context_length), "token_ids", start_id, end_id, config.context_length)
+    return windows.batches(w, config.batch_size, config.total_tokens, config.context_length)
+
+
+def tokenizer_sample(spark: SparkSession, components: dict[str, str], most_bytes: int, output_dir: str) -> dict[str, dict]:
+    """Plain lines of each source up to a budget of bytes, for training a tokenizer elsewhere; and a manifest entry for each."""
+    made = {}
+    for name, path in components.items():
+        docs = files.corpus_documents(spark, path).where(nonblank("text")).select(F.lit(name).alias("domain"), F.monotonically_increasing_id().alias("pos"), "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
+        targets = spark.createDataFrame([(name, most_bytes)], "domain string, target bigint")
+        cut = written(corpus.budget_cut(written(docs, "docs"), targets), "sample")
+        sinks.write_text(cut, f"{output_dir}/{name}", "domain")
+        n = cut.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+        made[name] = {"documents": n["docs"], "byte_count": n["bytes"], "output_path": f"{output_dir}/{name}"}
+        sinks.upsert_manifest(f"{output_dir}/manifest.json", name, made[name])
+    return made
+
+
 def resumed(batches: DataFrame, after_batch: int) -> DataFrame:
     """What is left of batches after one was done: order and numbers never change, so a position is all the state."""
     return batches.where(F.col("batch_id") > after_batch)

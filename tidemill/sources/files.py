@@ -109,6 +109,24 @@ def benchmark_rows(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def exported_rows(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
+    """Rows of a dataset's local export, Parquet or JSON lines, with their place pos: in the order of the files, or, with a seed, in
+    a hash order of their content, so that the first of them are a sample."""
+    rows = benchmark_rows(spark, path) if runtime.is_dir(spark, path) else spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path, mode="FAILFAST")
+    if seed is None:
+        return rows.withColumn("pos", F.monotonically_increasing_id())
+    # equal rows come one after the other
+    order = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})), 256), 1, 12), 16, 10).cast("bigint")
+    placed = rows.withColumn("_h", order).withColumn("_n", F.monotonically_increasing_id())
+    return positions(placed, F.shiftright("_h", 36), ["_h", "_n"], [], "pos").drop("_h", "_n")
+
+
+def directory_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(directory, files, n_bytes) of every directory below a path, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return listed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("n_bytes"))
+
+
 def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
     """The first rows by order, or all: a limit on what is evaluated."""
     return rows if most is None else rows.orderBy(order).limit(most)
