@@ -9,7 +9,7 @@ from tidemill.functions import expr as E
 from tidemill.operators import corpus as C
 from tidemill.operators.prefix import hash_slot, positions, slot_digits
 
-SEED, VAL, TEST, BUDGET = 42, 0.05, 0.02, 400_000
+SEED, VAL, TEST = 42, 0.05, 0.02
 FRACTIONS = {"en": 0.7, "de": 0.1, "fr": 0.1, "es": 0.05, "none": 0.03, "it": 0.02}
 
 
@@ -21,8 +21,13 @@ def _fractions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(FRACTIONS.items()), "domain string, fraction double")
 
 
+def _budget(spark: SparkSession, sf: str) -> int:
+    """Two fifths of all bytes there are."""
+    return (C.encoded(_docs(spark, sf), "lang").agg(F.sum("n_bytes")).first()[0] or 0) * 2 // 5
+
+
 def _cut(spark: SparkSession, sf: str) -> DataFrame:
-    cut = C.budget_cut(C.encoded(_docs(spark, sf), "lang"), C.domain_targets(_fractions(spark), BUDGET))
+    cut = C.budget_cut(C.encoded(_docs(spark, sf), "lang"), C.domain_targets(_fractions(spark), _budget(spark, sf)))
     return C.with_split(cut, SEED, VAL, TEST)
 
 
@@ -34,7 +39,7 @@ enc AS (SELECT doc_id AS pos, coalesce(lang, 'none') AS domain, text,
   strlen(to_json({'domain': coalesce(lang, 'none'), 'text': text})::VARCHAR) + 4 AS n_bytes FROM documents WHERE regexp_matches(text, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]'))
 """
 _CUT = f"""
-WITH {_ENCODED}, tgt AS (SELECT domain, fraction, floor({BUDGET} * fraction)::BIGINT AS target FROM {_FRACTIONS_SQL}),
+WITH {_ENCODED}, tgt AS (SELECT domain, fraction, floor((SELECT sum(n_bytes)::BIGINT * 2 // 5 FROM enc) * fraction)::BIGINT AS target FROM {_FRACTIONS_SQL}),
 run AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   row_number() OVER (PARTITION BY domain ORDER BY pos) AS rn FROM enc),
 cut AS (SELECT pos, run.domain, text, n_bytes, {_SPLIT} AS split FROM run JOIN tgt USING (domain) WHERE before < target OR rn = 1),
@@ -67,9 +72,9 @@ def corpus_budget_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokenizer_sample_cut(spark: SparkSession, sf: str) -> DataFrame:
-    """The same cut by plain text bytes, per source, as a sample to train a tokenizer on."""
+    """The same cut by plain text bytes, half of each source, as a sample to train a tokenizer on."""
     d = C.encoded(_docs(spark, sf), "source").withColumn("n_bytes", (F.octet_length("text") + 1).cast("bigint"))
-    targets = d.select("domain").distinct().withColumn("target", F.lit(20_000).cast("bigint"))
+    targets = d.groupBy("domain").agg(F.floor(F.sum("n_bytes") / 2).cast("bigint").alias("target"))
     return C.budget_cut(d, targets).groupBy("domain").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_bytes").alias("bytes"))
 
 
@@ -82,7 +87,7 @@ def corpus_split_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_component_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return C.component_fill(_cut(spark, sf), C.domain_targets(_fractions(spark), BUDGET), 0.9).select("domain", "target", "byte_count", "filled")
+    return C.component_fill(_cut(spark, sf), C.domain_targets(_fractions(spark), _budget(spark, sf)), 0.9).select("domain", "target", "byte_count", "filled")
 
 
 def corpus_split_leakage(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,8 +126,8 @@ ORACLES = {
     "corpus_split": f"WITH {_ENCODED} SELECT pos, {_SPLIT} AS split FROM enc",
     "corpus_budget_cut": f"{_CUT} SELECT pos, domain, n_bytes, split FROM cut",
     "tokenizer_sample_cut": f"""WITH src AS (SELECT doc_id AS pos, coalesce(source, 'none') AS domain, strlen(text) + 1 AS n FROM documents WHERE {_NONBLANK}),
-        run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM src)
-        SELECT domain, count(*) AS docs, sum(n)::BIGINT AS bytes FROM run WHERE before < 20000 GROUP BY domain""",
+        run AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY domain) AS every FROM src)
+        SELECT domain, count(*) AS docs, sum(n)::BIGINT AS bytes FROM run WHERE before < every // 2 OR before = 0 GROUP BY domain""",
     "corpus_manifest": f"{_CUT} SELECT *, byte_count // 4 AS estimated_tokens FROM man",
     "corpus_split_totals": f"{_CUT} SELECT {_PER_SPLIT}, sum(byte_count)::BIGINT // 4 AS estimated_tokens FROM man GROUP BY split",
     "corpus_component_fill": f"{_CUT} SELECT t.domain, t.target, coalesce(sum(n_bytes), 0)::BIGINT AS byte_count, coalesce(sum(n_bytes), 0) >= t.target * 0.9 AS filled FROM tgt t LEFT JOIN cut USING (domain) GROUP BY t.domain, t.target",

@@ -51,7 +51,7 @@ def doc_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
-    b = windows.batches(pack_windows(spark, sf), BATCH, 40 * CONTEXT, CONTEXT)
+    b = windows.batches(pack_windows(spark, sf), BATCH, None, CONTEXT)
     return b.groupBy("batch_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("tokens").alias("tokens"), F.min("first_doc").alias("first_doc"))
 
 
@@ -70,7 +70,10 @@ def source_exhaustion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lm_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.lm_chunks(_sized(spark, sf).select("doc_id", "n_words"), "n_words", 128, 30_000).select("doc_id", F.col("start").cast("bigint").alias("start"), "end", "scored")
+    """Chunks until half of all words are scored."""
+    sized = _sized(spark, sf).select("doc_id", "n_words")
+    half = (sized.agg(F.sum("n_words")).first()[0] or 0) // 2
+    return windows.lm_chunks(sized, "n_words", 128, half).select("doc_id", F.col("start").cast("bigint").alias("start"), "end", "scored")
 
 
 def gsm8k_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,14 +123,21 @@ def _flagged(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).withColumn("valid", F.coalesce(F.col("lang") == "en", F.lit(False)) & (F.length("text") > 200))
 
 
+def _read_until(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """Rows read until a twentieth of the table's number are valid, or a fifth of it read; and that twentieth."""
+    rows = _flagged(spark, sf)
+    n = rows.count()
+    return sampling.take_until_valid(rows, "doc_id", "valid", n // 20, n // 5), n // 20
+
+
 def take_until_valid(spark: SparkSession, sf: str) -> DataFrame:
-    read = sampling.take_until_valid(_flagged(spark, sf), "doc_id", "valid", 40, 200).select("doc_id", "valid")
+    read = _read_until(spark, sf)[0].select("doc_id", "valid")
     return positions(read, id_slot("doc_id"), ["doc_id"], [], "candidates_before").where("valid").select("doc_id", "candidates_before")
 
 
 def source_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    read = sampling.take_until_valid(_flagged(spark, sf), "doc_id", "valid", 40, 200)
-    return sampling.source_manifest(read.withColumn("set_name", F.lit("english")), "valid", 40, "set_name")
+    read, target = _read_until(spark, sf)
+    return sampling.source_manifest(read.withColumn("set_name", F.lit("english")), "valid", target, "set_name")
 
 
 def reservoir_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +212,7 @@ _PLAN = f"""{_AVAILABLE}, {_ASKED}, base AS (SELECT asked.*, coalesce(available,
   pl AS (SELECT source, requested, available, (first + least(spare, greatest(lack - before, 0)))::BIGINT AS selected FROM b2)"""
 _MIX = f"""{_PLAN}, rk AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}:' || doc_id), doc_id) - 1 AS pos FROM documents WHERE source IS NOT NULL),
   mixed AS (SELECT doc_id, source, row_number() OVER (ORDER BY sha256('{SEED + 10_000}:' || doc_id), doc_id) - 1 AS place FROM rk JOIN pl USING (source) WHERE pos < selected)"""
-_VALID = "v AS (SELECT *, coalesce(lang = 'en', false) AND coalesce(length(text) > 200, false) AS valid FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS candidates_before, coalesce(sum(valid::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS vb FROM v), kept AS (SELECT * FROM r WHERE vb < 40 AND candidates_before < 200)"
+_VALID = "v AS (SELECT *, coalesce(lang = 'en', false) AND coalesce(length(text) > 200, false) AS valid FROM documents), r AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS candidates_before, coalesce(sum(valid::INT) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS vb FROM v), kept AS (SELECT * FROM r WHERE vb < (SELECT count(*) // 20 FROM documents) AND candidates_before < (SELECT count(*) // 5 FROM documents))"
 _REMAIN = """s AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source), q AS (SELECT *, n * 77 / (SELECT sum(n) FROM s) AS quota FROM s),
   a AS (SELECT source, n, (CASE WHEN (SELECT sum(n) FROM s) <= 77 THEN n ELSE floor(quota) END)::BIGINT AS low, row_number() OVER (ORDER BY round(quota - floor(quota), 9) DESC, source) AS rk FROM q),
   al AS (SELECT source, n, (low + (rk <= (SELECT least(77, sum(n)) - sum(low) FROM a))::INT)::BIGINT AS allocated FROM a)"""
@@ -213,11 +223,11 @@ ORACLES = {
         nx AS (SELECT spot // {CONTEXT} AS window_id, id, doc_no, lead(id, 1, NULL) OVER (PARTITION BY spot // {CONTEXT} ORDER BY spot) AS nxt FROM tok)
         SELECT window_id, sum(id)::BIGINT AS input_sum, sum(coalesce(nxt, id))::BIGINT AS target_sum, sum(doc_no)::BIGINT AS doc_sum FROM nx GROUP BY window_id HAVING count(*) = {CONTEXT}""",
     "doc_positions": f"WITH {_SEG} SELECT w AS window_id, doc_no, seg_start::BIGINT AS seg_start, seg_len - 1 AS last_position FROM seg",
-    "pack_batches": f"WITH {_WIN}, b AS (SELECT *, window_id // {BATCH} AS batch_id FROM win) SELECT batch_id, count(*) AS windows, sum(tokens)::BIGINT AS tokens, min(first_doc) AS first_doc FROM b WHERE batch_id < 5 GROUP BY batch_id HAVING count(*) = {BATCH}",
+    "pack_batches": f"WITH {_WIN}, b AS (SELECT *, window_id // {BATCH} AS batch_id FROM win) SELECT batch_id, count(*) AS windows, sum(tokens)::BIGINT AS tokens, min(first_doc) AS first_doc FROM b GROUP BY batch_id HAVING count(*) = {BATCH}",
     "source_exhaustion": f"WITH {_SIZED}, sh(source, share) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIX_SHARES.items()) + ") SELECT source AS domain, sum(n_words + 2)::BIGINT AS tokens, floor(sum(n_words + 2) / share)::BIGINT AS runs_out_at FROM sized JOIN sh USING (source) WHERE n_words > 0 GROUP BY source, share",
-    "lm_chunks": f"""WITH {_SIZED}, c AS (SELECT doc_id, start, least(start + 128, n_words) AS e FROM (SELECT doc_id, n_words, unnest(range(0, n_words, 128)) AS start FROM sized WHERE n_words >= 2)),
+    "lm_chunks": f"""WITH {_SIZED}, h AS (SELECT sum(n_words)::BIGINT // 2 AS half FROM sized), c AS (SELECT doc_id, start, least(start + 128, n_words) AS e FROM (SELECT doc_id, n_words, unnest(range(0, n_words, 128)) AS start FROM sized WHERE n_words >= 2)),
         r AS (SELECT *, coalesce(sum(e - start - 1) OVER (ORDER BY doc_id, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WHERE e - start >= 2)
-        SELECT doc_id, start, least(e, start + 30000 - before + 1)::BIGINT AS "end", (least(e, start + 30000 - before + 1) - start - 1)::BIGINT AS scored FROM r WHERE before < 30000 AND least(e, start + 30000 - before + 1) - start - 1 >= 1""",
+        SELECT doc_id, start, least(e, start + half - before + 1)::BIGINT AS "end", (least(e, start + half - before + 1) - start - 1)::BIGINT AS scored FROM r, h WHERE before < half AND least(e, start + half - before + 1) - start - 1 >= 1""",
     "gsm8k_clean": f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents WHERE source = 'math_lessons'",
     "final_number": f"SELECT doc_id, ({_NUM})[-1]::DOUBLE AS number FROM documents",
     "repetition_flag": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')) AS grams FROM w)
@@ -229,7 +239,7 @@ ORACLES = {
     "mask_special_tokens": f"SELECT doc_id, {_MASK} AS masked FROM documents WHERE regexp_matches(text, '{_SPECIAL}')",
     "dedup_first_wins": f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, {_KEY.replace('{c}', 'text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
     "take_until_valid": f"WITH {_VALID} SELECT doc_id, candidates_before FROM kept WHERE valid",
-    "source_manifest": f"WITH {_VALID} SELECT 'english' AS set_name, 40::BIGINT AS requested_rows, count(*) AS candidate_rows, sum(valid::INT)::BIGINT AS written_rows, sum(1 - valid::INT)::BIGINT AS filtered_rows FROM kept",
+    "source_manifest": f"WITH {_VALID} SELECT 'english' AS set_name, (SELECT count(*) // 20 FROM documents)::BIGINT AS requested_rows, count(*) AS candidate_rows, sum(valid::INT)::BIGINT AS written_rows, sum(1 - valid::INT)::BIGINT AS filtered_rows FROM kept",
     "reservoir_topk": f"SELECT doc_id, source FROM documents ORDER BY sha256('{SEED}:' || doc_id), doc_id LIMIT 50",
     "preferred_sample": f"SELECT doc_id, source FROM documents ORDER BY coalesce(source = 'papers', false) DESC, sha256('{SEED}:' || doc_id), doc_id LIMIT 30",
     "largest_remainder": f"WITH {_REMAIN} SELECT * FROM al",
