@@ -241,15 +241,20 @@ def shared_keys(classes: DataFrame, frequent, share: float):
     return both, hot
 
 
-def own_prints(classes: DataFrame, frequent) -> DataFrame:
+def own_prints(classes: DataFrame) -> DataFrame:
     """(text_id, held_out, n_words, print): each class's fingerprint of about BITS_A_WORD bits a word, PRINT_BITS at least."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, codes = _flat(b.column(2))
-            ordered, n = ordered_words(offsets, codes, frequent.value), np.diff(offsets)
-            bits = [max(PRINT_BITS, 1 << int(BITS_A_WORD * x - 1).bit_length()) for x in n.tolist()]
-            prints = [fingerprints(offsets[i : i + 2] - offsets[i], ordered[offsets[i] : offsets[i + 1]], w).tobytes() for i, w in enumerate(bits)]
+            plain, n = features(offsets, codes).astype(np.int64), np.diff(offsets)
+            bits = np.maximum(PRINT_BITS, 1 << np.ceil(np.log2(BITS_A_WORD * np.maximum(n, 1))).astype(np.int64))
+            prints: list[bytes] = [b""] * len(n)
+            for width in np.unique(bits).tolist():  # texts of one width at a time
+                rows = np.flatnonzero(bits == width)
+                own = plain[np.repeat(bits == width, n)]
+                for i, row in zip(rows.tolist(), fingerprints(np.concatenate([[0], np.cumsum(n[rows])]), own, width), strict=True):
+                    prints[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(prints, pa.binary())], names=["text_id", "held_out", "n_words", "print"])
 
     return classes.select("text_id", "held_out", "words").mapInArrow(printed, "text_id bigint, held_out boolean, n_words int, print binary")
@@ -287,7 +292,7 @@ def candidate_pairs(classes: DataFrame, frequent: np.ndarray, share: float) -> D
     met = side(False, "train").join(side(True, "held"), "key").where("train_text_id <> held_text_id")
     met = met.where((F.least("train_rest", "held_rest") >= need) & (apart <= F.col("train_n_words") + F.col("held_n_words") - 2 * need))
     pairs = met.select(F.col("train_text_id").alias("train_id"), F.col("held_text_id").alias("held_id")).distinct()
-    prints = written(own_prints(classes, sent), "prints")
+    prints = written(own_prints(classes), "prints")
     of = lambda held_out, name: prints.where(F.col("held_out") == held_out).select(*(F.col(c).alias(f"{name}_{d}") for c, d in (("text_id", "id"), ("n_words", "n_words"), ("print", "print"))))
     return _near_prints(pairs.join(of(False, "train"), "train_id").join(of(True, "held"), "held_id"), share)
 
