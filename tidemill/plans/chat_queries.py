@@ -141,7 +141,8 @@ def tool_set_metrics(spark: SparkSession, sf: str) -> DataFrame:
     from tidemill.operators import metrics
 
     calls = _generated(spark, sf).withColumn("m", toolrows.argument_match(F.col("expected_arguments"), F.col("arguments")))
-    return metrics.tool_set_metrics(calls.select("valid_json", "schema_valid", F.coalesce(F.col("name") == F.col("expected_tool"), F.lit(False)).alias("selected"), "m.*"))
+    found = metrics.tool_set_metrics(calls.select("valid_json", "schema_valid", F.coalesce(F.col("name") == F.col("expected_tool"), F.lit(False)).alias("selected"), "m.*"))
+    return found.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes))
 
 
 def tool_generate(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,6 +282,29 @@ _MSG = f"""('im_start' || chr(10) || coalesce(CASE x.role WHEN 'system' THEN 'im
 _TOOLS = """CASE WHEN len(tools) > 0 THEN 'im_start' || chr(10) || 'im_system' || chr(10) || 'Available tools:' || chr(10) || '[' || array_to_string(list_transform(tools, lambda t:
   '{"name":' || to_json(coalesce(t."function".name, ''))::VARCHAR || ',"description":' || to_json(coalesce(t."function".description, ''))::VARCHAR || ',"parameters":' || coalesce(t."function".parameters, 'null') || '}'), ',') || ']' || chr(10) || 'im_end' || chr(10) ELSE '' END"""
 _TEXT = lambda messages: f"{_TOOLS} || array_to_string(list_transform({messages}, lambda x: {_MSG}), '')"
+#: First calls of rows with their tool's schema; then pairs of schema and value, level by level, and the breaks of each: a wrong type ends a branch.
+_IS = "CASE {t} WHEN 'string' THEN {k} = 'VARCHAR' WHEN 'integer' THEN {k} IN ('BIGINT', 'UBIGINT', 'HUGEINT') WHEN 'number' THEN {k} IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') WHEN 'boolean' THEN {k} = 'BOOLEAN' WHEN 'object' THEN {k} = 'OBJECT' WHEN 'array' THEN {k} = 'ARRAY' WHEN 'null' THEN {k} = 'NULL' ELSE true END"
+_VALIDATED = f"""first AS (SELECT row_id, tools, messages[list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant' AND len(messages[i].tool_calls) > 0)[1]].tool_calls[1]."function" AS f FROM sft_row
+    WHERE len(list_filter(messages, lambda x: x.role = 'assistant' AND len(x.tool_calls) > 0)) > 0),
+  own AS (SELECT row_id, f.name AS name, f.arguments AS arguments, list_filter(tools, lambda t: t."function".name = f.name)[1] IS NOT NULL AS known, list_filter(tools, lambda t: t."function".name = f.name)[1]."function".parameters AS schema FROM first),
+  texts AS (SELECT *, coalesce(nullif(schema, ''), 'null') AS s0, coalesce(arguments, 'NOTHING') AS v0 FROM own),
+  level AS (
+    SELECT row_id, s0::JSON AS s, v0::JSON AS v FROM texts WHERE json_valid(s0) AND json_valid(v0)
+    UNION ALL
+    SELECT row_id, CASE json_type(n.v) WHEN 'OBJECT' THEN n.s->'properties'->k.key ELSE n.s->'items' END AS s, coalesce(k.value, 'null'::JSON) AS v FROM level n, json_each(n.v) k
+    WHERE json_type(n.s) = 'OBJECT' AND json_type(n.v) IN ('OBJECT', 'ARRAY')
+      AND CASE WHEN json_type(n.s->'type') = 'VARCHAR' THEN {_IS.format(t="n.s->>'type'", k="json_type(n.v)")} WHEN json_type(n.s->'type') = 'ARRAY' THEN len(list_filter((n.s->'type')::VARCHAR[], lambda t: {_IS.format(t="t", k="json_type(n.v)")})) > 0 ELSE true END
+      AND CASE json_type(n.v) WHEN 'OBJECT' THEN json_exists(n.s->'properties', '$."' || k.key || '"') ELSE json_exists(n.s, '$.items') END
+  ),
+  typed AS (SELECT row_id, s, v, CASE WHEN json_type(s->'type') = 'VARCHAR' THEN {_IS.format(t="s->>'type'", k="json_type(v)")} WHEN json_type(s->'type') = 'ARRAY' THEN len(list_filter((s->'type')::VARCHAR[], lambda t: {_IS.format(t="t", k="json_type(v)")})) > 0 ELSE true END AS right_type FROM level WHERE json_type(s) = 'OBJECT'),
+  breaks AS (SELECT row_id, (NOT right_type)::INT + coalesce((json_type(s->'enum') = 'ARRAY' AND NOT list_contains((s->'enum')::JSON[]::VARCHAR[], v::VARCHAR))::INT, 0)
+    + CASE WHEN right_type AND json_type(v) = 'OBJECT' THEN coalesce(len(list_filter(CASE WHEN json_type(s->'required') = 'ARRAY' THEN (s->'required')::VARCHAR[] ELSE [] END, lambda k: NOT list_contains(json_keys(v), k))), 0)
+        + CASE WHEN (s->>'additionalProperties') = 'false' THEN len(list_filter(json_keys(v), lambda k: NOT list_contains(CASE WHEN json_type(s->'properties') = 'OBJECT' THEN json_keys(s->'properties') ELSE [] END, k))) ELSE 0 END
+      WHEN right_type AND json_type(v) = 'ARRAY' AND json_type(s->'maxItems') IN ('BIGINT', 'UBIGINT') THEN (json_array_length(v) > (s->>'maxItems')::BIGINT)::INT ELSE 0 END AS n FROM typed),
+  checked AS (SELECT t.row_id, t.name, t.arguments, t.known, coalesce(sum(coalesce(b.n, 0)), 0) + (NOT (json_valid(s0) AND json_valid(v0)))::INT AS n_errors FROM texts t LEFT JOIN breaks b USING (row_id) GROUP BY t.row_id, t.name, t.arguments, t.known, s0, v0)"""
+#: What the calls are read as that _generated writes of them.
+_PARSED = """parsed AS (SELECT row_id, attempted, attempted AND whole AS valid_json, attempted AND whole AND known AND n_errors = 0 AS schema_valid FROM (SELECT c.*, CASE WHEN row_id % 7 = 0 THEN '{"name":"' || name || '","arguments":' || coalesce(arguments, '{}') || '}' LIKE '%tool_call%' ELSE true END AS attempted,
+    (row_id % 7 = 0 OR row_id % 5 <> 0) AND coalesce(json_valid(arguments) AND json_type(arguments) = 'OBJECT', arguments IS NULL) AS whole FROM checked c) x)"""
 _SPOKEN = "list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant' AND messages[i].content IS NOT NULL)"
 ORACLES = {
     "chat_convert": f"""SELECT row_id, len(messages)::BIGINT AS turns, list_sum(list_transform(messages, lambda x: length(x.content)))::BIGINT AS chars FROM sft_row
@@ -302,6 +326,10 @@ ORACLES = {
     "response_parse": r"""WITH b AS (SELECT row_no, regexp_replace(answers, '^\[|\]$', '', 'g') AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL), c AS (SELECT row_no, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) END AS j FROM b)
         SELECT row_no, coalesce(json_valid(j) AND j <> '', false) AS is_object FROM c""",
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
+    "json_schema_validate": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', 'null')} SELECT row_id, n_errors::INT AS n_errors FROM checked",
+    "tool_parse": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT attempted, valid_json, schema_valid, count(*) AS calls FROM parsed GROUP BY ALL",
+    "tool_set_metrics": f"""WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT count(*) AS rows, round(avg(valid_json::INT), 6) AS valid_json_rate, round(avg(schema_valid::INT), 6) AS schema_valid_rate, round(avg(valid_json::INT), 6) AS tool_selection_rate,
+        round(avg(valid_json::INT), 6) AS argument_exact_rate, round(avg(valid_json::INT), 6) AS argument_partial_accuracy FROM parsed""",
     "tool_generate_kinds": "SELECT kind, rows, rows AS valid, CASE WHEN kind IN ('no_tool', 'no_call', 'missing_info') THEN 0 ELSE rows END::BIGINT AS calls FROM (VALUES " + ", ".join(f"('{k}', {n}::BIGINT)" for k, n in {**{k: round(n * 0.02) for k, n in generate.TRAIN_KINDS.items()}, **{k: round(n * 0.02) for k, n in generate.EVAL_KINDS.items()}, "missing_info": round(generate.TRAIN_KINDS["missing_info"] * 0.02) + round(generate.EVAL_KINDS["missing_info"] * 0.02)}.items()) + ") t(kind, rows)",
     "span_sums": "SELECT item_id, 0::BIGINT AS first, length(context)::BIGINT AS last, true AS several FROM benchmark_item",
     "tokenizer_compression": "SELECT count(*) AS texts, sum(strlen(text))::BIGINT AS bytes, true AS compresses, true AS in_vocabulary FROM documents",
