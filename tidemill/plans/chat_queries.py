@@ -112,6 +112,12 @@ def tool_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return done.groupBy(F.coalesce("reason", F.lit("fits")).alias("outcome")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def tool_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """For every fixture row whether it fits, or the first reason why not."""
+    done = toolrows.normalize_tool_rows(_fixture(spark, sf).select("row_no", "id", "hash_id", "query", "answers", "tools"))
+    return done.select("row_no", F.coalesce("reason", F.lit("fits")).alias("outcome"))
+
+
 def tool_accepted(spark: SparkSession, sf: str) -> DataFrame:
     rows = _fixture(spark, sf).select("row_no", "id", "hash_id", "query", "answers", "tools")
     return toolrows.accepted_tool_rows(rows, generate.held_out_names(spark)).select("row_no")
@@ -253,7 +259,7 @@ def tokenizer_compression(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.compression(e, "n_bytes", tokenizer.load(tokenizer.TOKENIZER).get_vocab_size()).select("texts", "bytes", (F.col("bytes_a_token") > 1).alias("compresses"), (F.col("vocabulary_used") <= 1).alias("in_vocabulary"))
 
 
-QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view, token_view_spans, chat_render_ids, response_math, response_tool, public_tool_rows, argument_partial, tool_generate_kinds, vocab_top, span_sums, tokenizer_compression)}
+QUERIES = {f.__name__: f for f in (chat_convert, math_convert, chat_schema_check, chat_render_text, chat_prompt, chat_loss_spans, eval_cases_first_last, eval_call_cases, context_filter, pad_shift_mask, tool_name_set, excluded_tools_antijoin, response_parse, answer_normalize, tool_normalize, tool_accepted, json_schema_validate, tool_parse, tool_set_metrics, tool_generate, tokenize_encode, tokenizer_roundtrip, token_view, token_view_spans, chat_render_ids, response_math, response_tool, public_tool_rows, argument_partial, tool_generate_kinds, tool_outcomes, vocab_top, span_sums, tokenizer_compression)}
 
 _WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]"
 _NB = r"coalesce(regexp_matches({c}, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x0B]'), false)"
@@ -305,6 +311,31 @@ _VALIDATED = f"""first AS (SELECT row_id, tools, messages[list_filter(range(1, l
 #: What the calls are read as that _generated writes of them.
 _PARSED = """parsed AS (SELECT row_id, attempted, attempted AND whole AS valid_json, attempted AND whole AND known AND n_errors = 0 AS schema_valid FROM (SELECT c.*, CASE WHEN row_id % 7 = 0 THEN '{"name":"' || name || '","arguments":' || coalesce(arguments, '{}') || '}' LIKE '%tool_call%' ELSE true END AS attempted,
     (row_id % 7 = 0 OR row_id % 5 <> 0) AND coalesce(json_valid(arguments) AND json_type(arguments) = 'OBJECT', arguments IS NULL) AS whole FROM checked c) x)"""
+#: Tools of either format as flat parameters, and the first reason why a row doesn't fit, in the order in which the checks go. No tool here is near the limit of size.
+_SHORT_KIND = "CASE regexp_extract(lower(coalesce(spec->>'type', 'str')), '^\\s*(?:list\\[)?(\\w+)\\]?\\s*(?:,.*)?$', 1) WHEN 'str' THEN 'string' WHEN 'string' THEN 'string' WHEN 'int' THEN 'integer' WHEN 'integer' THEN 'integer' WHEN 'float' THEN 'number' WHEN 'number' THEN 'number' WHEN 'bool' THEN 'boolean' WHEN 'boolean' THEN 'boolean' END"
+_PRIMITIVE = "('string', 'integer', 'number', 'boolean')"
+_FITTING = f"""raw AS (SELECT row_no, query, CASE WHEN json_valid(tools) AND json_type(tools) = 'ARRAY' THEN tools::JSON END AS tools, CASE WHEN json_valid(answers) AND json_type(answers) = 'ARRAY' THEN answers::JSON END AS answers FROM sft_public_tool_fixture),
+  tool AS (SELECT row_no, k.id AS tool_no, k.value AS item, coalesce(k.value->>'type' = 'function' AND json_type(k.value->'function') = 'OBJECT', false) AS wrapped FROM raw, json_each(raw.tools) k),
+  told AS (SELECT row_no, tool_no, wrapped, CASE WHEN wrapped THEN item->'function' ELSE item END AS spec FROM tool),
+  given AS (SELECT row_no, tool_no, wrapped, spec->>'name' AS name, spec, CASE WHEN wrapped THEN coalesce(spec->'parameters', '{{}}'::JSON) ELSE spec->'parameters' END AS g FROM told),
+  shaped AS (SELECT *, CASE WHEN json_type(spec) <> 'OBJECT' THEN 'tool' WHEN coalesce(json_type(spec->'name') <> 'VARCHAR' OR name = '' OR json_type(spec->'description') <> 'VARCHAR', json_type(spec->'name') IS NULL) THEN 'name' WHEN coalesce(json_type(g) <> 'OBJECT', true) THEN 'parameters' END AS why, CASE WHEN wrapped THEN coalesce(g->'properties', '{{}}'::JSON) ELSE g END AS properties FROM given),
+  property AS (SELECT row_no, tool_no, wrapped, name AS tool, g, k.id AS no, k.key AS name, k.value AS spec FROM shaped, json_each(shaped.properties) k WHERE why IS NULL),
+  kinds AS (SELECT *, CASE WHEN wrapped THEN coalesce(spec->>'type', CASE WHEN json_exists(spec, '$.enum') THEN 'string' END) WHEN regexp_matches(lower(spec->>'type'), '^\\s*list\\[') THEN 'array' ELSE {_SHORT_KIND} END AS kind,
+    CASE WHEN wrapped THEN spec->'items'->>'type' ELSE {_SHORT_KIND} END AS element, CASE WHEN wrapped THEN spec->'enum' END AS choices FROM property),
+  faults AS (SELECT *, CASE WHEN NOT wrapped THEN CASE WHEN element IS NULL THEN 'type' END WHEN json_type(spec) <> 'OBJECT' THEN 'property' WHEN kind = 'array' THEN CASE WHEN coalesce(json_type(spec->'items') <> 'OBJECT', true) THEN 'property' WHEN coalesce(element NOT IN {_PRIMITIVE}, true) THEN 'array' END
+      WHEN coalesce(kind NOT IN {_PRIMITIVE}, true) THEN 'type' WHEN kind = 'string' AND (json_type(choices) <> 'ARRAY' OR json_array_length(choices) = 0) THEN 'enum' END AS why FROM kinds),
+  unfit AS (SELECT row_no, arg_min(why, (tool_no, no)) AS why FROM (SELECT row_no, tool_no, -1 AS no, why FROM shaped UNION ALL SELECT row_no, tool_no, no, why FROM faults) f WHERE why IS NOT NULL GROUP BY row_no),
+  names AS (SELECT row_no, count(*) AS n, count(DISTINCT name) AS different FROM shaped GROUP BY row_no),
+  call AS (SELECT row_no, answers->0->>'name' AS name, answers->0->'arguments' AS arguments, json_type(answers->0->'name') = 'VARCHAR' AND json_type(answers->0->'arguments') = 'OBJECT' AS formed FROM raw WHERE json_array_length(answers) = 1 AND json_type(answers->0) = 'OBJECT'),
+  argument AS (SELECT row_no, c.name AS tool, k.key AS name, k.value AS v FROM call c, json_each(c.arguments) k WHERE formed),
+  nested AS (SELECT DISTINCT row_no FROM argument WHERE coalesce(json_type(v) IN ('OBJECT', 'NULL'), true) OR json_type(v) = 'ARRAY' AND len(list_filter((v)::JSON[], lambda x: coalesce(json_type(x) IN ('OBJECT', 'ARRAY', 'NULL'), true))) > 0),
+  wrong AS (SELECT DISTINCT row_no FROM argument a LEFT JOIN faults f USING (row_no, tool, name) WHERE f.kind IS NULL
+    OR CASE WHEN f.kind = 'array' THEN NOT (json_type(v) = 'ARRAY' AND json_array_length(v) <= least(10, coalesce((f.spec->>'maxItems')::INT, 10)) AND len(list_filter(v::JSON[], lambda x: NOT ({_IS.format(t="f.element", k="json_type(x)")}))) = 0)
+      ELSE NOT ({_IS.format(t="f.kind", k="json_type(a.v)")}) OR f.kind = 'string' AND coalesce(NOT list_contains(choices::VARCHAR[], v->>'$'), false) END
+    UNION SELECT c.row_no FROM call c JOIN faults f ON f.row_no = c.row_no AND f.tool = c.name WHERE c.formed AND NOT list_contains(json_keys(c.arguments), f.name) AND CASE WHEN f.wrapped THEN coalesce(list_contains((f.g->'required')::VARCHAR[], f.name), false) ELSE NOT json_exists(f.spec, '$.default') END),
+  outcome AS (SELECT r.row_no, CASE WHEN coalesce(trim(query), '') = '' THEN 'no_query' WHEN length(trim(query)) > 512 THEN 'long_query' WHEN coalesce(json_array_length(r.tools), 0) NOT BETWEEN 1 AND 5 THEN 'tool_count' WHEN u.why IS NOT NULL THEN 'tool_' || u.why WHEN n.n <> n.different THEN 'tool_names'
+      WHEN c.row_no IS NULL THEN 'call_count' WHEN coalesce(NOT c.formed, true) OR x.row_no IS NOT NULL THEN 'call_form' WHEN NOT EXISTS (SELECT 1 FROM shaped s WHERE s.row_no = r.row_no AND s.name = c.name) THEN 'unknown_tool' WHEN w.row_no IS NOT NULL THEN 'call_schema' ELSE 'fits' END AS outcome
+    FROM raw r LEFT JOIN unfit u USING (row_no) LEFT JOIN names n USING (row_no) LEFT JOIN call c USING (row_no) LEFT JOIN nested x USING (row_no) LEFT JOIN wrong w USING (row_no))"""
 _SPOKEN = "list_filter(range(1, len(messages) + 1), lambda i: messages[i].role = 'assistant' AND messages[i].content IS NOT NULL)"
 ORACLES = {
     "chat_convert": f"""SELECT row_id, len(messages)::BIGINT AS turns, list_sum(list_transform(messages, lambda x: length(x.content)))::BIGINT AS chars FROM sft_row
@@ -326,6 +357,8 @@ ORACLES = {
     "response_parse": r"""WITH b AS (SELECT row_no, regexp_replace(answers, '^\[|\]$', '', 'g') AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL), c AS (SELECT row_no, CASE WHEN instr(t, '{') > 0 AND instr(t, '}') > 0 THEN substr(t, instr(t, '{'), length(t) - instr(reverse(t), '}') + 2 - instr(t, '{')) END AS j FROM b)
         SELECT row_no, coalesce(json_valid(j) AND j <> '', false) AS is_object FROM c""",
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
+    "tool_normalize": f"WITH {_FITTING} SELECT outcome, count(*) AS rows FROM outcome GROUP BY outcome",
+    "tool_outcomes": f"WITH {_FITTING} SELECT row_no, outcome FROM outcome",
     "json_schema_validate": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', 'null')} SELECT row_id, n_errors::INT AS n_errors FROM checked",
     "tool_parse": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT attempted, valid_json, schema_valid, count(*) AS calls FROM parsed GROUP BY ALL",
     "tool_set_metrics": f"""WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT count(*) AS rows, round(avg(valid_json::INT), 6) AS valid_json_rate, round(avg(schema_valid::INT), 6) AS schema_valid_rate, round(avg(valid_json::INT), 6) AS tool_selection_rate,
