@@ -215,7 +215,7 @@ def response_tool(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("row_id") % 5
     body = F.concat(F.lit('{"user_prompt": "Do it.", "arguments": '), F.when(k == 1, '{"x": {"y": 1}}').otherwise(F.coalesce("expected_arguments", F.lit("null"))), F.lit(', "tool_result": '), F.when(k == 2, '"[broken"').otherwise('"{}"'), F.when(k == 3, "}").otherwise(', "final_answer": "Done."}'))
     read = toolrows.tool_response_rows(calls.select("row_id", tool.alias("tool"), body.alias("response")), chat.parsed_response(F.col("response")))
-    return read.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), (F.size(F.coalesce(chat.rule_breaks(F.col("messages"), F.col("tools")), F.array())) > 0).alias("breaks")).agg(F.count(F.lit(1)).alias("rows"))
+    return read.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), (F.col("reason").isNull() & (F.size(chat.rule_breaks(F.col("messages"), F.col("tools"))) > 0)).alias("breaks")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def public_tool_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,6 +359,10 @@ ORACLES = {
     "answer_normalize": rf"WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(text, '(\S+)\s*$', 1), '\.$', ''), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(t, '-?[0-9]+(\.[0-9]+)?') THEN t WHEN regexp_full_match(replace(t, ',', ''), '-?[0-9]+(\.[0-9]+)?') THEN replace(t, ',', '') END AS answer FROM t",
     "tool_normalize": f"WITH {_FITTING} SELECT outcome, count(*) AS rows FROM outcome GROUP BY outcome",
     "tool_outcomes": f"WITH {_FITTING} SELECT row_no, outcome FROM outcome",
+    "response_tool": f"""WITH RECURSIVE {_VALIDATED.replace('NOTHING', 'null')}, r AS (SELECT *, row_id % 5 AS k, coalesce(json_type(CASE WHEN json_valid(arguments) THEN arguments END) = 'OBJECT', false) AS whole FROM checked),
+        deep AS (SELECT DISTINCT row_id FROM r, json_each(CASE WHEN whole THEN arguments ELSE '{{}}' END) k WHERE json_type(k.value) = 'OBJECT' OR json_type(k.value) = 'ARRAY' AND (json_array_length(k.value) > 10 OR len(list_filter(k.value::JSON[], lambda x: json_type(x) IN ('OBJECT', 'ARRAY'))) > 0))
+        SELECT coalesce(CASE WHEN k <> 1 AND arguments IS NOT NULL AND NOT json_valid(arguments) THEN 'invalid_json' WHEN k = 3 OR k <> 1 AND NOT whole THEN 'missing_fields' WHEN k = 1 OR d.row_id IS NOT NULL THEN 'non_flat_arguments' WHEN n_errors > 0 THEN 'schema_invalid_arguments' WHEN k = 2 THEN 'invalid_tool_result_json' END, 'ok') AS reason,
+          false AS breaks, count(*) AS rows FROM r LEFT JOIN deep d USING (row_id) GROUP BY ALL""",
     "json_schema_validate": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', 'null')} SELECT row_id, n_errors::INT AS n_errors FROM checked",
     "tool_parse": f"WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT attempted, valid_json, schema_valid, count(*) AS calls FROM parsed GROUP BY ALL",
     "tool_set_metrics": f"""WITH RECURSIVE {_VALIDATED.replace('NOTHING', '{}')}, {_PARSED} SELECT count(*) AS rows, round(avg(valid_json::INT), 6) AS valid_json_rate, round(avg(schema_valid::INT), 6) AS schema_valid_rate, round(avg(valid_json::INT), 6) AS tool_selection_rate,
