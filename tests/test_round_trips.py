@@ -316,3 +316,26 @@ def test_fine_tuning_settings_and_artifacts():
 def test_top_k(spark):
     df = spark.createDataFrame([([1.0, None, 3.0, 3.0],), ([],), (None,)], "v array<double>").select(E.top_k(F.col("v"), 2).alias("t"))
     assert [None if r["t"] is None else [tuple(x) for x in r["t"]] for r in df.collect()] == [[(2, 3.0), (3, 3.0)], [], None]
+
+
+def test_run_logs_over_http(tmp_path):
+    from tidemill.sources import runlog_api
+
+    (tmp_path / "runs" / "a").mkdir(parents=True)
+    log = tmp_path / "runs" / "a" / "run.jsonl"
+    log.write_text('{"step": 1}\n{"step": 2}\n')
+    (tmp_path / "secret").write_text("x")
+    app = runlog_api.application(str(tmp_path / "runs"))
+
+    def get(path, query=""):
+        got = {}
+        body = b"".join(app({"PATH_INFO": path, "QUERY_STRING": query}, lambda status, headers: got.update(status=int(status[:3]), kind=dict(headers)["Content-Type"])))
+        return got["status"], body if got["kind"] != runlog_api.JSON else json.loads(body)
+
+    status, runs = get("/api/runs")
+    assert status == 200 and [(r["path"], r["size"]) for r in runs["runs"]] == [("a/run.jsonl", log.stat().st_size)]
+    assert get("/api/run", "path=a/run.jsonl&offset=12") == (200, b'{"step": 2}\n')
+    assert get("/api/run", "path=a/run.jsonl&offset=999") == (200, b"")
+    for query, code in (("", 400), ("path=a/run.jsonl&offset=-1", 400), ("path=a/run.jsonl&offset=x", 400), ("path=../secret", 404), ("path=a", 404), ("path=gone", 404)):
+        assert get("/api/run", query)[0] == code
+    assert get("/nowhere")[0] == 404 and get("/")[1].startswith(b"<!doctype html>")
