@@ -128,6 +128,26 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _collapsed(spark, sf)[0].groupBy("copies").agg(F.count(F.lit(1)).alias("records"))
 
 
+#: Invisible characters, as in functions.normalize.
+_UNSEEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"
+_FOLDED = lambda x: f"replace(lower(nfc_normalize(regexp_replace({x}, '{_UNSEEN}', '', 'g'))), 'ß', 'ss')"
+_SQUASHED = lambda x: rf"regexp_replace({_FOLDED(x)}, '[^\p{{L}}\p{{N}}]', '', 'g')"
+#: Each JSON field as its nodes by path, names squashed and in order; text that isn't JSON squashed. Rows of equal keys are copies.
+P5_KEYED = f"""texts AS (SELECT row_no, 'answers' AS field, {_FOLDED('answers')} AS t FROM sft_public_tool_fixture WHERE answers IS NOT NULL UNION ALL SELECT row_no, 'tools', {_FOLDED('tools')} FROM sft_public_tool_fixture WHERE tools IS NOT NULL),
+  once AS (SELECT *, CASE WHEN json_valid(t) AND json_type(t) = 'VARCHAR' THEN t->>'$' ELSE t END AS u FROM texts),
+  node AS (
+    SELECT row_no, field, '' AS path, u::JSON AS v FROM once WHERE json_valid(u) AND json_type(u) IN ('OBJECT', 'ARRAY')
+    UNION ALL
+    SELECT row_no, field, n.path || CASE json_type(n.v) WHEN 'OBJECT' THEN '.' || {_SQUASHED('k.key')} ELSE '[' || lpad(k.key, 6, '0') END AS path, coalesce(k.value, 'null'::JSON) AS v FROM node n, json_each(n.v) k WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+  ),
+  written AS (SELECT row_no, field, string_agg(path || '=' || CASE json_type(v) WHEN 'OBJECT' THEN '' WHEN 'ARRAY' THEN '-' WHEN 'NULL' THEN 'null' ELSE {_SQUASHED("(v->>'$')")} END, '|' ORDER BY path) AS c FROM node GROUP BY ALL),
+  canon AS (SELECT o.row_no, o.field, coalesce(w.c, {_SQUASHED('o.u')}) AS c FROM once o LEFT JOIN written w USING (row_no, field)),
+  keyed AS (SELECT f.row_no, {_SQUASHED('query')} AS q, {_SQUASHED('hash_id')} AS h, a.c AS a, t.c AS t FROM sft_public_tool_fixture f LEFT JOIN canon a ON a.row_no = f.row_no AND a.field = 'answers' LEFT JOIN canon t ON t.row_no = f.row_no AND t.field = 'tools'),
+  records AS (SELECT row_no, min(row_no) OVER same AS first_no, count(*) OVER same AS copies FROM keyed WINDOW same AS (PARTITION BY q, h, a, t))"""
+P5_FOUND_SQL = f"WITH RECURSIVE {P5_KEYED} SELECT first_no, row_no AS copy_no FROM records WHERE row_no <> first_no"
+P5_COUNTS_SQL = f"WITH RECURSIVE {P5_KEYED} SELECT copies, count(*) AS records FROM records WHERE row_no = first_no GROUP BY copies"
+
+
 # p6: leaked evaluation texts
 
 
@@ -180,4 +200,4 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_fill, p3_joint, p3_space, p3_bound, p3_tokens, p5_found, p5_counts, p6_found, p6_items, p7_found, p7_shares, p8_found, p8_profile)}
-ORACLES = {"p3_found": P3_FOUND_SQL, "p3_space": P3_SPACE_SQL, "p3_tokens": P3_TOKENS_SQL}
+ORACLES = {"p3_found": P3_FOUND_SQL, "p3_space": P3_SPACE_SQL, "p3_tokens": P3_TOKENS_SQL, "p5_found": P5_FOUND_SQL, "p5_counts": P5_COUNTS_SQL}
