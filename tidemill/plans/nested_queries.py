@@ -73,28 +73,36 @@ _CALLS = f"""m AS (SELECT row_id, unnest(range(len(messages))) AS i, unnest(mess
   t AS (SELECT row_id, unnest(range(len(tools))) AS i, unnest(tools) AS t FROM sft_row),
   tj AS (SELECT row_id, i, t, {_UNWRAP.format(x='t."function".parameters')} AS j FROM t)"""
 #: Nodes below calls and tools, level by level: v is a node's own JSON.
-P4_FOUND = f"""
-WITH RECURSIVE {_CALLS},
+_NODES = f"""{_CALLS},
   start AS (SELECT row_id, 'messages[' || i || '].tool_calls[' || j || ']' AS p, {_UNWRAP.format(x='c."function".arguments')}::JSON AS v FROM c),
   a AS (
-    SELECT row_id, p, NULL::VARCHAR AS up, v FROM start
+    SELECT row_id, p, NULL::VARCHAR AS up, v, 2 AS d FROM start
     UNION ALL
-    SELECT row_id, a.p || CASE json_type(a.v) WHEN 'OBJECT' THEN '.' || k.key ELSE '[' || k.key || ']' END AS p, a.p AS up, k.value AS v FROM a, json_each(a.v) k
+    SELECT row_id, a.p || CASE json_type(a.v) WHEN 'OBJECT' THEN '.' || k.key ELSE '[' || k.key || ']' END AS p, a.p AS up, coalesce(k.value, 'null'::JSON) AS v, d + 1 AS d FROM a, json_each(a.v) k
     WHERE json_type(a.v) = 'OBJECT' OR json_type(a.v) = 'ARRAY' AND json_type(k.value) = 'OBJECT'
   ),
   q AS (
-    SELECT row_id, 'tools[' || i || ']' AS p, NULL::VARCHAR AS up, 'tools[' || i || ']' AS own, j::JSON AS v, 'schema' AS what, false AS node FROM tj WHERE j IS NOT NULL
+    SELECT row_id, 'tools[' || i || ']' AS p, NULL::VARCHAR AS up, 'tools[' || i || ']' AS own, j::JSON AS v, 'schema' AS what, false AS node, 1 AS d FROM tj WHERE j IS NOT NULL
     UNION ALL
     SELECT row_id, CASE WHEN what = 'properties' THEN q.p || '.' || k.key WHEN k.key = 'items' THEN q.p || '[]' ELSE q.p END AS p, CASE WHEN what = 'properties' THEN own ELSE up END AS up,
-      CASE WHEN what = 'properties' THEN q.p || '.' || k.key ELSE own END AS own, k.value AS v, CASE WHEN what = 'schema' AND k.key = 'properties' THEN 'properties' ELSE 'schema' END AS what, what = 'properties' AS node
+      CASE WHEN what = 'properties' THEN q.p || '.' || k.key ELSE own END AS own, k.value AS v, CASE WHEN what = 'schema' AND k.key = 'properties' THEN 'properties' ELSE 'schema' END AS what, what = 'properties' AS node, d + (what = 'properties')::INT AS d
     FROM q, json_each(q.v) k WHERE json_type(q.v) = 'OBJECT' AND (what = 'properties' OR k.key IN ('properties', 'items') AND json_type(k.value) = 'OBJECT')
-  )
+  )"""
+P4_FOUND = f"""
+WITH RECURSIVE {_NODES}
 SELECT row_id, 'messages[' || i || ']' AS node_path, '$' AS parent_path FROM m
 UNION ALL SELECT row_id, 'messages[' || i || '].tool_calls[' || j || ']', 'messages[' || i || ']' FROM c
 UNION ALL SELECT row_id, 'tools[' || i || ']', '$' FROM t
 UNION ALL SELECT row_id, p, up FROM a WHERE up IS NOT NULL
 UNION ALL SELECT row_id, p, up FROM q WHERE node
 """
+P4_KINDS = f"""WITH RECURSIVE {_NODES}
+SELECT 'message' AS kind, count(*) AS nodes, count(m.content) AS with_value, 1 AS deepest FROM m
+UNION ALL SELECT 'tool_call', count(*), 0, 2 FROM c
+UNION ALL SELECT 'tool', count(*), 0, 1 FROM t
+UNION ALL SELECT 'argument', count(*), count(*) FILTER (json_type(v) NOT IN ('OBJECT', 'NULL')), max(d) FROM a WHERE up IS NOT NULL
+UNION ALL SELECT 'property', count(*), count(*) FILTER (json_type(v) <> 'NULL'), max(d) FROM q WHERE node
+"""
 P4_MESSAGES = f"WITH {_CALLS} SELECT row_id, 'messages[' || i || ']' AS node_path, m.role AS role, m.name AS name, length(m.content) AS chars, coalesce(len(m.tool_calls), 0)::BIGINT AS calls FROM m"
 P4_TOOL_CALLS = f"WITH {_CALLS} SELECT row_id, 'messages[' || i || '].tool_calls[' || j || ']' AS node_path, 'messages[' || i || ']' AS parent_path, c.type AS type, c.\"function\".name AS name, role FROM c"
 P4_TOOLS = f"""WITH {_CALLS}, n AS (SELECT *, CASE WHEN json_type(j->'properties') = 'OBJECT' THEN json_keys(j->'properties') ELSE [] END AS k, CASE WHEN json_type(j->'required') = 'ARRAY' THEN (j->'required')::VARCHAR[] ELSE [] END AS r FROM tj)
@@ -106,4 +114,4 @@ SELECT t.row_id, t.node_path AS top_path, count(b.node_path) AS n_below FROM top
 GROUP BY ALL"""
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_kinds, p4_top_nodes, p4_messages, p4_tool_calls, p4_tools, p4_subtrees)}
-ORACLES = {"p4_found": P4_FOUND, "p4_top_nodes": P4_TOP_NODES, "p4_messages": P4_MESSAGES, "p4_tool_calls": P4_TOOL_CALLS, "p4_tools": P4_TOOLS, "p4_subtrees": P4_SUBTREES}
+ORACLES = {"p4_found": P4_FOUND, "p4_kinds": P4_KINDS, "p4_top_nodes": P4_TOP_NODES, "p4_messages": P4_MESSAGES, "p4_tool_calls": P4_TOOL_CALLS, "p4_tools": P4_TOOLS, "p4_subtrees": P4_SUBTREES}
