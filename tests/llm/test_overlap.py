@@ -149,3 +149,61 @@ def test_report_counts_are_those_of_the_pairs(spark, sf):
     found = overlap.cross_split_overlap(_texts(spark, sf))
     by_pairs = found.pairs().groupBy("table_name", "held_key").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best"))
     assert sorted(map(tuple, found.held_rows().collect())) == sorted(map(tuple, by_pairs.collect()))
+
+
+def _classes(spark, rows):
+    from pyspark.sql import functions as F
+
+    return overlap.prepare(spark.createDataFrame(rows, SCHEMA)).groupBy("table_name", "held_out", "text_id").agg(F.first("words").alias("words"))
+
+
+def test_texts_of_sizes_that_cannot_pair_are_not_posted(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = [("t", i, "test" if i % 2 else "train", " ".join(rng.sample(vocabulary, 30 if i % 2 else 12)), "") for i in range(60)]
+    classes = _classes(spark, rows)
+    sent = spark.sparkContext.broadcast(overlap.frequent_words(classes))
+    both, hot = overlap.shared_keys(classes, sent, overlap.SHARE)
+    assert overlap.postings(classes, sent, overlap.SHARE, hot, both).count() == 0
+
+
+def test_all_sizes_that_can_pair_meet():
+    import numpy as np
+
+    n = np.arange(1, 400)
+    for share in (0.0, 0.3, 0.5, 0.85, 0.97, 1.0):
+        train, held = ({(int(n[r]), int(s)): int(d) for r, s, d in zip(*overlap._entries(n, np.full(len(n), side), share), strict=True)} for side in (False, True))
+        span = {a: s for a, s in train}
+        for a in n.tolist():
+            for b in n.tolist():
+                need = max(int(overlap.least_common(np.array([max(a, b)]), share)[0]), 1) if a in (1, 7, 23, 130, 399) else None
+                if need is not None and need <= min(a, b):
+                    assert max(held[b, span[a]], train[a, span[a]]) <= need
+
+
+def test_long_and_short_texts_with_changed_words(spark):
+    rng = random.Random(13)
+    vocabulary, rows = [f"w{i}" for i in range(900)], []
+    for i, n in enumerate((1, 2, 6, 7, 20, 40, 41, 125, 130, 255, 260, 300, 600, 1200) * 4):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        copy = list(base)
+        for _ in range(n * rng.randrange(8) // 50):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        copy = copy[rng.randrange(max(n // 12, 1)) :]
+        rows += [("t", 2 * i, "train", " ".join(base), ""), ("t", 2 * i + 1, "val", " ".join(copy), "")]
+    assert _found(spark, rows) == _brute(rows)
+
+
+def test_the_draft_of_all_texts_is_removed(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill import runtime
+
+    rows = [("t", i, "train" if i % 3 else "test", f"text number {i // 2} of many that stand twice or once", "") for i in range(40)]
+    before = {n for n, *_ in runtime.listing(spark, runtime.shared_dir(spark))} if runtime.exists(spark, runtime.shared_dir(spark)) else set()
+    found = overlap.cross_split_overlap(spark.createDataFrame(rows, SCHEMA))
+    names = {n for n, *_ in runtime.listing(spark, runtime.shared_dir(spark))} - before
+    assert not any(n.startswith("tidemill-prepared") for n in names)
+    assert any(n.startswith("tidemill-classes") for n in names)
+    assert {(r["train_key"], r["held_key"]) for r in found.pairs().collect()} == {(k, k2) for _, k, k2 in _brute(rows)}
+    assert found.members.agg(F.count(F.lit(1))).first()[0] == 40

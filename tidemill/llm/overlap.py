@@ -2,12 +2,14 @@
 
 Texts are sets of words, a word's n-th occurrence being a word of its own. Words are ordered from rare to frequent. Two texts
 with so many words in common that they can be a pair share one among their first few, the prefix; so each text is posted under
-the words of its prefix, and texts of different splits under the same word are candidates. A Bloom filter of the words that
-both sides post keeps back all other postings before they are shuffled. A word with very many candidates is split by the next
-word both must share, as often as needed. Size, position in the order and a fingerprint bound what candidates can have in
-common: bits that are each the parity of the words that fall on them, so that two texts' fingerprints differ in no more bits
-than the texts do in words, and the Hamming radius follows from the sizes; PRINT_BITS of them are checked where postings meet,
-and as many as the text is long before words are compared. A longest common subsequence of their words decides.
+the words of its prefix, and texts of different splits under the same word are candidates. A key is such a word and a range of
+sizes: a train text is posted under the range its own size is in, a held-out one under each that a partner's size can be in. A
+Bloom filter of the keys that both sides post keeps back all other postings before they are shuffled. A key with very many
+candidates is split by the next word both must share, as often as needed. Size, position in the order and a fingerprint bound
+what candidates can have in common: bits that are each the parity of the words that fall on them, so that two texts'
+fingerprints differ in no more bits than the texts do in words, and the Hamming radius follows from the sizes; as many as the
+sizes of the key call for, PRINT_BITS at most, are checked where postings meet, and for longer texts as many as they are long
+before words are compared. A longest common subsequence of their words decides.
 Each bound is one that no pair fails, so all pairs are found. Exact copies are one class from the start: only one of each
 class and side is posted. The result is links between classes, with the number of rows of each, and the classes' members; it
 is expanded to pairs of rows only where pairs are asked for, so a text that holds a third of all rows fills no posting.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,18 +32,20 @@ from pyspark.sql import functions as F
 from tidemill.functions.normalize import words
 from tidemill.llm import bloom
 from tidemill.llm.bloom import Bloom
-from tidemill.runtime import spread, written
+from tidemill.runtime import new_path, remove, spread, written
 
 SHARE = 0.85
 #: The order of words by frequency has those that hold 1/MAX_FREQUENT of all words; rarer ones come before, in any order.
 MAX_FREQUENT = 200_000
-#: A posting of more possible pairs is split, but at most MAX_HOT at a time and MAX_SPLITS times; the others are joined as they are.
+#: A key of more possible pairs is split, but at most MAX_HOT at a time and MAX_SPLITS times; the others are joined as they are.
 HOT_PAIRS, MAX_HOT, MAX_SPLITS = 10_000, 50_000, 2
+#: Nor is a key split of HOT_PAIRS / this many pairs a posting or less: posting them all under further words costs more than comparing them.
+HOT_POSTINGS = 40
 _CACHE: dict[str, int] = {}
 
 PREPARED = "table_name string, row_key bigint, held_out boolean, text_id bigint, words array<int>"
-#: Bits of the fingerprint that postings carry, and bits a word of the one that candidates are checked by.
-PRINT_BITS, BITS_A_WORD = 512, 4
+#: Bits of the fingerprint that postings carry, at least and at most, and bits a word; and bits a word of own fingerprints.
+LEAST_BITS, PRINT_BITS, BITS_A_WORD, OWN_BITS_A_WORD = 64, 512, 4, 2
 _PARITIES = [f"parity_{i}" for i in range(PRINT_BITS // 64)]
 POSTED = f"text_id bigint, held_out boolean, n_words int, rest int, {', '.join(f'{p} bigint' for p in _PARITIES)}, key bigint"
 
@@ -141,32 +146,59 @@ def least_common(n: np.ndarray, share: float) -> np.ndarray:
     return np.ceil(share * n - 1e-9).astype(np.int64)
 
 
-def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, words left from the last shared one on, and keys, for each number of words in a key. hot has the keys to split, sorted.
+@functools.cache
+def size_ranges(share: float) -> np.ndarray:
+    """The least size of each range of sizes, the same for all texts; a range spans about as much as partners' sizes may differ."""
+    least, factor = [1], 1 / min(max(share, 0.1), 0.9)
+    while least[-1] < 1 << 31:
+        least.append(max(least[-1] + 1, math.ceil(least[-1] * factor)))
+    return np.array(least, np.int64)
+
+
+def _entries(n: np.ndarray, held: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, range of sizes, and words a pair must have in common, for each range a text of n words is posted under.
+
+    A train text has its own size's; a held-out one all that partners' sizes can be in, and a partner of at least a range's least
+    size may ask for more words than the text itself does."""
+    least = size_ranges(share)
+    own = np.searchsorted(least, n, side="right") - 1
+    need = np.maximum(least_common(n, share), 1)
+    first = np.where(held, np.searchsorted(least, need, side="right") - 1, own)
+    last = np.where(held, np.searchsorted(np.maximum(least_common(least, share), 1), n, side="right") - 1, own)
+    more = last - first + 1
+    row = np.repeat(np.arange(len(n)), more)
+    span = np.repeat(first, more) + np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more)
+    return row, span, np.maximum(need[row], np.where(held[row], least_common(least[span], share), 0))
+
+
+def _postings(offsets: np.ndarray, ordered: np.ndarray, tables: np.ndarray, held: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, ranges of sizes, words left from the last shared one on, and keys, for each number of words in a key. hot has the keys to
+    split, sorted.
 
     A text of n words that needs t in common with another has the d-th word they share among its first n - t + d. Keys of one
     word that both doesn't know are left out.
     """
-    n = np.diff(offsets)
-    need = np.maximum(least_common(n, share), 1)
+    row, span, need = _entries(np.diff(offsets), held, share)
+    n = np.diff(offsets)[row]
     out = []
-    row, last, key = np.arange(len(n)), np.full(len(n), -1, np.int64), _mixed(tables)
+    # at: which of the entries
+    at, last, key = np.arange(len(row)), np.full(len(row), -1, np.int64), _mixed(_mixed(tables)[row] ^ span.astype(np.uint64))
     for depth in range(1, len(hot) + 2):
-        more = np.maximum(np.minimum(n, n - need + depth)[row] - last - 1, 0)
-        row, first, key = np.repeat(row, more), np.repeat(last + 1, more), np.repeat(key, more)
+        more = np.maximum(np.minimum(n, n - need + depth)[at] - last - 1, 0)
+        at, first, key = np.repeat(at, more), np.repeat(last + 1, more), np.repeat(key, more)
         last = first + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
-        key = _mixed(key ^ ordered[offsets[row] + last].astype(np.uint64))
+        key = _mixed(key ^ ordered[offsets[row[at]] + last].astype(np.uint64))
         if both is not None and depth == 1:
             known = both.known(key)
-            row, last, key = row[known], last[known], key[known]
+            at, last, key = at[known], last[known], key[known]
         split = np.zeros(len(key), bool)
         if depth <= len(hot) and len(hot[depth - 1]):
             signed = key.view(np.int64)
-            at = np.minimum(np.searchsorted(hot[depth - 1], signed), len(hot[depth - 1]) - 1)
-            split = hot[depth - 1][at] == signed
-        stay = ~split | (need[row] <= depth)  # no further word may be shared
-        out.append((row[stay], (n[row] - last + depth - 1)[stay], key[stay].view(np.int64)))
-        row, last, key = row[split], last[split], key[split]
+            place = np.minimum(np.searchsorted(hot[depth - 1], signed), len(hot[depth - 1]) - 1)
+            split = hot[depth - 1][place] == signed
+        stay = ~split | (need[at] <= depth)  # no further word may be shared
+        out.append((row[at[stay]], span[at[stay]], (n[at] - last + depth - 1)[stay], key[stay].view(np.int64)))
+        at, last, key = at[split], last[split], key[split]
     return out
 
 
@@ -180,12 +212,26 @@ def fingerprints(offsets: np.ndarray, ordered: np.ndarray, bits: int) -> np.ndar
     return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n, bits // 64)
 
 
-def _keyed(b: pa.RecordBatch, frequent: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None, from_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets, words in order, and rows, words left and keys of the postings of classes (table_name, text_id, held_out, words)."""
+def posted_prints(prints: np.ndarray, row: np.ndarray, span: np.ndarray, share: float) -> np.ndarray:
+    """For each posting its row's fingerprint, folded to as many bits as its range of sizes calls for; then zeros."""
+    wide = np.log2(BITS_A_WORD * size_ranges(share)[span])
+    bits = np.clip(1 << np.ceil(wide).astype(np.int64), LEAST_BITS, PRINT_BITS)
+    out = np.zeros((len(row), PRINT_BITS // 64), np.uint64)
+    while True:
+        at = np.flatnonzero(bits == prints.shape[1] * 64)
+        out[at, : prints.shape[1]] = prints[row[at]]
+        if prints.shape[1] * 64 <= LEAST_BITS:
+            return out
+        prints = prints[:, : prints.shape[1] // 2] ^ prints[:, prints.shape[1] // 2 :]
+
+
+def _keyed(b: pa.RecordBatch, frequent: np.ndarray, share: float, hot: list[np.ndarray], both: Bloom | None, from_depth: int) -> tuple[np.ndarray, ...]:
+    """Offsets, words in order, and rows, ranges, words left and keys of the postings of classes (table_name, text_id, held_out, words)."""
     offsets, codes = _flat(b.column(3))
     ordered = ordered_words(offsets, codes, frequent)
     tables = np.array([_hash64((x or "").encode()) for x in b.column(0).to_pylist()], np.int64)
-    return offsets, ordered, *(np.concatenate(x) for x in zip(*_postings(offsets, ordered, tables, share, hot, both)[from_depth:], strict=True))
+    held = b.column(2).to_numpy(zero_copy_only=False)
+    return offsets, ordered, *(np.concatenate(x) for x in zip(*_postings(offsets, ordered, tables, held, share, hot, both)[from_depth:], strict=True))
 
 
 def postings(classes: DataFrame, frequent, share: float, hot: list[np.ndarray], both) -> DataFrame:
@@ -195,9 +241,10 @@ def postings(classes: DataFrame, frequent, share: float, hot: list[np.ndarray],
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
-                offsets, ordered, row, rest, key = _keyed(b, frequent.value, share, hot, both.value, 0)
+                offsets, ordered, row, span, rest, key = _keyed(b, frequent.value, share, hot, both.value, 0)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.diff(offsets)[row], pa.int32()), pa.array(rest, pa.int32()), *(pa.array(x[row]) for x in fingerprints(offsets, ordered, PRINT_BITS).view(np.int64).T), pa.array(key)], names=["text_id", "held_out", "n_words", "rest", *_PARITIES, "key"])
+                prints = posted_prints(fingerprints(offsets, ordered, PRINT_BITS), row, span, share)
+                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), pa.array(np.diff(offsets)[row], pa.int32()), pa.array(rest, pa.int32()), *map(pa.array, prints.view(np.int64).T), pa.array(key)], names=["text_id", "held_out", "n_words", "rest", *_PARITIES, "key"])
 
     return classes.select("table_name", "text_id", "held_out", "words").mapInArrow(posted, POSTED)
 
@@ -209,7 +256,7 @@ def posted_keys(classes: DataFrame, frequent, share: float, hot: list[np.ndarray
         for whole in batches:
             for start in range(0, whole.num_rows, 8000):
                 b = whole.slice(start, 8000)
-                row, key = (_keyed(b, frequent.value, share, hot, both.value if both else None, len(hot))[i] for i in (2, 4))
+                row, key = (_keyed(b, frequent.value, share, hot, both.value if both else None, len(hot))[i] for i in (2, 5))
                 held = b.column(2).to_numpy(zero_copy_only=False)[row]
                 every, at = np.unique(key, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every, pa.int64()), pa.array(np.bincount(at, held, len(every)).astype(np.int64)), pa.array(np.bincount(at, ~held, len(every)).astype(np.int64))], names=["key", "held", "train"])
@@ -219,7 +266,8 @@ def posted_keys(classes: DataFrame, frequent, share: float, hot: list[np.ndarray
 
 
 def _hottest(keys: DataFrame) -> np.ndarray | None:
-    most = keys.select("key", (F.col("held") * F.col("train")).alias("pairs")).where(F.col("pairs") > HOT_PAIRS).orderBy(F.desc("pairs"), "key").limit(MAX_HOT).collect()
+    many = (F.col("pairs") > HOT_PAIRS) & (F.col("pairs") > HOT_PAIRS / HOT_POSTINGS * (F.col("held") + F.col("train")))
+    most = keys.withColumn("pairs", F.col("held") * F.col("train")).where(many).select("key", "pairs").orderBy(F.desc("pairs"), "key").limit(MAX_HOT).collect()
     return np.array(sorted(r["key"] for r in most), np.int64) if most else None
 
 
@@ -242,13 +290,13 @@ def shared_keys(classes: DataFrame, frequent, share: float):
 
 
 def own_prints(classes: DataFrame) -> DataFrame:
-    """(text_id, held_out, n_words, print): each class's fingerprint of about BITS_A_WORD bits a word, PRINT_BITS at least."""
+    """(text_id, held_out, n_words, print): each class's fingerprint of about OWN_BITS_A_WORD bits a word, PRINT_BITS at least."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, codes = _flat(b.column(2))
             plain, n = features(offsets, codes).astype(np.int64), np.diff(offsets)
-            bits = np.maximum(PRINT_BITS, 1 << np.ceil(np.log2(BITS_A_WORD * np.maximum(n, 1))).astype(np.int64))
+            bits = np.maximum(PRINT_BITS, 1 << np.ceil(np.log2(OWN_BITS_A_WORD * np.maximum(n, 1))).astype(np.int64))
             prints: list[bytes] = [b""] * len(n)
             for width in np.unique(bits).tolist():  # texts of one width at a time
                 rows = np.flatnonzero(bits == width)
@@ -281,6 +329,22 @@ def _near_prints(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.select("train_id", "held_id", "train_n_words", "held_n_words", "train_print", "held_print").mapInArrow(near, "train_id bigint, held_id bigint")
 
 
+def _sent(ids: DataFrame):
+    """A filter of the only column of ids, sent to the tasks."""
+    return ids.sparkSession.sparkContext.broadcast(bloom.build(ids, ids.count()))
+
+
+def _known(classes: DataFrame, sent, known: bool = True) -> DataFrame:
+    """The classes whose text_id the filter knows, so that no others are shuffled; or those it doesn't know."""
+    place = classes.columns.index("text_id")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sent.value.known(b.column(place).to_numpy()) == known))
+
+    return classes.mapInArrow(kept, classes.schema)
+
+
 def candidate_pairs(classes: DataFrame, frequent: np.ndarray, share: float) -> DataFrame:
     """Different texts (train_id, held_id) that can have enough words in common."""
     sent = classes.sparkSession.sparkContext.broadcast(frequent)
@@ -291,10 +355,15 @@ def candidate_pairs(classes: DataFrame, frequent: np.ndarray, share: float) -> D
     apart = functools.reduce(operator.add, (F.bit_count(F.col(f"train_{p}").bitwiseXOR(F.col(f"held_{p}"))) for p in _PARITIES))
     met = side(False, "train").join(side(True, "held"), "key").where("train_text_id <> held_text_id")
     met = met.where((F.least("train_rest", "held_rest") >= need) & (apart <= F.col("train_n_words") + F.col("held_n_words") - 2 * need))
-    pairs = met.select(F.col("train_text_id").alias("train_id"), F.col("held_text_id").alias("held_id")).distinct()
-    prints = written(own_prints(classes), "prints")
+    # the fingerprints of postings are as wide as own ones where both texts are short
+    wide = F.greatest("train_n_words", "held_n_words") * OWN_BITS_A_WORD > PRINT_BITS
+    pairs = written(met.select(F.col("train_text_id").alias("train_id"), F.col("held_text_id").alias("held_id"), wide.alias("wide")).distinct(), "pairs")
+    far = pairs.where("wide")
+    ids = far.select(F.explode(F.array("train_id", "held_id")).alias("id")).distinct()
+    prints = written(own_prints(_known(classes, _sent(written(ids, "ids")))), "prints")
     of = lambda held_out, name: prints.where(F.col("held_out") == held_out).select(*(F.col(c).alias(f"{name}_{d}") for c, d in (("text_id", "id"), ("n_words", "n_words"), ("print", "print"))))
-    return _near_prints(pairs.join(of(False, "train"), "train_id").join(of(True, "held"), "held_id"), share)
+    near = _near_prints(far.join(of(False, "train"), "train_id").join(of(True, "held"), "held_id"), share)
+    return pairs.where("not wide").select("train_id", "held_id").unionByName(near)
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -375,13 +444,23 @@ def cross_split_overlap(texts: DataFrame, share: float = SHARE) -> Overlap:
     splits are in no pair; repeated keys within a table count as one row of each side; equal texts always pair. Empty tables
     give no links.
     """
-    prepared = written(prepare(texts), "prepared")
-    classes = written(prepared.groupBy("table_name", "held_out", "text_id").agg(F.first("words").alias("words")), "classes")
-    text = lambda held_out, name: classes.where(F.col("held_out") == held_out).select(F.col("text_id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
-    candidates = written(candidate_pairs(classes, frequent_words(prepared), share), "candidates")
+    spark = texts.sparkSession
+    prepared = written(prepare(texts), "prepared", path=(draft := new_path(spark, "prepared")))
+    members = written(prepared.select("table_name", "row_key", "held_out", "text_id").distinct(), "members")
+    # only the words of texts that stand in several rows are shuffled
+    of_classes = prepared.select("table_name", "held_out", "text_id", "words")
+    repeated = written(prepared.groupBy("text_id", "held_out").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("text_id").distinct(), "repeated")
+    sent = _sent(repeated)
+    once = _known(of_classes, sent).groupBy("table_name", "held_out", "text_id").agg(F.first("words").alias("words"))
+    classes = written(_known(of_classes, sent, False).unionByName(once), "classes")
+    remove(spark, draft)
+    candidates = written(candidate_pairs(classes, frequent_words(classes), share), "candidates")
+    ids = candidates.select(F.explode(F.array("train_id", "held_id")).alias("id")).distinct()
+    named = _known(classes.select("text_id", "held_out", "words"), _sent(written(ids, "ids")))
+    text = lambda held_out, name: named.where(F.col("held_out") == held_out).select(F.col("text_id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
     near = verified(candidates.join(text(False, "train"), "train_id").join(text(True, "held"), "held_id"), share)
-    equal = text(False, "train").select("train_id").join(text(True, "held").select("held_id"), F.col("train_id") == F.col("held_id")).select("train_id", "held_id", F.lit(1.0).alias("similarity"))
-    members = prepared.select("table_name", "row_key", "held_out", "text_id").distinct()
+    side = lambda held_out, name: classes.where(F.col("held_out") == held_out).select(F.col("text_id").alias(f"{name}_id"))
+    equal = side(False, "train").join(side(True, "held"), F.col("train_id") == F.col("held_id")).select("train_id", "held_id", F.lit(1.0).alias("similarity"))
     return Overlap(written(near.unionByName(equal), "links"), members, members.groupBy("text_id", "held_out").agg(F.count(F.lit(1)).alias("n")))
 
 

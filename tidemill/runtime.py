@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, and safe when executors are lost.
 
-    Such tables stay until forget, as results may still be read from them."""
-    path = new_path(df.sparkSession, name)
+    Such tables stay until forget, as results may still be read from them; one at a path of new_path may be removed before."""
+    path = path or new_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -55,6 +55,12 @@ def forget(spark: SparkSession) -> int:
     return len(paths)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table of written that nothing reads any more."""
+    _WRITTEN.get(spark.sparkContext.applicationId, [path]).remove(path)
+    delete(spark, path)
+
+
 # Files, on whatever file system Spark reads from.
 
 
