@@ -103,3 +103,32 @@ def test_hot_grams_lose_nothing(monkeypatch):
         monkeypatch.setattr(leaks, "HOT_ITEMS", hot)
         got.append(sorted(leaks.ItemIndex(items).found(docs)))
     assert got[0] == got[1] and got[0]
+
+
+def _rows(spark, docs, items, **more):
+    return sorted(tuple(r) for r in leaks.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), **more).collect())
+
+
+def test_both_plans_give_the_same_rows(spark):
+    rng = random.Random(9)
+    stem = "consider the long passage that follows and choose what fits it best"
+    texts = [_passage(rng, rng.randrange(9, 14)) for _ in range(150)] + [stem.split() + _passage(rng, rng.randrange(4, 16)) for _ in range(80)] + [["kaven", "lotor", "migla"] * 5]
+    docs = []
+    for d in range(450):
+        w = list(rng.choice(texts))
+        kept = set(range(at := rng.randrange(len(w) - 1), at + 2)) | set(rng.sample(range(len(w)), (len(w) + 1) // 2))
+        docs.append((d, " ".join(_passage(rng, 6) + [x if i in kept else "u" * rng.randrange(5, 8) for i, x in enumerate(w)] + _passage(rng, 6)), 0))
+    docs.append((999, "kaven lotor " * 40, 0))
+    items = [(i, " ".join(w), "") for i, w in enumerate(texts)]
+    sent, met = _rows(spark, docs, items), _rows(spark, docs, items, broadcast_chars=1_000)
+    assert len(sent) > 100 and met == sent
+
+
+def test_rows_of_an_item_do_not_depend_on_other_items(monkeypatch):
+    monkeypatch.setattr(leaks, "HOT_ITEMS", 2)
+    item = "kaven lotor migla tuhu rezel shopa velbri draqui mihu katotor retor logla".split()
+    docs = [("kaven lotor " * n + "x tuhu yy shopa zz draqui xx katotor y logla").split() for n in range(1, 9)]
+    others = [(i, f"{x} velbri draqui {x}".split()) for i, x in enumerate(VOCABULARY[:9], 1)]
+    alone, among = (sorted(f for f in leaks.ItemIndex(items).found(docs) if f[1] == 0) for items in ([(0, item)], [(0, item), *others]))
+    assert alone == among
+    assert [(0, 0, len(item))] == [f for f in leaks.ItemIndex([(0, item), *others]).found([item]) if f[1] == 0]

@@ -13,9 +13,9 @@ document word for word. The rest of their search is the same.
 
 Equal items are one class. Classes whose texts hold BROADCAST_CHARS or less go to every task and the corpus is read once, in
 its place, without a shuffle. More of them stay a table: documents are read once with a Bloom filter of fixed size over the
-items' selected q-grams (of any six in a row the least hash, so that each undisturbed stretch of 15 characters has one), and
-documents and classes meet in a shuffle by q-gram; each pair that shares as many as the lemma leaves then passes the same
-filter and alignment.
+items' q-grams, and documents and classes meet in a shuffle by q-gram; each pair that shares as many distinct ones as the
+first plan asks for then passes the same filter and alignment. What is asked of a pair depends on its item and document alone,
+so both plans give the same rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.normalize import words
@@ -50,8 +50,6 @@ BROADCAST_CHARS = 16_000_000
 SLICE_CHARS = 1_000_000
 #: A q-gram of more items than this is counted last; and so many counts are held at once.
 HOT_ITEMS, HELD = 64, 4_000_000
-#: Of so many q-grams in a row one is selected for the shuffle.
-WINNOW = 6
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 _ENTITY = re.compile(r"&(?:#\d{1,6}|[a-z]{2,8});")
 #: Scripts that write no spaces between words, as fixed values: Thai, Lao, Myanmar, Khmer, Japanese and Chinese.
@@ -96,6 +94,11 @@ def least_grams(chars: int) -> int:
     return max(2, lemma_bound(chars))
 
 
+def least_distinct(chars: int, repeats: int) -> int:
+    """Distinct q-grams that must be shared with an item of so many characters, so many of whose q-grams repeat others."""
+    return max(least_grams(chars) - repeats, 1)
+
+
 def short_run(n_words: int) -> int:
     """Words in a row of a short item that are enough."""
     return max(math.ceil(SHARE * n_words), min(n_words, SHORT_RUN))
@@ -132,10 +135,11 @@ class ItemIndex:
         self.seen[self.unique & self.low_bits] = True
         # distinct q-grams an item must share: a q-gram that stands in it twice may be one of those counted
         distinct = np.bincount(self.owner, minlength=len(items))
-        need = np.maximum(self.least - (np.array([len(g) for g in self.grams], np.int64) - distinct), 1)
+        need = np.array([least_distinct(len(t), len(g) - d) for t, g, d in zip(texts, self.grams, distinct.tolist(), strict=True)], np.int64)
         self.hot = self.count > HOT_ITEMS
         hot_in = np.bincount(self.owner[np.repeat(self.hot, self.count)], minlength=len(items))
         self.need, self.need_rare = need, need - hot_in
+        self.lenient = (self.need_rare > 0) & (hot_in > 0)
         # hot q-grams are counted for items only that could reach their bound by them
         by_hot = np.flatnonzero(np.repeat(self.hot, self.count) & (self.need_rare <= 0)[self.owner])
         self.hot_owner = self.owner[by_hot]
@@ -207,11 +211,14 @@ class ItemIndex:
         return items[enough], has[enough]
 
     def bands(self, item: int, h: np.ndarray) -> list[int]:
-        """First diagonals of the bands of a document, with hashes h, in which the item reaches its bound."""
+        """First diagonals of the bands of a document, with hashes h, in which the item reaches its bound; none if it shares too few
+        distinct q-grams, whatever the count by rare ones let through."""
         own = self.grams[item]
         order = np.argsort(own, kind="stable")
         low, high = (np.searchsorted(own[order], h, side=side) for side in ("left", "right"))
         n = high - low
+        if self.lenient[item] and len(np.unique(h[n > 0])) < self.need[item]:
+            return []
         hit = np.repeat(np.arange(len(h)), n)
         diagonal = hit - order[_ranges(low, n)]
         out = set()
@@ -359,35 +366,31 @@ def _sent(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return documents.mapInArrow(scan, MATCHES)
 
 
-def selected(h: np.ndarray) -> tuple[np.ndarray, int]:
-    """Of each WINNOW hashes in a row the least; all of fewer. Each once, and how many places repeat another's."""
-    if len(h) > WINNOW:
-        least = np.lib.stride_tricks.sliding_window_view(h, WINNOW).argmin(axis=1) + np.arange(len(h) - WINNOW + 1)
-        h = h[np.unique(least)]
-    once = np.unique(h)
-    return once, len(h) - len(once)
-
-
-def least_selected(chars: int) -> int:
-    """Selected q-grams that half an item of so many characters keeps under the edit budget, at least one: an edit ends a stretch, and a
-    stretch of k q-grams has k // WINNOW selected ones or more."""
-    edits = math.ceil(max(1.0, SHARE * chars / CHARS_PER_EDIT))
-    return max(1, (lemma_bound(chars) - (edits + 1) * (WINNOW - 1)) // WINNOW)
+def _without_hot(seeds: DataFrame) -> DataFrame:
+    """Seeds (gram, class_id, need) in which a q-gram of very many classes stands only for those that could reach their bound by such
+    q-grams; the others need as many less. As in ItemIndex, no pair that reaches its bound fails by that."""
+    hot = written(seeds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ITEMS).select("gram", F.lit(True).alias("hot")), "hot")
+    if hot.isEmpty():
+        return seeds
+    rare = F.col("need") - F.count("hot").over(Window.partitionBy("class_id"))
+    told = seeds.join(hot, "gram", "left").withColumn("rare", rare).where("hot is null or rare <= 0")
+    return written(told.select("gram", "class_id", F.when(F.col("rare") > 0, F.col("rare")).otherwise(F.col("need")).cast("int").alias("need")), "seeds")
 
 
 def _met(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """Matches with any number of classes: documents and classes meet by selected q-grams, then each pair is looked at."""
+    """Matches with any number of classes: documents and classes meet by q-grams, then each pair is looked at."""
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [" ".join(w) for w in b.column(1).to_pylist()]
-            grams = [selected(_grams(t)) for t in texts]
-            at = np.repeat(np.arange(len(grams)), [len(g) for g, _ in grams])
-            need = np.array([max(1, least_selected(len(t)) - repeats) for t, (_, repeats) in zip(texts, grams, strict=True)], np.int32)
-            flat = np.concatenate([g for g, _ in grams]) if grams else np.zeros(0, np.uint64)
+            every = list(map(_grams, texts))
+            grams = list(map(np.unique, every))
+            at = np.repeat(np.arange(len(grams)), list(map(len, grams)))
+            need = np.array([least_distinct(len(t), len(e) - len(g)) for t, e, g in zip(texts, every, grams, strict=True)], np.int32)
+            flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), b.column(0).take(pa.array(at, pa.int64())), pa.array(need[at])], names=["gram", "class_id", "need"])
 
-    seeds = written(classes.select("class_id", "words").mapInArrow(seeded, "gram bigint, class_id binary, need int"), "seeds")
+    seeds = _without_hot(written(classes.select("class_id", "words").mapInArrow(seeded, "gram bigint, class_id binary, need int"), "seeds"))
     sent = documents.sparkSession.sparkContext.broadcast(bloom.build(seeds.select("gram"), seeds.count()))
 
     def known(g: np.ndarray) -> np.ndarray:
@@ -396,13 +399,13 @@ def _met(documents: DataFrame, classes: DataFrame) -> DataFrame:
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, split in _slices(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                grams = [known(selected(_grams(" ".join(w)))[0]).view(np.int64).tolist() for w in split]
+                grams = [known(np.unique(_grams(" ".join(w)))).view(np.int64).tolist() for w in split]
                 rows = [(k, _digest(w), g) for k, w, g in zip(ids, split, grams, strict=True) if g]
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "text_id", "grams"])
 
     probes = written(documents.mapInArrow(probed, "doc_id bigint, text_id binary, grams array<bigint>"), "probes")
-    of_text = probes.select("text_id", F.explode("grams").alias("gram")).distinct()
+    of_text = probes.select("text_id", "grams").dropDuplicates(["text_id"]).select("text_id", F.explode("grams").alias("gram"))
     shared = of_text.join(seeds, "gram").groupBy("text_id", "class_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     pairs = written(shared.where("n >= need").select("text_id", "class_id"), "pairs")
 
